@@ -44,9 +44,14 @@ SHINGLES = "if(size(w) >= 5, transform(sequence(0, size(w) - 5), i -> xxhash64(w
 
 
 def _hashed(df: DataFrame, *keep: str) -> DataFrame:
-    """Shingle hashes h0 and three rehashes; the minimum and the maximum of each make the eight bands."""
-    d = df.select(*keep, F.expr(WORDS).alias("w")).select(*keep, F.expr(SHINGLES).alias("h0"))
-    return d.select(*keep, "h0", *[F.expr(f"transform(h0, x -> xxhash64(x, {i}))").alias(f"h{i}") for i in range(1, BANDS // 2)])
+    """Shingle hashes h0 and three rehashes; the minimum and the maximum of each make the eight bands.
+
+    ``explode`` of a one-element array keeps the optimizer from copying an expression into each of its uses, and the
+    outer ``transform`` binds the words once: both are what makes this linear in the text.
+    """
+    d = df.select(*keep, F.explode(F.array(F.expr(f"transform(array({WORDS}), w -> {SHINGLES})[0]"))).alias("h0"))
+    more = ", ".join(f"'h{i}', transform(h0, x -> xxhash64(x, {i}))" for i in range(1, BANDS // 2))
+    return d.select(*keep, "h0", F.expr(f"inline(array(named_struct({more})))"))
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> list[tuple[str, list[int], list[int], bool]]:
@@ -70,7 +75,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
         small = F.array_intersect(F.col(h), lits(sorted({t[2][b] for t in known if t[3]})))
         windows = F.expr(f"transform(sequence(0, greatest(0, (size({h}) - {STEP + 1}) div {STEP})), i -> {pick}(slice({h}, i * {STEP} + 1, {WINDOW})))")
         found += [small, F.array_intersect(windows, lits(sorted({t[2][b] for t in known if not t[3]})))]
-    d = d.select("doc_id", "h0", F.concat(*found).alias("hits"))
+    d = d.select("doc_id", "h0", F.explode(F.array(F.concat(*found))).alias("hits"))
     table = F.array(*[F.struct(F.lit(t[0]).alias("license"), lits(t[1]).alias("sh"), lits(t[2]).alias("bands")) for t in known])
     d = d.where(F.size("hits") > 0).select("doc_id", "h0", F.explode(F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("hits")))).alias("t"))
     d = d.select("doc_id", F.col("t.license").alias("license"), F.size(F.array_intersect("h0", "t.sh")).alias("shared"), F.size("t.sh").alias("template_shingles"))

@@ -189,8 +189,8 @@ def visit(blocks: DataFrame, segments: DataFrame, visits: DataFrame, k: int) ->
     """Search the listed (qblock, segment) pairs; rows of (qblock, query_id, vec_id, score)."""
     sliced = visits.withColumn("slice", F.pmod(F.xxhash64("qblock"), F.greatest(F.lit(1), F.ceil(F.col("load") / SLICE_BLOCKS)).cast("long")))
     left = segments.select(F.col("block").alias("segment"), "payload").join(sliced.select("segment", "slice").distinct(), "segment")
-    right = sliced.join(blocks.select(F.col("block").alias("qblock"), "payload"), "qblock").select("segment", "slice", "qblock", "payload")
-    return left.groupBy("segment", "slice").cogroup(right.groupBy("segment", "slice")).applyInPandas(lambda a, b: _search(a, b, k), "qblock bigint, query_id bigint, vec_id bigint, score bigint")
+    right = sliced.join(blocks.select(F.col("block").alias("qblock"), "payload"), "qblock").select(F.col("segment").alias("seg"), F.col("slice").alias("sl"), "qblock", "payload")
+    return left.groupBy("segment", "slice").cogroup(right.groupBy("seg", "sl")).applyInPandas(lambda a, b: _search(a, b, k), "qblock bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
