@@ -140,12 +140,20 @@ class Forest:
             x = self.up[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
         self.up[max(a, b)] = min(a, b)
-        return True
+
+    def stars(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Edges from the smallest key of each set to its others. The units of one group share most of them, whichever
+        tree they come from, so that few are left once they are made distinct."""
+        least: dict[int, bytes] = {}
+        for i, k in enumerate(keys):
+            r = self.find(i)
+            least[r] = min(least.get(r, k), k)
+        edges = {(least[self.find(i)], k) for i, k in enumerate(keys)}
+        edges = sorted(e for e in edges if e[0] != e[1])
+        return [e[0] for e in edges], [e[1] for e in edges]
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         cross = np.asarray(t.column("bi").to_numpy()) != np.asarray(t.column("bj").to_numpy())
         size = np.bincount(run)[run]
-        forest, a, b = Forest(len(keys)), [], []
+        forest = Forest(len(keys))
         live = np.flatnonzero(size > 1)
         gap = 1
         while len(live):
@@ -170,10 +178,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = test[at : at + 8192]
                 hit = (sketch[x] == sketch[x + gap]).sum(axis=1) >= least
                 for p in x[hit].tolist():
-                    if forest.join(p, p + gap) and keys[p] != keys[p + gap]:
-                        a.append(keys[p])
-                        b.append(keys[p + gap])
+                    forest.join(p, p + gap)
             gap += 1
+        a, b = forest.stars(keys)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
@@ -222,8 +229,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near &= s[:, None] != s[None, :]
             forest = Forest(len(at))
             for x, y in zip(*np.nonzero(np.triu(near))):
-                if forest.join(int(x), int(y)):
-                    rows.append((None, 0, keys[lo + at[x]], keys[lo + at[y]]))
+                forest.join(int(x), int(y))
+            rows += [(None, 0, a, b) for a, b in zip(*forest.stars([keys[lo + i] for i in at]))]
             rows += [(keys[lo + i], int(k), None, None) for i, k in zip(at, near.sum(axis=1)) if k]
         yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(zip(*rows) if rows else [[]] * 4, (pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "links", "a", "b"])
 
