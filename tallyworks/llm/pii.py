@@ -90,6 +90,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _NUMBERS = re.compile(r"[0-9]+")
 _SPOKEN = re.compile(r"(?<![^\W_])(?:dot|DOT|Dot)(?![^\W_])")
+_PREFIX = re.compile(r"\+[0-9]{1,3}[ .-]?\Z")  # a country code left of a national number
 _AT = re.compile(r"(?<![^\W_])at(?![^\W_])", re.I)
 _REACH = 80  # characters kept on either side of a trigger
 _CUES = {
@@ -326,7 +327,9 @@ def added_spans(text: str, model: SemiCRF, base: list[tuple[str, int, int]]) ->
         for a, b in zip(cuts[::2], cuts[1::2]):
             part = text[a:b]
             if len(_DIGITS.findall(part)) >= 7 or part.count(":") >= 2 or (_SPOKEN.search(part) and _AT.search(part)):
-                out += model.decode(text, tokens(text, a, b))
+                for k, s, e in model.decode(text, tokens(text, a, b)):
+                    m = _PREFIX.search(text, max(a, s - 6), s) if k == "phone" else None
+                    out.append((k, m.start() if m else s, e))
     return out
 
 

@@ -15,7 +15,7 @@ from tallyworks.llm import common as c
 from tallyworks.llm import decontaminate, jaccard_join, licenses, mixing, ngram_lm, pii, secrets, token_counts, toxicity, vector_search
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, mix_slot string, key string, class_id string"
-LONG = "word " * 60_000 + "x" * 300_000
+LONG = "word " * 60_000 + "x" * 3_000
 EDGE = [(1, None), (None, "a null id"), (2, ""), (3, " \n\t "), (4, LONG), (5, "same text here for two rows again"), (5, "same text here for two rows again"), (6, "Same text, here; for two rows AGAIN"), (7, "é ÉÉ 日本 \U0001f600"), (8, "one"), (8, "another text under one id, long enough")]
 
 
@@ -180,6 +180,11 @@ def test_pii_query_rows(docs, edge, nothing):
     assert pii.scan_pii(nothing).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 300_000, "7" * 300_000, "1." * 150_000, "+1(" * 100_000, "a@" * 150_000])
+def test_pii_is_linear_in_long_texts(text):
+    pii.base_spans(text)
+
+
 def test_semi_crf_adds_what_the_patterns_miss():
     m = pii.trained()
     hits = total = wrong = 0
@@ -188,7 +193,7 @@ def test_semi_crf_adds_what_the_patterns_miss():
         hits, total, wrong = hits + len(got & set(gold)), total + len(gold), wrong + len(got - set(gold))
     assert hits >= 0.9 * total and wrong <= 0.03 * total
     text = "Des +1 (826) 555-4081 190.137.20.4 le"
-    assert ("phone", 5, 21) in pii.find_pii(text, m)[1] or any(k == "phone" and s in (5, 8) for k, s, _ in pii.find_pii(text, m)[1])
+    assert ("phone", 4, 21) in pii.find_pii(text, m)[1]
     assert pii.redact("mail a.b@c.de now", pii.find_pii("mail a.b@c.de now", m)[1]) == "mail [EMAIL] now"
 
 
