@@ -40,12 +40,20 @@ LABEL_NOISE = 0.03
 PATTERNS = ("shout", "symbols", "repeats")
 
 _CLEAN = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
+_ASCII, _NOT_CAPITAL = bytes(range(128)), bytes(b for b in range(256) if not 65 <= b <= 90)
 
 
 def held_out(folds: int = 5):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def capitals(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    raw = text.encode()
+    n = len(raw.translate(None, _NOT_CAPITAL))
+    return n if text.isascii() else n + sum(map(str.isupper, raw.translate(None, _ASCII).decode()))
+
+
 def text_features(text: str) -> set[str]:
     """Distinct lower-cased words, their beginnings (marked ``^``, the frequent ones also ``^...+``) and the pattern
     voters that fire."""
@@ -62,7 +70,7 @@ def text_features(text: str) -> set[str]:
                 twice[x] += k
         out.update(f"^{x}+" for x, k in twice.items() if k * FREQUENT >= len(words))
     if len(words) >= 8:
-        if text.isupper() or sum(map(str.isupper, text[:2000])) > 0.6 * min(2000, len(text)):
+        if text.isupper() or capitals(text) > 0.6 * len(text):
             out.add("#shout")
         if len(kinds) * 4 < len(words):
             out.add("#repeats")

@@ -435,3 +435,11 @@ def test_toxicity_edges(spark, sf, edge, nothing, docs):
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.score_toxicity(nothing, labels).count() == 0
     assert {r.score for r in toxicity.score_toxicity(docs, labels.where("false")).collect()} == {0.0}
+
+
+def test_shouting_is_judged_over_the_whole_text():
+    calm, loud = "calm words of some length " * 100, "LOUD ÉTÉ WORDS OF SOME LENGTH " * 300
+    assert "#shout" in toxicity.text_features(calm + loud) and "#shout" in toxicity.text_features(loud + calm)
+    assert "#shout" not in toxicity.text_features(loud[:2100] + calm * 4)
+    for text in (calm + loud, "ÀÉx Ωω ǅ \U0001d400 ABC", ""):
+        assert toxicity.capitals(text) == sum(map(str.isupper, text))
