@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.5
+ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.5
 SHARD_KEYS = 4_000_000
 FLUSH = 3_000_000
 LOG_RANGE = 16.0
+STEP = 1 << 18  # elements worked on at once while a shard is built
 END = np.int64(0x2545F4914F6CDD1D)
 
 # --------------------------------------------------------------------------------------------------------------
@@ -61,19 +62,20 @@ class EliasFano:
         n = len(v)
         universe = int(v[-1]) + 1 if n else 1
         bits = max(0, (universe // max(1, n)).bit_length() - 1)
-        up = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        words = ((int(up[-1]) if n else 0) >> 6) + 2
-        high = np.zeros(words, np.uint64)
-        np.bitwise_or.at(high, up >> 6, np.uint64(1) << (up & 63).astype(np.uint64))
+        words = ((int(v[-1] >> np.uint64(bits)) + n - 1 if n else 0) >> 6) + 2
+        high, low = np.zeros(words, np.uint64), np.zeros((n * bits >> 6) + 2, np.uint64)
+        for begin in range(0, n, STEP):
+            part = v[begin : begin + STEP]
+            i = np.arange(begin, begin + len(part), dtype=np.int64)
+            up = (part >> np.uint64(bits)).astype(np.int64) + i
+            np.bitwise_or.at(high, up >> 6, np.uint64(1) << (up & 63).astype(np.uint64))
+            if bits:
+                part, at = part & np.uint64((1 << bits) - 1), i * bits
+                word, shift = at >> 6, (at & 63).astype(np.uint64)
+                np.bitwise_or.at(low, word, part << shift)
+                over = (shift.astype(np.int64) + bits) > 64
+                np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         rank = np.concatenate([[0], np.cumsum(np.bitwise_count(high))]).astype(np.int64)
-        low = np.zeros((n * bits >> 6) + 2, np.uint64)
-        if bits:
-            part = v & np.uint64((1 << bits) - 1)
-            at = np.arange(n, dtype=np.int64) * bits
-            word, shift = at >> 6, (at & 63).astype(np.uint64)
-            np.bitwise_or.at(low, word, part << shift)
-            over = (shift.astype(np.int64) + bits) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         return cls(n, bits, low, high, rank)
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -102,7 +104,7 @@ class EliasFano:
         r = i - before[word]
         w = self.high[word]
         by = np.ascontiguousarray(w if ones else ~w).view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(_POP8[by], axis=1, dtype=np.int64)
+        total = np.cumsum(_POP8[by], axis=1, dtype=np.uint8)  # 64 at most
         k = np.minimum((total <= r[:, None]).sum(axis=1), 7)
         rows = np.arange(len(i))
         r = r - np.where(k > 0, total[rows, np.maximum(k - 1, 0)], 0)
@@ -448,25 +450,29 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
         if rows is None:
             return
         key, n = rows
-        ctx, word = key // v, key % v
-        if level == 2:
-            of = lower.words.take(ctx, "count")
-            below = 10 ** lower.unigram(word)[0]
-        else:
-            of = lower.levels[-1][0].take(ctx, "n")
-            below = 10 ** _probability(lower, ctx, word)
-        p = (n - DISCOUNT) / of
+        codes = np.empty(len(key), np.uint16)
+        names = ["path", "first", "n", "ctx", "spent", "below"]
+        for at in range(0, len(key), STEP):
+            some = n[at : at + STEP]
+            ctx, word = key[at : at + STEP] // v, key[at : at + STEP] % v
+            if level == 2:
+                of = lower.words.take(ctx, "count")
+                below = 10 ** lower.unigram(word)[0]
+            else:
+                of = lower.levels[-1][0].take(ctx, "n")
+                below = 10 ** _probability(lower, ctx, word)
+            p = (some - DISCOUNT) / of
+            codes[at : at + STEP] = code(np.log10(p))
+            # what each context has spent here; a context may go on in the next step or shard
+            starts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            cut = lambda x: np.add.reduceat(x, starts)
+            k = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(cut(np.ones(len(ctx), np.int64))), pa.array(ctx[starts]), pa.array(cut(p)), pa.array(cut(below))], names=names)
         path = f"{root}/level{level}-{_partition()}.ef"
         ef = EliasFano.build(key)
         extra = {"n": np.minimum(n, (1 << 32) - 1).astype(np.uint32)}
-        write_arrays(path, {**{f"keys.{k}": x for k, x in ef.arrays().items()}, "p": code(np.log10(p)), **extra})
-        # what each context has spent here; a context may go on in the next shard
-        starts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        cut = lambda x: np.add.reduceat(x, starts)
-        k = len(starts)
-        none = pa.nulls(k, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(key[0])]), pa.array([len(key)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())], names=["path", "first", "n", "ctx", "spent", "below"])
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(k, pa.int64()), pa.array(cut(np.ones(len(ctx), np.int64))), pa.array(ctx[starts]), pa.array(cut(p)), pa.array(cut(below))], names=["path", "first", "n", "ctx", "spent", "below"])
+        write_arrays(path, {**{f"keys.{k}": x for k, x in ef.arrays().items()}, "p": codes, **extra})
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(key[0])]), pa.array([len(key)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())], names=names)
 
     made = c.materialize(_shards(grams, grams.count()).mapInArrow(keys, "path string, first bigint, n bigint, ctx bigint, spent double, below double"), f"{name}-made")
     kept = _manifest(made)
@@ -480,7 +486,7 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
         ctx, n, spent, below = rows
         bow = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - below, 1e-9))
         path = f"{root}/contexts{level}-{_partition()}.ef"
-        ef, first = EliasFano.build(ctx), EliasFano.build(kept.rank(ctx * v))
+        ef, first = EliasFano.build(ctx), EliasFano.build(np.concatenate([kept.rank(ctx[i : i + STEP] * v) for i in range(0, len(ctx), STEP)]))
         arrays = {**{f"keys.{k}": x for k, x in ef.arrays().items()}, **{f"first.{k}": x for k, x in first.arrays().items()}}
         write_arrays(path, {**arrays, "bow": code(np.minimum(bow, 6) - 6), "children": n.astype(np.uint32)})
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(ctx[0])]), pa.array([len(ctx)])], names=["path", "first", "n"])

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyworks.llm import common as c
-from tallyworks.llm import decontaminate, jaccard_join, licenses, mixing, ngram_lm, pii, secrets, token_counts, toxicity, vector_search
+from tallyworks.llm import decontaminate, jaccard_join, licenses, mixing, ngram_lm, pii, registry, secrets, token_counts, toxicity, vector_search
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, mix_slot string, key string, class_id string"
 LONG = "word " * 60_000 + "x" * 3_000
@@ -328,6 +328,15 @@ def test_model_probabilities_add_up(spark, order):
         assert abs(sum(p) - 1) < 0.06, (history, sum(p))
 
 
+def test_language_model_query_uses_trigrams(spark, tmp_path):
+    # the end of "x b ..." is settled by the word two back alone
+    texts = ["a b c"] * 20 + ["d b e"] * 20
+    rows = [*enumerate(texts), (1000, "a b c"), (1001, "a b e")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in registry.op7_ngram_lm(spark, str(tmp_path)).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
 # -- 8 secrets
 
 RULES = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
