@@ -170,12 +170,15 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     out: list[tuple] = []
     for payload in left["payload"][:1]:
         ids, x, _, _ = unpack(payload)
+        repeats = len(np.unique(ids)) < len(ids)
         for block, q_payload in zip(right["qblock"], right["payload"]):
             qids, q, _, kth = unpack(q_payload)
             s = products(q, x)
             worth = s >= kth[:, None]
             for i in np.flatnonzero(worth.any(axis=1)):
                 at = np.flatnonzero(worth[i] & (ids != qids[i]))
+                if repeats:  # one candidate each, as in ``best``, before the cut to k
+                    at = at[np.unique(np.stack([ids[at], s[i, at]]), axis=1, return_index=True)[1]]
                 if len(at) > k:
                     # ties at the k-th place are decided by id
                     cut = np.partition(s[i, at], len(at) - k)[len(at) - k]

@@ -224,6 +224,17 @@ def test_vector_search_edges(spark):
     assert {tuple(r) for r in vector_search.top_k(f.where("vec_id in (50, 52)")).collect()} == brute_top([r for r in rows if r[0] in (50, 52)])
 
 
+def test_vector_search_repeated_rows_are_one_candidate(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 120)]
+    rows += [(i, (2 * rng.normal(size=4)).tolist()) for i in (200, 250)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id bigint, embedding array<double>")
+    want = brute_top(rows)
+    for copies, size in ((7, 4096), (7, 16), (1, 4096)):
+        got = [tuple(r) for r in vector_search.top_k(frame([r for r in rows for _ in range(copies)]), segment_rows=size, pivots=4).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 # -- 5 tokens
 
 def test_token_counts_add_up(spark, docs, edge):
