@@ -2,7 +2,8 @@
 
 Texts become five-word shingles (lower-cased runs of a-z and 0-9). Overlapping windows of shingles are MinHashed, and a
 band whose value equals a template's own band value makes that template a candidate for the text; exact shingle
-containment (0.8 of the template's shingles in the text) then decides.
+containment (0.8 of the template's shingles in the text) then decides. A template of one to four words is one shingle of
+its own length, looked up exactly as a run of words.
 
 Collision probability: windows are no longer than the templates of their class (one shingle for templates under eight
 shingles; eight shingles, a new one every four, for the others), so in each band the template's minimum is also the
@@ -10,7 +11,8 @@ minimum of some window of a copied passage whenever the passage holds that shing
 containment. A band is one value and there are BANDS of them: a passage at the threshold escapes with 0.2**8 < 3e-6, an
 exact copy never does for the short class.
 
-Defined cases: a null or empty text, or one with fewer than five words, matches nothing; repeated rows give repeated
+Defined cases: a null or empty text matches nothing, one with fewer than five words only short templates; a template
+without words is ignored; repeated rows give repeated
 matches; nulls in ids are carried through; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -36,6 +38,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# What the query looks for: the templates, and notices of fewer words than a shingle.
+NOTICES = TEMPLATES | {"All rights reserved": "All rights reserved."}
+
 BANDS = 8
 WINDOW, STEP, SMALL = 8, 4, 8
 
@@ -43,15 +48,19 @@ WORDS = "array_remove(split(lower(coalesce(text, '')), '[^a-z0-9]+'), '')"
 SHINGLES = "if(size(w) >= 5, transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])), cast(array() AS array<bigint>))"
 
 
-def _hashed(df: DataFrame, *keep: str) -> DataFrame:
-    """Shingle hashes h0 and three rehashes; the minimum and the maximum of each make the eight bands.
+def _hashed(df: DataFrame, *keep: str, short: tuple[str, ...] = ()) -> DataFrame:
+    """Shingle hashes h0 and three rehashes; the minimum and the maximum of each make the eight bands. ``runs``: those of
+    the ``short`` runs of words (a-z, 0-9 and spaces only) that the text holds.
 
     ``explode`` of a one-element array keeps the optimizer from copying an expression into each of its uses, and the
     outer ``transform`` binds the words once: both are what makes this linear in the text.
     """
-    d = df.select(*keep, F.explode(F.array(F.expr(f"transform(array({WORDS}), w -> {SHINGLES})[0]"))).alias("h0"))
+    runs = "cast(array() AS array<string>)"
+    if short:
+        runs = f"transform(array(concat(' ', array_join(w, ' '), ' ')), j -> filter(array({', '.join(f"'{r}'" for r in short)}), r -> contains(j, concat(' ', r, ' '))))[0]"
+    d = df.select(*keep, F.explode(F.array(F.expr(f"transform(array({WORDS}), w -> named_struct('h0', {SHINGLES}, 'runs', {runs}))[0]"))).alias("x")).select(*keep, "x.h0", "x.runs")
     more = ", ".join(f"'h{i}', transform(h0, x -> xxhash64(x, {i}))" for i in range(1, BANDS // 2))
-    return d.select(*keep, "h0", F.expr(f"inline(array(named_struct({more})))"))
+    return d.select(*keep, "h0", "runs", F.expr(f"inline(array(named_struct({more})))"))
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> list[tuple[str, list[int], list[int], bool]]:
@@ -61,22 +70,32 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> list[tuple[str, lis
     return [(r[0], r[1], r[2], len(r[1]) < SMALL) for r in d.select("name", F.array_distinct("h0"), bands).where(F.size("h0") > 0).collect()]
 
 
+def short_templates(spark: SparkSession, texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(name, run of words) of each template with fewer words than a shingle."""
+    d = spark.createDataFrame(list(texts.items()), "name string, text string").withColumn("w", F.expr(WORDS))
+    return [tuple(r) for r in d.where(F.size("w").between(1, 4)).select("name", F.array_join("w", " ")).collect()]
+
+
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """One row per text and template found in it: doc_id, license, shared, template_shingles, containment."""
-    known = templates(docs.sparkSession, TEMPLATES if texts is None else texts)
+    texts = TEMPLATES if texts is None else texts
+    known, short = templates(docs.sparkSession, texts), short_templates(docs.sparkSession, texts)
     out = "doc_id bigint, license string, shared int, template_shingles int, containment double"
-    if not known:
+    if not known and not short:
         return docs.sparkSession.createDataFrame([], out)
     lits = lambda v: F.array(*[F.lit(x).cast("long") for x in v]) if v else F.expr("cast(array() AS array<bigint>)")
-    d = _hashed(docs, "doc_id")
+    d = _hashed(docs, "doc_id", short=tuple(sorted({run for _, run in short})))
     found = []
     for b in range(BANDS):
         h, pick = f"h{b // 2}", "array_min" if b % 2 == 0 else "array_max"
         small = F.array_intersect(F.col(h), lits(sorted({t[2][b] for t in known if t[3]})))
         windows = F.expr(f"transform(sequence(0, greatest(0, (size({h}) - {STEP + 1}) div {STEP})), i -> {pick}(slice({h}, i * {STEP} + 1, {WINDOW})))")
         found += [small, F.array_intersect(windows, lits(sorted({t[2][b] for t in known if not t[3]})))]
-    d = d.select("doc_id", "h0", F.explode(F.array(F.concat(*found))).alias("hits"))
-    table = F.array(*[F.struct(F.lit(t[0]).alias("license"), lits(t[1]).alias("sh"), lits(t[2]).alias("bands")) for t in known])
-    d = d.where(F.size("hits") > 0).select("doc_id", "h0", F.explode(F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("hits")))).alias("t"))
-    d = d.select("doc_id", F.col("t.license").alias("license"), F.size(F.array_intersect("h0", "t.sh")).alias("shared"), F.size("t.sh").alias("template_shingles"))
+    d = d.select("doc_id", "h0", "runs", F.explode(F.array(F.concat(*found))).alias("hits"))
+    row = lambda name, sh, bands, run: F.struct(F.lit(name).alias("license"), lits(sh).alias("sh"), lits(bands).alias("bands"), F.lit(run).cast("string").alias("run"))
+    table = F.array(*[row(t[0], t[1], t[2], None) for t in known], *[row(name, [], [], run) for name, run in short])
+    found_in = lambda t: F.arrays_overlap(t["bands"], F.col("hits")) | F.array_contains(F.col("runs"), t["run"])
+    d = d.where((F.size("hits") > 0) | (F.size("runs") > 0)).select("doc_id", "h0", F.explode(F.filter(table, found_in)).alias("t"))
+    count = lambda n: F.when(F.col("t.run").isNotNull(), 1).otherwise(n)
+    d = d.select("doc_id", F.col("t.license").alias("license"), count(F.size(F.array_intersect("h0", "t.sh"))).alias("shared"), count(F.size("t.sh")).alias("template_shingles"))
     return d.where("5 * shared >= 4 * template_shingles").withColumn("containment", F.col("shared") / F.col("template_shingles"))

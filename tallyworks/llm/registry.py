@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.NOTICES)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,18 @@ def test_licenses_long_template_with_edits(spark):
     assert [(r.doc_id, r.license) for r in got] == [(1, "MIT")] and got[0].containment < 1
 
 
+def test_licenses_short_templates(spark, sf, docs):
+    w = lambda t: f" {' '.join(x for x in re.split('[^a-z0-9]+', (t or '').lower()) if x)} "
+    got = [(r.doc_id, r.containment) for r in registry.op1_license_scan(spark, sf).where("license = 'All rights reserved'").collect()]
+    want = [(r.doc_id, 1.0) for r in docs.collect() if " all rights reserved " in w(r.text)]
+    assert sorted(got) == sorted(want) and want
+    texts = {"one": "Unlicensed!", "two": "See LICENSE", "four": "for internal use only", "none": "...", "long": "one two three four five six"}
+    rows = [(1, "see license"), (2, "(c) X -- For internal, use ONLY; unlicensed"), (3, "see licenses for internal use"), (4, None), (5, "a one two three four five six, see license b")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan_licenses(frame, texts).collect()) == [(1, "two"), (2, "four"), (2, "one"), (5, "long"), (5, "two")]
+    assert licenses.scan_licenses(frame, {"two": "see license"}).count() == 2
+
+
 # -- 2 Jaccard join
 
 def brute_join(rows):
