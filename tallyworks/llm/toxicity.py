@@ -2,14 +2,14 @@
 
 1. Voters. Words, word beginnings and frequent word beginnings (shared by two different words and one in FREQUENT words
    of the text; languages that compound and inflect insult by stem) that tell toxic from other labelled training texts
-   are mined from a bounded sample of labelled rows (SAMPLE_ROWS, a documented parameter); the strongest become lexicon
-   voters, next to fixed pattern voters (shouting, symbols, repeated words).
+   are mined from all labelled training rows; the strongest become lexicon voters, next to fixed pattern voters
+   (shouting, symbols, repeated words).
 2. Label model. Every text of the corpus casts its votes. A generative model with one pair of vote probabilities for
    each voter and class is fitted by expectation maximisation over the counts of all vote patterns, with the labels of
    training rows held fixed; then the correlations of the voters within the classes are measured over the same counts,
    and the evidence of voters that repeat one another is divided by the size of their group.
-3. Classifier. A linear (logistic) model over the mined features is trained on the posterior labels of the sample and
-   scores every text.
+3. Classifier. A linear (logistic) model over the mined features is trained on the posterior labels of a bounded
+   sample of labelled rows (SAMPLE_ROWS, a documented parameter) and scores every text.
 
 Labels are learned only from rows with crc32(doc_id as text) mod 5 <> 0; a score depends on the text alone.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-SAMPLE_ROWS = 20_000  # labelled rows for mining and training
+SAMPLE_ROWS = 20_000  # labelled rows the classifier is trained on
 FEATURES = 320
 LEXICON_VOTERS = 40
 MIN_TOXIC = 3
@@ -242,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     y = y.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    y = c.materialize(y.join(docs.select("doc_id"), "doc_id", "left_semi"), "tox-labels")
     sample = c.materialize(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "tox-sample")
-    names, voters = mine(docs.join(F.broadcast(sample), "doc_id"), FEATURES)  # at most sample_rows rows of two numbers
+    names, voters = mine(docs.where(~F.col("held_out")).join(y.hint("merge"), "doc_id"), FEATURES)  # labels grow with the corpus
     if not names:
         return None, None
     votes = c.materialize(docs.mapInArrow(lambda b: _extract(b, names, voters), "doc_id bigint, feats array<int>, mask bigint, held_out boolean"), "tox-votes")

@@ -475,3 +475,12 @@ def test_shouting_is_judged_over_the_whole_text():
     assert "#shout" not in toxicity.text_features(loud[:2100] + calm * 4)
     for text in (calm + loud, "ÀÉx Ωω ǅ \U0001d400 ABC", ""):
         assert toxicity.capitals(text) == sum(map(str.isupper, text))
+
+
+def test_toxicity_voters_are_mined_from_all_labels(spark):
+    rng = np.random.default_rng(3)
+    insults = ["grobnax", "plufit", "zwerkon", "tadroll", "mibbish"]
+    rows = [(i, " ".join([f"calm{x}" for x in rng.integers(0, 50, 12)] + ([insults[i // 10 % 5]] if i % 10 == 0 else [])), int(i % 10 == 0)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    scorer, _ = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), sample_rows=40)
+    assert set(insults) <= set(scorer.at)
