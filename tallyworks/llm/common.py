@@ -7,9 +7,9 @@ Python code runs per word.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,38 +25,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the session's default file system resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees. Set by the cluster in ``spark.checkpoint.dir``; a temporary one in local tests."""
+    """The folder every executor sees, set by the cluster in ``spark.checkpoint.dir``; without it, a temporary one, but
+    only where driver and executors are one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyworks.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyworks-")
         spark.conf.set("tallyworks.shared.dir", root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        if (path := _paths.pop(t, None)) is not None:
+            drop_path(t.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_path(uri: str) -> str | None:
     """The plain path behind a ``file:`` URI (a shared mount), or None for another store."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else None
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -93,8 +111,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _lut(punctuation_separates: bool) -> np.ndarray:
-    """Byte -> lower-cased byte, 0 for a separator. Bytes of non-ASCII letters stay."""
+    """Byte -> lower-cased byte, 0 for a separator. Bytes of non-ASCII letters stay; NUL, where it is part of a token,
+    becomes 255, which no UTF-8 text holds."""
     t = np.arange(256, dtype=np.uint8)
+    t[0] = 255
     t[65:91] += 32
     if punctuation_separates:
         for b in range(128):
@@ -210,18 +230,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, comp): the smallest node of each connected component, from edges (a, b).
 
     Minimum labels travel along the edges and labels are shortcut (a node takes its label's label), so chains
-    halve each round. Every round is a table in the shared folder; nothing is collected.
+    halve each round. Every round is a table in the shared folder, deleted after the next one; nothing is collected. A
+    round makes one row for each end of an edge, and a node of any degree is summed up in part before its rows meet.
     """
-    spark = edges.sparkSession
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), f"{name}-0")
+    once = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = materialize(once.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), f"{name}-edges")
+    step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), f"{name}-0")
     while True:
+        labels = step.select("node", "comp")
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         hooked = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        stepped = hooked.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        done = materialize(stepped, f"{name}-step")
-        changed = done.where("comp != old").limit(1).count()
-        labels = done.select("node", "comp")
-        if not changed:
-            return labels
+        done = materialize(hooked.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), f"{name}-step")
+        release(step)
+        step = done
+        if not done.where("comp != old").limit(1).count():
+            release(both)
+            return done.select("node", "comp")

@@ -137,12 +137,50 @@ def test_jaccard_join_brute_force(docs):
 def test_jaccard_join_edges_and_blocks(spark, edge, nothing, monkeypatch):
     assert Counter(tuple(r) for r in jaccard_join.jaccard_join(edge).collect()) == brute_join(EDGE)
     assert jaccard_join.jaccard_join(nothing).count() == 0
-    # a large group of near copies over many blocks: every link counts
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join.in_blocks, "__defaults__", (8, 2))
+    # a large group of near copies over many blocks: every link counts; nodes above NODE go on as one set
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i, k in enumerate(range(10, 190, 4))]
-    assert Counter(tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute_join(rows)
+    rows += [(100 + i, " ".join(f"v{i}x{j}" for j in range(80))) for i in range(5)]
+    want = brute_join(rows)
+    for block, node in ((8, 4096), (8, 10), (1024, 10)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "NODE", node)
+        assert Counter(tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
+
+
+def test_jaccard_join_whole_table(spark):
+    """Every class and link of sf0.01 against brute force: the recall of the forest is measured, not assumed."""
+    docs = c.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_join(docs).collect()) == brute_join(rows)
+
+
+def test_forest_recall_at_the_threshold(spark):
+    """Pairs just above 0.8: 150 of 200 words in one run are shared, so that 0.8 of the shingles agree."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for p in range(300):
+        w = [f"p{p}w{x}" for x in rng.integers(0, 10**6, 104)]
+        rows += [(2 * p, " ".join(w[:94])), (2 * p + 1, " ".join(w[10:]))]
+    n = Counter(r.class_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    linked = brute_join(rows[:2])[(1, 0, 1, 1, 1)]
+    assert linked == 1 and sum(k == 2 for k in n.values()) >= 0.99 * 300
+
+
+def test_node_sets_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    path = np.sort(rng.integers(0, 3, 60) << 32 | rng.integers(0, 2, 60) << 16 | rng.integers(0, 2, 60))
+    least = rng.choice([jaccard_join.FLOOR, jaccard_join.FLOOR + 1, jaccard_join.DEPTH], 60)
+    kind = rng.integers(0, 9, 60)
+    sketch = rng.integers(0, 256, (9, jaccard_join.SKETCH), dtype=np.uint8)[kind]
+    want = jaccard_join.Forest(60)
+    for i in range(60):
+        for j in range(i):
+            deep = jaccard_join.shared_depth(path[i : i + 1], path[j : j + 1])[0]
+            if kind[i] == kind[j] and deep >= max(least[i], least[j]):
+                want.join(i, j)
+    got = jaccard_join.node_sets(path, least, sketch)
+    assert [[got[i] == got[j] for i in range(60)] for j in range(60)] == [[want.find(i) == want.find(j) for i in range(60)] for j in range(60)]
 
 
 def test_keep_one(spark, edge, docs):
@@ -151,12 +189,20 @@ def test_keep_one(spark, edge, docs):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 4, 5, 7, 8, 8]
     classes = {r.class_id for r in jaccard_join.jaccard_join(docs).collect()}
     assert sorted(r.doc_id for r in jaccard_join.keep_one(docs).collect()) == sorted(classes)
+    # rows of one id and text that differ elsewhere: always the same one stays
+    twins = edge.where("doc_id = 7").selectExpr("doc_id", "text", "explode(array('x', 'y', 'z')) AS jj_doc", "'a' AS doc", "'b' AS same")
+    assert jaccard_join.keep_one(twins).collect() == jaccard_join.keep_one(twins.orderBy("jj_doc", ascending=False)).collect()
 
 
 def test_forest_depth():
-    d = jaccard_join.matched_depth()
-    t, n = jaccard_join.THRESHOLD, jaccard_join.TREES
-    assert 1 - (1 - t**d) ** n >= jaccard_join.RECALL > 1 - (1 - t ** (d + 1)) ** n
+    t, n, recall = jaccard_join.THRESHOLD, jaccard_join.TREES, jaccard_join.RECALL
+    for s in (t, 0.85, 0.9):
+        d = jaccard_join.matched_depth(s)
+        assert 1 - (1 - s**d) ** n >= recall and (d == jaccard_join.DEPTH or recall > 1 - (1 - s ** (d + 1)) ** n)
+    # the least similarity of any two sets of which one has this size
+    for size in (1, 3, 4, 6, 7):
+        got = min((i / (size + m - i) for m in range(1, 30) for i in range(min(size, m) + 1) if i / (size + m - i) >= t), default=None)
+        assert abs(jaccard_join.least_similarity(size) - got) < 1e-12
 
 
 # -- 3 PII
