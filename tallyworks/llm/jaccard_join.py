@@ -383,13 +383,14 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = placed.join(sizes, "comp").withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) AS int)"))
     placed = c.materialize(placed.drop("size"), "jj-placed")
     texts = docs.select(*_row_key(), "text")
-    held = texts.join(placed, ["doc", "th"]).select("comp", "block", "key", "text")
+    # candidates grow with the corpus: never broadcast
+    held = texts.join(placed.hint("merge"), ["doc", "th"]).select("comp", "block", "key", "text")
     held = held.repartition(_parts(docs), "comp", "block").sortWithinPartitions("comp", "block")
     checked = c.materialize(held.mapInArrow(_verify, "key binary, links bigint, root binary"), "jj-links")
 
     split = placed.where("blocks > 1")
     if split.limit(1).count():
-        split = split.join(checked.select("key", "root"), "key").join(texts, ["doc", "th"])
+        split = split.join(checked.select("key", "root"), "key").hint("merge").join(texts, ["doc", "th"])
         split = split.withColumn("x", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))).select("comp", F.least("x", "block").alias("bi"), F.greatest("x", "block").alias("bj"), (F.col("block") > F.col("x")).cast("int").alias("side"), "key", "root", "text")
         split = split.repartition(_parts(docs), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
         across = c.materialize(split.mapInArrow(_verify_pairs, "key binary, links bigint, a binary, b binary"), "jj-across")
@@ -424,7 +425,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = signed.groupBy(F.col("doc_id").alias("doc"), "th").agg(F.count("*").alias("same"))
     best = c.materialize(best.join(same, ["doc", "th"]), "jj-best")
     rows = docs.select(*_row_key(), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
-    kept = rows.join(best, ["doc", "th"])
+    kept = rows.join(best.hint("merge"), ["doc", "th"])
     if not best.where("same > 1").limit(1).count():
         return kept.select("row.*")
     # only rows that occur several times over need a second shuffle
