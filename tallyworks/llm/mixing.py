@@ -10,9 +10,12 @@ All rows are kept. When a source runs out, the remaining ones go on with their s
 counts these changes; phase 0 is the part at the full target weights). In the last period of a phase the slots that
 an ending source no longer fills are closed up.
 
+Rows of a stream are ordered by a hash of the whole row, then by the key columns, so equal or null ids do not make the
+order depend on how a task read its rows; rows that tie are equal in every column and take either slot.
+
 Defined cases: a null source counts as ``''``; sources outside ``shares`` form one stream, ``other``; null ids and
-repeated rows are ordinary rows; an empty table gives an empty result. Columns whose names clash with the ones added
-here (``mix_*``) are replaced.
+repeated rows are ordinary rows; texts are hashed whole, whatever their length; an empty table gives an empty result. The
+five columns of ADDED replace columns of those names; all others stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ OTHER = "(other)"
 #: Target shares of the test sources: 1 to 4 parts.
 SHARES = {f"src{i}": 1 + i % 4 for i in range(20)}
 BLOCK_ROWS = 8
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
+RANGE_BUCKETS = 4096  # buckets summed up in one task
+ADDED = ("mix_stream", "mix_block", "mix_phase", "mix_slot", "mix_row")
 
 
 def edf_period(shares: str = "shares", total: str = "k") -> str:
@@ -65,28 +70,30 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, block_row
     shares = SHARES if shares is None else shares
     if any(int(v) != v or v < 1 for v in [*shares.values(), other_share]):
         raise ValueError("shares are positive integers")
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    names = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else None
+    own = [F.col(f"`{x}`") for x in docs.columns if x not in ADDED]
+    rows = docs.count()
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    named = [F.lit(x) for kv in shares.items() for x in kv]
+    share_of = lambda stream: F.coalesce(F.create_map(*named)[stream] if named else F.lit(None), F.lit(other_share)).cast("long")
     source = F.coalesce(F.col("source"), F.lit(""))
-    listed = source.isin(*shares) if shares else F.lit(False)
-    share = F.when(listed, names[source]).otherwise(F.lit(other_share)).cast("long") if shares else F.lit(other_share).cast("long")
-    order = F.xxhash64(*[F.col(c) for c in keys])
-    d = docs.withColumn("mix_stream", F.when(listed, source).otherwise(F.lit(OTHER))).withColumn("mix_h", order).withColumn("mix_bucket", F.pmod(F.col("mix_h"), F.lit(buckets)))
-    # rows are numbered in two steps, so that no task holds a whole source: within buckets, and buckets against each other
-    counts = d.groupBy("mix_stream", "mix_bucket").agg(F.count("*").alias("n"))
-    counts = counts.select("mix_stream", "mix_bucket", "n", (F.sum("n").over(W.partitionBy("mix_stream").orderBy("mix_bucket")) - F.col("n")).alias("mix_before"))
-    streams = counts.groupBy("mix_stream").agg(F.sum("n").alias("n")).select(F.col("mix_stream").alias("stream"), F.expr(f"(n + {block_rows} - 1) div {block_rows}").alias("blocks"))
-    stream_share = F.coalesce(names[F.col("stream")], F.lit(other_share)).cast("long") if shares else F.lit(other_share).cast("long")
-    plan = schedule(streams.withColumn("share", stream_share))
-    # an array per stream: at most (streams x shares) entries, both parameters
-    plan = plan.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("until", "j", "since", "phase", "done", "k", "slot", "last_slot"))).alias("mix_plan"))
-    numbers = counts.join(F.broadcast(plan), counts.mix_stream == plan.stream).drop("stream", "n")
-    numbers = numbers.withColumnRenamed("mix_stream", "mix_s").withColumnRenamed("mix_bucket", "mix_b")
-    rn = F.row_number().over(W.partitionBy("mix_stream", "mix_bucket").orderBy("mix_h", *keys)).cast("long") - 1
-    d = d.withColumn("mix_rn", rn).withColumn("mix_share", share)
-    d = d.join(numbers, (d.mix_stream == numbers.mix_s) & (d.mix_bucket == numbers.mix_b)).withColumn("mix_i", F.col("mix_rn") + F.col("mix_before"))
-    d = d.withColumn("mix_block", F.expr(f"mix_i div {block_rows}")).withColumn("mix_row", F.expr(f"mix_i % {block_rows}")).withColumn("mix_u", F.expr("mix_block div mix_share"))
-    d = d.withColumn("mix_at", F.expr("filter(mix_plan, x -> x.until > mix_u AND x.since <= mix_u AND x.j = mix_block % mix_share)[0]"))
-    slot = F.expr("mix_at.done + mix_u * mix_at.k + if(mix_u = mix_at.until - 1, mix_at.last_slot, cast(mix_at.slot AS bigint))")
-    return d.select(*docs.columns, "mix_stream", "mix_block", F.col("mix_at.phase").alias("mix_phase"), slot.alias("mix_slot"), "mix_row")
+    stream = F.when(source.isin(*shares), source).otherwise(F.lit(OTHER)) if shares else F.lit(OTHER)
+    d = docs.select(stream.alias("stream"), F.xxhash64(*[F.col(k) for k in keys], *own).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.struct(*own).alias("row"))
+    d = d.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    # rows are numbered in steps, so that no task holds a whole source: within buckets, buckets within ranges of them, and
+    # ranges against each other
+    counts = d.groupBy("stream", "bucket").agg(F.count("*").alias("n")).withColumn("range", F.expr(f"bucket div {RANGE_BUCKETS}"))
+    before = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("stream", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("stream", "range", before(W.partitionBy("stream").orderBy("range")).alias("base"))
+    counts = counts.select("stream", "bucket", "range", before(W.partitionBy("stream", "range").orderBy("bucket")).alias("inner"))
+    counts = counts.join(ranges, ["stream", "range"]).select("stream", "bucket", (F.col("base") + F.col("inner")).alias("before"))
+    sizes = d.groupBy("stream").agg(F.count("*").alias("n")).select("stream", F.expr(f"(n + {block_rows} - 1) div {block_rows}").alias("blocks"))
+    plan = schedule(sizes.withColumn("share", share_of(F.col("stream"))))
+    # one array a stream, with at most streams x share entries: both are parameters, so the plan is bounded
+    plan = plan.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("until", "j", "since", "phase", "done", "k", "slot", "last_slot"))).alias("plan"))
+    number = F.row_number().over(W.partitionBy("stream", "bucket").orderBy("h", "key")).cast("long") - 1
+    d = d.withColumn("rn", number).join(counts, ["stream", "bucket"]).join(F.broadcast(plan), "stream").select("stream", "row", "plan", share_of(F.col("stream")).alias("share"), (F.col("rn") + F.col("before")).alias("i"))
+    d = d.withColumn("block", F.expr(f"i div {block_rows}")).withColumn("u", F.expr("block div share"))
+    d = d.withColumn("at", F.expr("filter(plan, x -> x.until > u AND x.since <= u AND x.j = block % share)[0]"))
+    slot = F.expr("at.done + u * at.k + if(u = at.until - 1, at.last_slot, cast(at.slot AS bigint))")
+    return d.select("row.*", F.col("stream").alias("mix_stream"), F.col("block").alias("mix_block"), F.col("at.phase").alias("mix_phase"), slot.alias("mix_slot"), F.expr(f"i % {block_rows}").alias("mix_row"))
