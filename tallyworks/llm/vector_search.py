@@ -5,8 +5,10 @@ once every data vector x gets one more coordinate sqrt(M - |x|^2) (M: the larges
 distances obey the triangle inequality. The index keys each vector by its nearest pivot and its distance to it, sorts by
 (pivot, distance) and packs the sorted run into segments: annuli around a pivot, each a row of a table in the shared
 folder. Queries are packed into blocks the same way. A block first searches the annuli that hold its own keys, which
-gives each query a k-th best score; then it visits just those other annuli that the triangle inequality cannot exclude
-(|d(q, p) - d(x, p)| <= d(q, x)). The scores themselves are exact integers.
+gives each query a k-th best score. Then it expands outwards in waves: of the annuli that the triangle inequality cannot
+exclude for one of its queries (|d(q, p) - d(x, p)| <= d(q, x)) it visits the nearest WAVE, tightens every query's
+bound, and goes on with WAVE times as many until none is left. Inside a visit only the queries whose own bound reaches
+the annulus are scored. The scores themselves are exact integers.
 
 Pivots are a bounded sample (PIVOTS rows) and every vector is indexed. Queries and data meet as packed blocks, never as
 rows, and a segment that many blocks visit is dealt to several tasks. One vector repeated many times fills consecutive
@@ -15,7 +17,8 @@ segments: segments are cut by row count, not by key.
 Defined cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null
 id; shorter vectors count as padded with zeros; ties go to the smaller vec_id; a query excludes its own row (rows that
 repeat its id included); with fewer than k other vectors all are returned; repeated candidate rows are one candidate
-each id and vector; an empty table gives an empty result.
+each id and vector; an empty table gives an empty result; extra columns are ignored. Components and scores that do not
+fit a long are the nearest long (such scores tie).
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+_LONG = (1 << 63) - 1
 K = 5
 SCALE = 256
 PIVOTS = 64
 SEGMENT_ROWS = 4096
 QUERY_ROWS = 512
+WAVE = 8  # annuli of a block's first expansion, and the growth of the later ones
 SLICE_BLOCKS = 16  # query blocks that meet a segment in one task
 _PACKED = "block bigint, pivot int, d_min double, d_max double, n int, payload binary"
 
@@ -61,15 +66,18 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = lambda m: int(np.abs(m.astype(np.int64)).max(initial=0))
     if top(q) * top(x) * max(1, d) < 1 << 53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if top(q) * top(x) * max(1, d) <= _LONG:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    exact = q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
+    return np.clip(exact, -_LONG, _LONG).astype(np.int64)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of long), norm2 of the vectors that take part."""
     e = F.col("embedding")
     good = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    v = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
-    return v.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    v = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.greatest(F.lit(-_LONG), F.floor(x.cast("double") * SCALE))).alias("v"))
+    return v.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 class Pivots:
@@ -144,39 +152,51 @@ def build(vectors: DataFrame, pivots: Pivots, query: bool, rows: int, name: str)
     keyed = c.materialize(keyed, f"{name}-keys")
     parts = max(1, -(-keyed.count() // (rows * 4)))
     sorted_ = keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    return c.materialize(sorted_.mapInArrow(lambda b: _pack(b, rows), _PACKED), name)
+    packed = c.materialize(sorted_.mapInArrow(lambda b: _pack(b, rows), _PACKED), name)
+    c.release(keyed)
+    return packed
+
+
+def _reach(q: np.ndarray, kth: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """(norms, the distance within which anything better than each query's k-th best score lies)."""
+    norm2 = (q.astype(float) ** 2).sum(axis=1)
+    # one unit of score, and a little for rounding, on top
+    return norm2, np.sqrt(np.maximum(norm2 + bound - 2 * (kth - 1), 0)) * (1 + 1e-9) + 1e-3
 
 
 def _visits(batches: Iterator[pa.RecordBatch], pivots: Pivots, first: bool) -> Iterator[pa.RecordBatch]:
-    """For each query block and pivot the range of keys it has to see. First round: just the block's own range."""
+    """For each query block and pivot: the keys of its queries, and the range of keys it has to see. First round: just the
+    block's own range."""
     for batch in batches:
         rows = []
         for block, pivot, lo, hi, payload in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("block", "pivot", "d_min", "d_max", "payload"))):
             if first:
-                rows.append((block, pivot, lo, hi))
+                rows.append((block, pivot, lo, hi, lo, hi))
                 continue
             _, q, _, kth = unpack(payload)
-            norm2 = (q.astype(float) ** 2).sum(axis=1)
-            # the k-th best score bounds the distance of anything better (one unit of score and a little for rounding on top)
-            reach = np.sqrt(np.maximum(norm2 + pivots.bound - 2 * (kth - 1), 0)) * (1 + 1e-9) + 1e-3
+            norm2, reach = _reach(q, kth, pivots.bound)
             d = pivots.distances(q, norm2, True)
             lows, highs = (d - reach[:, None]).min(axis=0), (d + reach[:, None]).max(axis=0)
-            rows += [(block, p, float(lows[p]), float(highs[p])) for p in range(d.shape[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.float64(), pa.float64()))], names=["qblock", "pivot", "lo", "hi"])
+            rows += [(block, p, float(lows[p]), float(highs[p]), float(d[:, p].min()), float(d[:, p].max())) for p in range(d.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int32(), *[pa.float64()] * 4))], names=["qblock", "pivot", "lo", "hi", "near", "far"])
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+def _search(left: pd.DataFrame, right: pd.DataFrame, k: int, pivots: Pivots) -> pd.DataFrame:
     """The best k of one segment for each query of some blocks."""
     out: list[tuple] = []
-    for payload in left["payload"][:1]:
+    for pivot, d_min, d_max, payload in left[["pivot", "d_min", "d_max", "payload"]][:1].itertuples(index=False):
         ids, x, _, _ = unpack(payload)
         repeats = len(np.unique(ids)) < len(ids)
         for block, q_payload in zip(right["qblock"], right["payload"]):
             qids, q, _, kth = unpack(q_payload)
-            s = products(q, x)
-            worth = s >= kth[:, None]
+            norm2, reach = _reach(q, kth, pivots.bound)
+            d = pivots.distances(q, norm2, True)[:, pivot]
+            rows = np.flatnonzero((d - reach <= d_max) & (d + reach >= d_min))
+            s = products(q[rows], x)
+            worth = s >= kth[rows, None]
             for i in np.flatnonzero(worth.any(axis=1)):
-                at = np.flatnonzero(worth[i] & (ids != qids[i]))
+                qid = qids[rows[i]]
+                at = np.flatnonzero(worth[i] & (ids != qid))
                 if repeats:  # one candidate each, as in ``best``, before the cut to k
                     at = at[np.unique(np.stack([ids[at], s[i, at]]), axis=1, return_index=True)[1]]
                 if len(at) > k:
@@ -184,16 +204,17 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
                     cut = np.partition(s[i, at], len(at) - k)[len(at) - k]
                     at = at[s[i, at] >= cut]
                     at = at[np.lexsort((ids[at], -s[i, at]))][:k]
-                out += [(block, int(qids[i]), int(ids[j]), int(s[i, j])) for j in at]
+                out += [(block, int(qid), int(ids[j]), int(s[i, j])) for j in at]
     return pd.DataFrame(out, columns=["qblock", "query_id", "vec_id", "score"]).astype("int64")
 
 
-def visit(blocks: DataFrame, segments: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+def visit(blocks: DataFrame, segments: DataFrame, visits: DataFrame, k: int, pivots: Pivots) -> DataFrame:
     """Search the listed (qblock, segment) pairs; rows of (qblock, query_id, vec_id, score)."""
-    sliced = visits.withColumn("slice", F.pmod(F.xxhash64("qblock"), F.greatest(F.lit(1), F.ceil(F.col("load") / SLICE_BLOCKS)).cast("long")))
-    left = segments.select(F.col("block").alias("segment"), "payload").join(sliced.select("segment", "slice").distinct(), "segment")
+    load = visits.groupBy("segment").agg(F.count("*").alias("load"))
+    sliced = visits.join(load, "segment").withColumn("slice", F.pmod(F.xxhash64("qblock"), F.greatest(F.lit(1), F.ceil(F.col("load") / SLICE_BLOCKS)).cast("long")))
+    left = segments.select(F.col("block").alias("segment"), "pivot", "d_min", "d_max", "payload").join(sliced.select("segment", "slice").distinct(), "segment")
     right = sliced.join(blocks.select(F.col("block").alias("qblock"), "payload"), "qblock").select(F.col("segment").alias("seg"), F.col("slice").alias("sl"), "qblock", "payload")
-    return left.groupBy("segment", "slice").cogroup(right.groupBy("seg", "sl")).applyInPandas(lambda a, b: _search(a, b, k), "qblock bigint, query_id bigint, vec_id bigint, score bigint")
+    return left.groupBy("segment", "slice").cogroup(right.groupBy("seg", "sl")).applyInPandas(lambda a, b: _search(a, b, k, pivots), "qblock bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -213,25 +234,34 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, pivo
     chosen = _pivot_rows(data, pivots)
     index = Pivots([r["v"] for r in chosen], [r["norm2"] for r in chosen], bound)
     segments, blocks = build(data, index, False, segment_rows, "vs-segments"), build(asked, index, True, query_rows, "vs-queries")
-    cover = segments.select(F.col("block").alias("segment"), "pivot", "d_min", "d_max", "n")
-
-    def pairs(ranges: DataFrame) -> DataFrame:
-        hit = ranges.join(cover, "pivot").where("d_min <= hi AND d_max >= lo").select("qblock", "segment")
-        load = hit.groupBy("segment").agg(F.count("*").alias("load"))
-        return hit.join(load, "segment")
-
-    own = blocks.mapInArrow(lambda b: _visits(b, index, True), "qblock bigint, pivot int, lo double, hi double")
-    seen = c.materialize(pairs(own), "vs-first")
-    first = c.materialize(visit(blocks, segments, seen, k), "vs-found")
-    kth = best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    # write each query's bound into its block
-    of = blocks.select("block", "payload").mapInArrow(_query_ids, "qblock bigint, query_id bigint")
-    bounds = of.join(kth, "query_id").groupBy("qblock").agg(F.collect_list(F.struct("query_id", "kth")).alias("kth"))  # at most query_rows a block
-    bounded = c.materialize(blocks.join(bounds.withColumnRenamed("qblock", "block"), "block", "left").mapInArrow(_set_bounds, _PACKED), "vs-bounded")
-    rest = bounded.mapInArrow(lambda b: _visits(b, index, False), "qblock bigint, pivot int, lo double, hi double")
-    todo = pairs(rest).join(seen.select("qblock", "segment"), ["qblock", "segment"], "left_anti")
-    final = best(first.unionByName(visit(bounded, segments, c.materialize(todo, "vs-rest"), k)), k)
-    return final.select("query_id", "rank", "vec_id", "score")
+    cover = segments.select(F.col("block").alias("segment"), "pivot", "d_min", "d_max")
+
+    def pairs(bounded: DataFrame, first: bool) -> DataFrame:
+        """(qblock, segment, gap): annuli that some query of a block reaches, and their distance from its keys."""
+        ranges = bounded.mapInArrow(lambda b: _visits(b, index, first), "qblock bigint, pivot int, lo double, hi double, near double, far double")
+        gap = F.greatest(F.lit(0.0), F.col("near") - F.col("d_max"), F.col("d_min") - F.col("far"))
+        return ranges.join(cover, "pivot").where("d_min <= hi AND d_max >= lo").select("qblock", "segment", gap.alias("gap"))
+
+    of = c.materialize(blocks.select("block", "payload").mapInArrow(_query_ids, "qblock bigint, query_id bigint"), "vs-ids")
+    seen = c.materialize(pairs(blocks, True), "vs-visits")
+    found = c.materialize(best(visit(blocks, segments, seen, k, index), k), "vs-found")
+    wave = WAVE
+    while True:
+        kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        # each query's bound goes into its block, of at most query_rows queries
+        bounds = of.join(kth, "query_id").groupBy(F.col("qblock").alias("block")).agg(F.collect_list(F.struct("query_id", "kth")).alias("kth"))
+        bounded = c.materialize(blocks.join(bounds, "block", "left").mapInArrow(_set_bounds, _PACKED), "vs-bounded")
+        left = pairs(bounded, False).join(seen.select("qblock", "segment"), ["qblock", "segment"], "left_anti")
+        nearest = left.withColumn("at", F.row_number().over(W.partitionBy("qblock").orderBy("gap", "segment"))).where(F.col("at") <= wave)
+        todo = c.materialize(nearest.select("qblock", "segment", "gap"), "vs-visits")
+        if not todo.limit(1).count():
+            break
+        more = visit(bounded, segments, todo, k, index).select("query_id", "vec_id", "score")
+        better = c.materialize(best(found.select("query_id", "vec_id", "score").unionByName(more), k), "vs-found")
+        c.release(found, bounded)
+        found, seen, wave = better, seen.unionByName(todo), wave * WAVE
+    c.release(segments, blocks)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _pivot_rows(data: DataFrame, n: int) -> list:
