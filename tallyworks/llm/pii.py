@@ -4,14 +4,17 @@ The base patterns find plain e-mail addresses, IPv4 addresses, 16 to 19 digit ca
 numbers. The semi-CRF adds whole spans that the patterns leave out: spelled-out e-mail addresses (``jo at mail dot
 org``), national phone numbers, 13 to 15 digit cards, IPv6 addresses and social security numbers. It scores candidate
 segments by features of the whole span (its digit groups, checksum, separators, neighbours), and a dynamic program
-over segments of at most MAX_LEN tokens picks boundaries and kinds jointly. Only tokens near a digit or a spelled-out
-address are decoded; the rest of a text has no candidate segment.
+over segments picks boundaries and kinds jointly. Entities are bounded: a segment has at most MAX_LEN tokens, and MAX_CHARS
+characters, the length of the longest mail address. Only tokens near a digit or a spelled-out address are decoded; the
+rest of a text has no candidate segment.
 
 The weights are trained here, on the driver, by gradient ascent on the conditional log-likelihood of generated
 sentences (``training_sentences``; a fixed number from a fixed seed): there is no labelled personal data to learn from.
 
 Defined cases: a null or empty text has no spans (its hash is that of the empty string); texts of any length are read
-whole, in time linear in their length; null and repeated ids are carried through.
+whole, in time linear in their length; null and repeated ids are carried through; repeated rows give repeated results; of
+two segmentations with one score the one with fewer spans is taken; extra columns are ignored by the scan and kept by
+the redaction; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn")
-MAX_LEN = 15
+MAX_LEN, MAX_CHARS = 31, 320
 MARGIN = 2.0
 # The base forms. Possessive and anchored where this cannot change a match, so that they stay linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -92,7 +95,7 @@ _NUMBERS = re.compile(r"[0-9]+")
 _SPOKEN = re.compile(r"(?<![^\W_])(?:dot|DOT|Dot)(?![^\W_])")
 _PREFIX = re.compile(r"\+[0-9]{1,3}[ .-]?\Z")  # a country code left of a national number
 _AT = re.compile(r"(?<![^\W_])at(?![^\W_])", re.I)
-_REACH = 80  # characters kept on either side of a trigger
+_REACH = 80  # characters decoded on either side of a number; MAX_CHARS of a spelled-out dot
 _CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial"},
     "card": {"card", "visa", "amex", "mastercard", "credit", "cc"},
@@ -103,12 +106,6 @@ _CUES = {
 }
 
 
-def _shape(span: str) -> str:
-    out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 9)}", span)
-    out = re.sub(r"[^\W\d_]+", lambda m: m[0].lower() if m[0].lower() in ("at", "dot") else "w", out)
-    return re.sub(r"\s+", "_", out)[:40]
-
-
 def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of the segment of tokens i to j-1: of the span as a whole and of its neighbours."""
     s, e = toks[i][0], toks[j - 1][1]
@@ -131,10 +128,18 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
     f.append(f"glued={glued}")
     near = {text[a:b].lower() for a, b in toks[max(0, i - 3) : i]}
     f += [f"cue={k}" for k, words in _CUES.items() if near & words]
+    # a span that stops short of a neighbouring dot or at, or of one more group of digits
+    spoken = lambda k: 0 <= k < len(toks) and text[slice(*toks[k])].lower() in ("dot", "at")
+    more = lambda k, a, b: 0 <= k < len(toks) and text[toks[k][0]].isdigit() and text[a:b] in (" ", "-", ".", "")
+    edge = lambda k: spoken(k) or (0 <= k < len(toks) and text[toks[k][0]] in "[]()" and (spoken(k - 1) or spoken(k + 1)))
+    f.append(f"open={bool(letters) and (edge(i - 1) or edge(j))}")
+    f.append(f"cut={not letters and (more(i - 1, toks[i - 1][1], s) or more(j, e, toks[j][0] if j < len(toks) else e))}")
+    if n and not letters:
+        f += [f"lead={digits[0]}", f"lead={digits[0]},groups={groups[:6]}"]
     return f
 
 
-_SPELLED = r"[A-Za-z0-9]+(?:[ ]?(?:\.|[\[(]?dot[\])]?)[ ]?[A-Za-z0-9]+)*[ ][\[(]?(?:at|AT|At)[\])]?[ ][A-Za-z0-9-]+(?:[ ][\[(]?(?:dot|DOT|Dot)[\])]?[ ][A-Za-z0-9-]+)+"
+_SPELLED = r"[A-Za-z0-9]+(?:[ ]?(?:[._-]|[\[(]?(?:dot|DOT|Dot)[\])]?)[ ]?[A-Za-z0-9]+)*[ ][\[(]?(?:at|AT|At)[\])]?[ ][A-Za-z0-9-]+(?:[ ][\[(]?(?:dot|DOT|Dot)[\])]?[ ][A-Za-z0-9-]+)+"
 _IPV6 = r"(?=.*:.*:)(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4})?"
 _NANP = r"(?:1[-. ])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ][0-9]{4}"
 _SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
@@ -148,11 +153,9 @@ def candidate(text: str, toks: list[tuple[int, int]], i: int, j: int) -> bool:
     """A segment that can be personal data at all: it starts and ends with a word, number or bracket."""
     s, e = toks[i][0], toks[j - 1][1]
     first, last = text[s], text[e - 1]
-    if not (first.isalnum() or first in "(:") or not (last.isalnum() or last == ":") or e - s > _REACH:
+    if not (first.isalnum() or first in "(:") or not (last.isalnum() or last in ":)"):
         return False
     span = text[s:e]
-    if "\n" in span:
-        return False
     if span.count(":") >= 2:
         return True
     if any(ch.isalpha() for ch in span):
@@ -170,8 +173,17 @@ class SemiCRF:
         return [sum(v) for v in zip(*(self.w[x] for x in f if x in self.w))] or [0.0] * len(KINDS)
 
     def segments(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-        n = len(toks)
-        return [(i, j, features(text, toks, i, j)) for i in range(n) for j in range(i + 1, min(n, i + MAX_LEN) + 1) if candidate(text, toks, i, j)]
+        out, n = [], len(toks)
+        for i in range(n):
+            s = toks[i][0]
+            end = text.find("\n", s, s + MAX_CHARS)
+            end = s + MAX_CHARS if end < 0 else end
+            for j in range(i + 1, min(n, i + MAX_LEN) + 1):
+                if toks[j - 1][1] > end:
+                    break
+                if candidate(text, toks, i, j):
+                    out.append((i, j, features(text, toks, i, j)))
+        return out
 
     def decode(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """Best segmentation: value[j] is the best score of a segmentation of the first j tokens."""
@@ -239,15 +251,21 @@ def training_sentences(n: int = 400, seed: int = 3) -> list[tuple[str, list[tupl
 
     def card(k):
         x = r.choice("3456") + d(k - 2)
-        return next(x + str(t) for t in range(10) if luhn(x + str(t)))
+        x = next(x + str(t) for t in range(10) if luhn(x + str(t)))
+        gap = r.choice(["", "", " ", "-"])
+        return x if k != 15 else gap.join((x[:4], x[4:10], x[10:]))
 
     def phone():
         a, b, e = str(r.randint(2, 9)) + d(2), str(r.randint(2, 9)) + d(2), d(4)
-        return r.choice([f"({a}) {b}-{e}", f"{a}-{b}-{e}", f"{a}.{b}.{e}", f"1-{a}-{b}-{e}"])
+        pairs = " ".join(d(2) for _ in range(4))
+        national = [f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(4)} {d(6)}", f"0{r.randint(1, 9)} {pairs}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(2)}-{d(4)}-{d(4)}"]
+        return r.choice([f"({a}) {b}-{e}", f"{a}-{b}-{e}", f"{a}.{b}.{e}", f"1-{a}-{b}-{e}", *r.sample(national, 3)])
 
     def mail():
-        at, dot = r.choice([("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)")])
-        return f"{word()}{r.choice(['', d(2)])} {at} {word()} {dot} {r.choice(['com', 'org', 'net', 'de'])}"
+        at, dot = r.choice([("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)"), ("AT", "DOT")])
+        local = [word() + r.choice(["", d(2)]) for _ in range(r.choice([1, 1, 2, 3]))]
+        domain = [word() for _ in range(r.choice([1, 1, 2]))] + [r.choice(["com", "org", "net", "de", "uk"])]
+        return r.choice([f" {dot} ", f" {dot} ", ".", "_"]).join(local) + f" {at} " + f" {dot} ".join(domain)
 
     def ssn():
         return f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
@@ -291,17 +309,16 @@ def trained() -> SemiCRF:
 
 def added_spans(text: str, model: SemiCRF, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Segments of the semi-CRF that no base span touches."""
-    marks = [m.span() for m in _NUMBERS.finditer(text)]
+    marks = [(*m.span(), _REACH) for m in _NUMBERS.finditer(text)]
     if "dot" in text or "DOT" in text or "Dot" in text:
-        marks += [m.span() for m in _SPOKEN.finditer(text)]
+        marks += [(*m.span(), MAX_CHARS) for m in _SPOKEN.finditer(text)]
     if not marks and "::" not in text:
         return []
-    marks = sorted(marks + [(m.start(), m.end()) for m in re.finditer("::", text)])
+    marks = sorted((max(0, s - reach), min(len(text), e + reach)) for s, e, reach in marks + [(m.start(), m.end(), _REACH) for m in re.finditer("::", text)])
     regions: list[list[int]] = []
-    for s, e in marks:
-        lo, hi = max(0, s - _REACH), min(len(text), e + _REACH)
+    for lo, hi in marks:
         if regions and lo <= regions[-1][1]:
-            regions[-1][1] = hi
+            regions[-1][1] = max(hi, regions[-1][1])
         else:
             regions.append([lo, hi])
     taken: list[tuple[int, int]] = []
