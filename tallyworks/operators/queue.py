@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,14 @@ def receipt_columns(df: DataFrame) -> DataFrame:
     if bad := set(df.columns) & set(FORBIDDEN):
         raise ValueError(f"not for receipts: {sorted(bad)}")
     return df.select(*[c for c in ALLOWED if c in df.columns])
+
+
+def with_retry(step: Callable, attempts: int = 5, first_ms: int = 400, sleep: Callable[[float], None] = time.sleep):
+    """The result of ``step``; after a failure it waits 400 ms, then twice as long each time. The last failure is raised."""
+    for n in range(attempts):
+        try:
+            return step()
+        except Exception:
+            if n == attempts - 1:
+                raise
+            sleep(first_ms * 2**n / 1000)

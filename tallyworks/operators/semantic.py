@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.analysis import MODEL
+
 
 @dataclass(frozen=True)
 class Item:
@@ -22,6 +24,8 @@ class Model:
     key: str
     dimensions: list[Item] = field(default_factory=list)
     metrics: list[Item] = field(default_factory=list)
+    facts: list[Item] = field(default_factory=list)
+    table_synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def _item(self, items: list[Item], name: str) -> Item:
         for i in items:
@@ -40,20 +44,26 @@ class Model:
         return df.groupBy(*[F.expr(d.expression).alias(d.name) for d in dims]).agg(*measures)
 
     def describe(self, spark: SparkSession) -> DataFrame:
-        rows = [("TABLE", t, "key", self.key) for t in self.tables]
-        for kind, items in (("DIMENSION", self.dimensions), ("METRIC", self.metrics)):
+        rows = []
+        for t in self.tables:
+            rows += [("TABLE", t, "key", self.key), ("TABLE", t, "synonyms", ", ".join(self.table_synonyms.get(t, ())))]
+        for kind, items in (("DIMENSION", self.dimensions), ("METRIC", self.metrics), ("FACT", self.facts)):
             for i in items:
                 rows += [(kind, i.name, "expression", i.expression), (kind, i.name, "synonyms", ", ".join(i.synonyms))]
         return spark.createDataFrame(rows, "object_kind string, object_name string, property string, value string")
 
 
-def trust_model(risk: DataFrame, activity: DataFrame) -> Model:
-    return Model(
-        {"risk": risk, "activity": activity.drop("first_at", "last_at")},
-        "org_id",
-        [Item("state", "risk", "state", ("place",)), Item("cause", "risk", "cause", ("sector", "mission")), Item("verdict", "risk", "verdict", ("standing",))],
-        [Item("orgs", "risk", "count(DISTINCT org_id)", ("organisations", "charities")), Item("mean_risk", "risk", "round(avg(risk_score), 6)", ("average risk",)), Item("moved_usd", "activity", "round(sum(moved_usd), 2)", ("money moved",))],
-    )
+EXPRESSIONS = {
+    "geometry_verdict": ("disb", "geometry_verdict"), "district": ("disb", "district"), "status": ("disb", "status"), "amount_usd": ("disb", "amount_usd"), "pledged_usd": ("disb", "pledged_usd"),
+    "total_usd": ("disb", "round(sum(amount_usd), 2)"), "flagged_pct": ("disb", "round(avg(CASE WHEN geometry_verdict <> 'PLAUSIBLE' THEN 1D ELSE 0D END), 6)"),
+    "delivered_usd": ("disb", "round(sum(CASE WHEN status = 'DELIVERED' THEN amount_usd ELSE 0 END), 2)"), "event_count": ("disb", "count(disbursement_id)"),
+}
+
+
+def giving_model(orgs: DataFrame, deliveries: DataFrame) -> Model:
+    """Organisations and deliveries: two facts, six dimensions, four metrics, with their synonyms."""
+    items = {kind: [Item(n, *EXPRESSIONS.get(n, ("orgs", n)), tuple(x for x in s.split(", ") if x)) for k, n, s in MODEL if k == kind] for kind in ("DIMENSION", "METRIC", "FACT")}
+    return Model({"orgs": orgs.select("org_id", "state", "cause", "city"), "disb": deliveries}, "org_id", items["DIMENSION"], items["METRIC"], items["FACT"], {n: tuple(s.split(", ")) for k, n, s in MODEL if k == "TABLE"})
 
 
 def best_preset(question: str, presets: dict[str, str], previous: str | None = None) -> str | None:

@@ -8,37 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import register_jaro_winkler
 from .dialect import Duck, Spark
-from .marts import MARTS
-from .named import texts
+from .marts import MARTS, literal
+from .named import DEFAULTS, ORACLES, texts
+from .store import Store, session_store
 
 _REF = re.compile(r"\{(\w+)\}")
+_PARAM = re.compile(r"(?<![\w:']):([a-z]+)\b")
+
+#: Marts that several queries share and that cost a join of the large tables: written once, then read.
+WRITTEN = ("delivery_geometry", "clone_pairs", "org_risk", "org_activity", "receipt_coverage")
 
 
 def references(sql: str) -> list[str]:
     return list(dict.fromkeys(_REF.findall(sql)))
 
 
-def resolve(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
-    """A mart as a lazy DataFrame over its inputs; a source table as its scan."""
+def parameters(sql: str) -> list[str]:
+    return list(dict.fromkeys(_PARAM.findall(sql)))
+
+
+def resolve(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], store: Store | None = None) -> DataFrame:
+    """A source table as its scan; a mart as a lazy DataFrame over its inputs, or as its written table if ``store`` keeps
+    it."""
     if name not in made:
-        if name in MARTS:
-            sql = MARTS[name](Spark)
-            made[name] = spark.sql(sql, **{r: resolve(spark, sf_dir, r, made) for r in references(sql)})
-        else:
+        if name not in MARTS:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        elif store is not None and store.has(name):
+            made[name] = store.read(name)
+        else:
+            sql = MARTS[name](Spark)
+            df = spark.sql(sql, **{r: resolve(spark, sf_dir, r, made, store) for r in references(sql)})
+            made[name] = store.write(name, df) if store is not None and name in WRITTEN else df
     return made[name]
 
 
-def run(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, query: str, store: Store | None = None, **values) -> DataFrame:
+    """A named query. ``values`` are its parameters, bound by name and never pasted into the text."""
     sql = texts(Spark)[query]
+    if unknown := set(values) - set(parameters(sql)):
+        raise TypeError(f"{query} has no parameters {sorted(unknown)}")
     register_jaro_winkler(spark)
     made: dict[str, DataFrame] = {}
-    refs = {r: resolve(spark, sf_dir, r, made) for r in references(sql)}
-    return spark.sql(sql, **refs) if refs else spark.sql(sql)
+    store = store or session_store(spark, sf_dir)
+    refs = {r: resolve(spark, sf_dir, r, made, store) for r in references(sql)}
+    bound = {p: values.get(p, DEFAULTS[p]) for p in parameters(sql)}
+    return spark.sql(sql, args=bound or None, **refs)
 
 
 def oracle(query: str) -> str:
-    sql = texts(Duck)[query]
+    """The query for the checking engine: marts as common table expressions, parameters at their defaults."""
+    sql = ORACLES[query](Duck) if query in ORACLES else texts(Duck)[query]
     order: list[str] = []
 
     def need(text: str) -> None:
@@ -50,12 +69,10 @@ def oracle(query: str) -> str:
     need(sql)
     plain = lambda s: _REF.sub(lambda m: m[1] if m[1] not in MARTS else f"mart_{m[1]}", s)
     ctes = [f"mart_{m} AS MATERIALIZED ({plain(MARTS[m](Duck))})" for m in order]
-    body = plain(sql)
+    body = _PARAM.sub(lambda m: literal(DEFAULTS[m[1]]), plain(sql)).lstrip()
     if not ctes:
         return body
-    if body.lstrip().upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + body.lstrip()[5:]
-    return "WITH " + ", ".join(ctes) + " " + body
+    return "WITH " + ", ".join(ctes) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
 
 
 def names() -> list[str]:

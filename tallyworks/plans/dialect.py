@@ -8,10 +8,34 @@ class Spark:
 
     name = "spark"
 
+    string = "string"
+    quote = "char(39)"
+
+    @staticmethod
+    def unit(v: str) -> str:
+        """The vector as doubles of length 1; the length is taken once."""
+        norm = f"sqrt(aggregate({v}, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double)))"
+        return f"transform(array({norm}), n -> transform({v}, x -> cast(x AS double) / n))[0]"
+
+    @staticmethod
+    def dot(a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), cast(0 AS double), (s, v) -> s + v)"
+
+    @staticmethod
+    def digits(x: str) -> str:
+        return f"regexp_replace({x}, '[^0-9]', '')"
+
+    @staticmethod
+    def try_number(x: str) -> str:
+        return f"try_cast({x} AS bigint)"
+
     @staticmethod
-    def cosine(a: str, b: str) -> str:
-        dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> cast(x AS double) * cast(y AS double)), cast(0 AS double), (s, v) -> s + v)"
-        return f"({dot(a, b)} / sqrt({dot(a, a)} * {dot(b, b)}))"
+    def letter(x: str) -> str:
+        return f"char(65 + {x})"
+
+    @staticmethod
+    def initcap(x: str) -> str:
+        return f"initcap({x})"
 
     @staticmethod
     def jw(a: str, b: str) -> str:
@@ -68,15 +92,50 @@ class Spark:
     def idiv(a: str, b: str) -> str:
         return f"({a} div {b})"
 
+    @staticmethod
+    def quantile(x: str, p: float) -> str:
+        return f"percentile({x}, {p})"
+
+    @classmethod
+    def quoted(cls, x: str) -> str:
+        return f"concat({cls.quote}, replace({x}, {cls.quote}, concat({cls.quote}, {cls.quote})), {cls.quote})"
+
+    @staticmethod
+    def listagg(x: str) -> str:
+        return f"listagg(DISTINCT {x}, ', ') WITHIN GROUP (ORDER BY {x})"
+
+    @staticmethod
+    def half_even(x: str) -> str:
+        return f"bround({x})"
+
     any_least = staticmethod(lambda value, by: f"min_by({value}, {by})")
 
 
 class Duck(Spark):
     name = "duck"
 
+    string = "VARCHAR"
+    quote = "chr(39)"
+
+    @staticmethod
+    def unit(v: str) -> str:
+        return f"{v}::DOUBLE[]"
+
+    @staticmethod
+    def dot(a: str, b: str) -> str:
+        return f"list_cosine_similarity({a}, {b})"
+
+    @staticmethod
+    def digits(x: str) -> str:
+        return f"regexp_replace({x}, '[^0-9]', '', 'g')"
+
     @staticmethod
-    def cosine(a: str, b: str) -> str:
-        return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+    def letter(x: str) -> str:
+        return f"chr((65 + {x})::INTEGER)"
+
+    @staticmethod
+    def initcap(x: str) -> str:
+        return f"list_aggregate(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ')"
 
     @staticmethod
     def jw(a: str, b: str) -> str:
@@ -126,4 +185,16 @@ class Duck(Spark):
     def idiv(a: str, b: str) -> str:
         return f"({a} // {b})"
 
+    @staticmethod
+    def quantile(x: str, p: float) -> str:
+        return f"quantile_cont({x}, {p})"
+
+    @staticmethod
+    def listagg(x: str) -> str:
+        return f"string_agg(DISTINCT {x}, ', ' ORDER BY {x})"
+
+    @staticmethod
+    def half_even(x: str) -> str:
+        return f"round_even({x}, 0)"
+
     any_least = staticmethod(lambda value, by: f"arg_min({value}, {by})")

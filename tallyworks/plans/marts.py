@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 SEMANTIC_FLOOR, SEMANTIC_SPAN = 0.86, 0.14  # where a similarity begins to score
 SECOND_LOOK = 55
-PRODUCTION_CUT = 0.25  # for the test vectors, whose similarities stay below 0.5
-CONFIRM_CUT, CONFIRM_GAP = 0.27, 0.05
+# Similarities are (1 + cosine) / 2 here. The cuts suit the test vectors, whose cosines stay below 0.5; the least gap of a
+# confirmed pair is the production value.
+PRODUCTION_CUT, CONFIRM_CUT, CONFIRM_GAP = 0.625, 0.635, 0.05
+SWEEP, CALIBRATION = range(50, 80), range(55, 75)  # thresholds in hundredths
 UNREACHABLE = 9999
 CELL, COARSE = 0.1, 1.0  # hexagon sizes in degrees
 EARTH_KM = 6371.0088
@@ -96,9 +98,17 @@ def cause_exposure(d) -> str:
     return f"SELECT cause, {real} AS verified_orgs, {seeded} AS seeded_orgs, round(100.0 * {seeded} / nullif({real}, 0), 6) AS imitations_per_100 FROM {{orgs}} GROUP BY cause"
 
 
+def beneficiaries(d) -> str:
+    """One row a person, from the first disbursement that reached them."""
+    first = lambda x: d.any_least(x, "disbursement_id")
+    return f"""SELECT beneficiary_id, {first("district")} AS district, {first("programme_code")} AS programme_code, {first("cause")} AS cause,
+        CASE WHEN beneficiary_id % 20 < 11 THEN 'household' WHEN beneficiary_id % 20 < 17 THEN 'individual' ELSE 'group' END AS cohort_band
+        FROM (SELECT x.beneficiary_id, x.district, x.programme_code, x.disbursement_id, o.cause FROM {{disbursements}} x JOIN {{orgs}} o ON o.org_id = x.org_id) f GROUP BY beneficiary_id"""
+
+
 def beneficiary_facts(d) -> str:
-    return f"""SELECT beneficiary_id, district, programme_code, cast(amount_usd AS double) AS amount_usd, CASE WHEN status = 'DELIVERED' THEN 1 ELSE 0 END AS delivered_flag,
-        {d.text("year(coalesce(delivered_at, dispatched_at))")} AS month_key FROM {{disbursements}}"""
+    return f"""SELECT p.beneficiary_id, p.district, p.programme_code, p.cause, cast(x.amount_usd AS double) AS amount_usd, CASE WHEN x.status = 'DELIVERED' THEN 1 ELSE 0 END AS delivered_flag,
+        {d.month("coalesce(x.delivered_at, x.dispatched_at)")} AS month_key FROM {{beneficiaries}} p JOIN {{disbursements}} x ON x.beneficiary_id = p.beneficiary_id"""
 
 
 def mint_log(d) -> str:
@@ -108,38 +118,45 @@ def mint_log(d) -> str:
 
 
 def receipt_coverage(d) -> str:
-    return """SELECT d.org_id, count(*) AS eligible_disbursements, count(m.asset_id) AS receipts_on_chain, count(*) - count(m.asset_id) AS receipts_missing,
-        cast(count(m.asset_id) AS double) / nullif(count(*), 0) AS receipt_coverage FROM {disbursements} d LEFT JOIN {mint_log} m ON m.disbursement_id = d.disbursement_id
-        WHERE d.status IN ('DELIVERED', 'UNACCOUNTED') GROUP BY d.org_id"""
+    """A disbursement counts once for each leaf minted for it, and once without any: leaves are counted first, so the log
+    meets one row a disbursement."""
+    return """SELECT org_id, cast(sum(greatest(leaves, 1)) AS bigint) AS eligible_disbursements, cast(sum(leaves) AS bigint) AS receipts_on_chain,
+        cast(sum(CASE WHEN leaves = 0 THEN 1 ELSE 0 END) AS bigint) AS receipts_missing, cast(sum(leaves) AS double) / nullif(sum(greatest(leaves, 1)), 0) AS receipt_coverage
+        FROM (SELECT x.org_id, coalesce(l.leaves, 0) AS leaves FROM {disbursements} x LEFT JOIN (SELECT disbursement_id, count(asset_id) AS leaves FROM {mint_log} GROUP BY disbursement_id) l
+              ON l.disbursement_id = x.disbursement_id WHERE x.status = 'DELIVERED' OR x.status = 'UNACCOUNTED') e GROUP BY org_id"""
+
+
+def org_vectors(d) -> str:
+    """Organisations with their unit vector and the two keys that similar ones must share."""
+    return f"SELECT o.org_id, o.name, o.ein, o.cause, o.synth_technique, o.synth_target_id, o.is_synthetic, o.is_verified, e.label AS region, {d.unit('e.embedding')} AS unit FROM {{orgs}} o JOIN {{embeddings}} e ON e.vec_id = o.org_id"
 
 
 def scored_pairs(d) -> str:
-    """Blocked similarity: the sides are filtered before they meet on (label); names are compared as lower case."""
-    return f"""SELECT s.vec_id AS suspect_id, t.vec_id AS target_id, s.label AS block, {d.cosine("s.embedding", "t.embedding")} AS semantic_sim
-        FROM (SELECT vec_id, embedding, label FROM {{embeddings}} WHERE vec_id % 10 = 0) s JOIN (SELECT vec_id, embedding, label FROM {{embeddings}} WHERE vec_id % 10 <> 0) t ON s.label = t.label"""
+    """Blocked similarity: both sides are filtered before they meet on region and cause."""
+    return f"""SELECT s.org_id AS suspect_id, s.name AS suspect_name, t.org_id AS target_id, t.name AS target_name, s.cause, s.region, s.synth_technique, t.org_id = s.synth_target_id AS recorded, (1 + {d.dot("s.unit", "t.unit")}) / 2 AS semantic_sim
+        FROM (SELECT * FROM {{org_vectors}} WHERE is_synthetic) s JOIN (SELECT * FROM {{org_vectors}} WHERE is_verified AND NOT is_synthetic) t ON s.region = t.region AND s.cause = t.cause AND s.ein <> t.ein"""
 
 
 def clone_pairs(d) -> str:
-    sim = d.jw("lower(sp.p_name)", "lower(tp.p_name)")
-    return f"""SELECT p.suspect_id, p.target_id, p.semantic_sim, {sim} AS string_sim, p.semantic_sim - {sim} AS evasion_gap, so.name AS suspect_name, ta.name AS target_name, so.cause, so.synth_technique
-        FROM {{scored_pairs}} p JOIN {{orgs}} so ON so.org_id = p.suspect_id JOIN {{orgs}} ta ON ta.org_id = p.target_id JOIN {{part}} sp ON sp.p_partkey = p.suspect_id JOIN {{part}} tp ON tp.p_partkey = p.target_id
-        WHERE p.semantic_sim >= {PRODUCTION_CUT} AND so.is_synthetic AND ta.is_verified"""
+    """Detected pairs. Spelling is compared only for these, under the test data's product names."""
+    return f"""SELECT *, semantic_sim - string_sim AS evasion_gap FROM (SELECT p.suspect_id, p.suspect_name, p.target_id, p.target_name, p.cause, p.synth_technique, p.recorded, p.semantic_sim, {d.jw("lower(a.p_name)", "lower(b.p_name)")} AS string_sim
+        FROM {{scored_pairs}} p JOIN {{part}} a ON a.p_partkey = p.suspect_id JOIN {{part}} b ON b.p_partkey = p.target_id WHERE p.semantic_sim >= {PRODUCTION_CUT}) c"""
 
 
 def clone_confirmed(d) -> str:
-    return f"SELECT *, 'HEURISTIC' AS confirmation_method FROM {{clone_pairs}} WHERE semantic_sim >= {CONFIRM_CUT} AND evasion_gap >= -{CONFIRM_GAP}"
+    return f"SELECT *, 'HEURISTIC' AS confirmation_method FROM {{clone_pairs}} WHERE semantic_sim >= {CONFIRM_CUT} AND evasion_gap >= {CONFIRM_GAP}"
 
 
 def delivery_geometry(d) -> str:
     blat, blon = centroid("o.base_nation")
     bq, br = axial("base_lat", "base_lon", CELL)
     dq, dr = axial("lat", "lon", CELL)
-    return f"""SELECT disbursement_id, org_id, district, programme_code, status, amount_usd, lat, lon, max_hops, hops, km, transit_hours, cell,
-        CASE WHEN delivered_at IS NULL THEN 'NEVER_ARRIVED' WHEN hops > max_hops THEN 'OUTSIDE_FOOTPRINT' WHEN transit_hours < 1 AND km > 400 THEN 'IMPOSSIBLE_TRANSIT' ELSE 'PLAUSIBLE' END AS geometry_verdict
+    return f"""SELECT disbursement_id, org_id, district, programme_code, status, amount_usd, pledged_usd, dispatched_at, lat, lon, max_hops, hops, km, transit_hours, cell,
+        CASE WHEN status = 'UNACCOUNTED' THEN 'NEVER_ARRIVED' WHEN hops > max_hops THEN 'OUTSIDE_FOOTPRINT' WHEN transit_hours < 1 AND km > 400 THEN 'IMPOSSIBLE_TRANSIT' ELSE 'PLAUSIBLE' END AS geometry_verdict
         FROM (SELECT *, CASE WHEN abs(lat - base_lat) > {KNOWN_RADIUS_DEGREES} OR abs(lon - base_lon) > {KNOWN_RADIUS_DEGREES} THEN {UNREACHABLE}
               ELSE {d.idiv("(abs(dq - bq) + abs(dr - br) + abs((dq - bq) + (dr - br)))", "2")} END AS hops, concat({d.text("dq")}, ':', {d.text("dr")}) AS cell
               FROM (SELECT *, {bq} AS bq, {br} AS br, {dq} AS dq, {dr} AS dr FROM (
-                SELECT x.disbursement_id, x.org_id, x.district, x.programme_code, x.status, cast(x.amount_usd AS double) AS amount_usd, x.lat, x.lon, x.delivered_at, o.max_hops, {blat} AS base_lat, {blon} AS base_lon,
+                SELECT x.disbursement_id, x.org_id, x.district, x.programme_code, x.status, cast(x.amount_usd AS double) AS amount_usd, cast(x.pledged_usd AS double) AS pledged_usd, x.lat, x.lon, x.dispatched_at, x.delivered_at, o.max_hops, {blat} AS base_lat, {blon} AS base_lon,
                 {haversine("o.lat", "o.lon", "x.lat", "x.lon")} AS km, {d.hours("x.dispatched_at", "x.delivered_at")} AS transit_hours FROM {{disbursements}} x JOIN {{orgs}} o ON o.org_id = x.org_id) g1) g2) g3"""
 
 
@@ -149,31 +166,125 @@ def org_risk(d) -> str:
     nearest = d.any_least("target_id", "1 - semantic_sim + target_id * 0.000000001")
     return f"""SELECT *, CASE WHEN risk_score >= {SECOND_LOOK} THEN 'needs a second look' WHEN is_verified THEN 'verified' ELSE 'unverified' END AS verdict FROM (
         SELECT *, least(100.0, comp_semantic + comp_evasion + comp_geometry + comp_unaccounted + comp_receipts) AS risk_score FROM (SELECT *, {comps} FROM (
-        SELECT o.org_id, o.name, o.ein, o.city, o.state, o.cause, o.is_synthetic, o.is_verified, o.batch_id, o.synth_technique, coalesce(c.semantic_sim, 0.0) AS semantic_sim, greatest(0.0, coalesce(c.evasion_gap, 0.0)) AS evasion_gap,
+        SELECT o.org_id, o.name, o.ein, o.city, o.state, o.cause, o.blurb, o.is_synthetic, o.is_verified, o.batch_id, o.synth_technique, coalesce(c.semantic_sim, 0.0) AS semantic_sim, greatest(0.0, coalesce(c.evasion_gap, 0.0)) AS evasion_gap,
         coalesce(g.geom_flags, 0) AS geom_flags, coalesce(a.unaccounted_ratio, 0.0) AS unaccounted_ratio, coalesce(r.receipts_missing, 0) AS missing_receipts, c.nearest_target_id
         FROM {{orgs}} o LEFT JOIN (SELECT suspect_id, max(semantic_sim) AS semantic_sim, max(evasion_gap) AS evasion_gap, {nearest} AS nearest_target_id FROM {{clone_pairs}} GROUP BY suspect_id) c ON c.suspect_id = o.org_id
         LEFT JOIN (SELECT org_id, count(CASE WHEN geometry_verdict <> 'PLAUSIBLE' THEN 1 END) AS geom_flags FROM {{delivery_geometry}} GROUP BY org_id) g ON g.org_id = o.org_id
         LEFT JOIN {{org_activity}} a ON a.org_id = o.org_id LEFT JOIN {{receipt_coverage}} r ON r.org_id = o.org_id) k1) k2) k3"""
 
 
+# The edit of the historian's demonstration: (org_id, new score).
+EDITS = [(50, 61.0)]
+
+
+def org_risk_now(d) -> str:
+    """The scores after the edits; a verdict follows its score, the components stay as they were computed."""
+    rows = ", ".join(f"(cast({i} AS bigint), cast({x!r} AS double))" for i, x in EDITS)
+    verdict = f"CASE WHEN e.new_score IS NULL THEN r.verdict WHEN e.new_score >= {SECOND_LOOK} THEN 'needs a second look' WHEN r.is_verified THEN 'verified' ELSE 'unverified' END"
+    return f"""SELECT r.org_id, r.name, r.is_synthetic, r.is_verified, r.comp_semantic, r.comp_evasion, r.comp_geometry, r.comp_unaccounted, r.comp_receipts, coalesce(e.new_score, r.risk_score) AS risk_score, {verdict} AS verdict
+        FROM {{org_risk}} r LEFT JOIN (VALUES {rows}) AS e(edited_id, new_score) ON e.edited_id = r.org_id"""
+
+
 def confidence_rank(d) -> str:
-    return """SELECT o.org_id, o.ein, o.name, o.city, o.state, o.cause, round(coalesce(a.delivery_rate, 0), 6) AS delivery_rate, round(coalesce(r.receipt_coverage, 0), 6) AS receipt_coverage,
-        coalesce(a.moved_usd, 0) AS value_moved_usd, coalesce(a.disbursements, 0) AS disbursements, round(coalesce(k.risk_score, 0), 6) AS risk_score,
-        round(60 * coalesce(a.delivery_rate, 0) + 40 * coalesce(r.receipt_coverage, 0) - coalesce(k.risk_score, 0) * 0.5, 4) AS confidence
-        FROM {orgs} o LEFT JOIN {org_activity} a ON a.org_id = o.org_id LEFT JOIN {receipt_coverage} r ON r.org_id = o.org_id LEFT JOIN {org_risk} k ON k.org_id = o.org_id
-        WHERE NOT o.is_synthetic AND o.is_verified AND o.batch_id = 'IRS_BMF_2026'"""
+    """Delivery and receipts carry the confidence; half the risk is taken off."""
+    return """SELECT org_id, ein, name, city, state, cause, blurb, round(delivery_rate, 6) AS delivery_rate, round(receipt_coverage, 6) AS receipt_coverage, value_moved_usd, disbursements, round(risk_score, 6) AS risk_score,
+        round(round(60 * delivery_rate + 40 * receipt_coverage - risk_score / 2, 9), 1) AS confidence FROM (SELECT k.org_id, k.ein, k.name, k.city, k.state, k.cause, k.blurb, k.risk_score,
+          coalesce(a.delivery_rate, 0.0) AS delivery_rate, coalesce(c.receipt_coverage, 0.0) AS receipt_coverage, coalesce(a.moved_usd, 0.0) AS value_moved_usd, coalesce(a.disbursements, 0) AS disbursements
+          FROM {org_risk} k LEFT JOIN {org_activity} a ON a.org_id = k.org_id LEFT JOIN {receipt_coverage} c ON c.org_id = k.org_id
+          WHERE k.is_verified AND NOT k.is_synthetic AND k.batch_id = 'IRS_BMF_2026') q"""
 
 
 def mint_queue(d) -> str:
-    ident = d.text("g.disbursement_id")
-    band = "CASE WHEN amount_usd < 500 THEN '0-500' WHEN amount_usd < 2000 THEN '500-2K' WHEN amount_usd < 10000 THEN '2K-10K' ELSE '10K+' END"
-    return f"""SELECT concat('q-', {ident}) AS queue_id, g.disbursement_id, g.programme_code, {band} AS amount_band, {d.sha(f"concat({d.text('g.org_id')}, ':salt')")} AS org_hash,
-        CASE WHEN g.disbursement_id % 30 = 0 THEN 'PENDING' WHEN g.disbursement_id % 41 = 0 THEN 'FAILED' ELSE 'MINTED' END AS status
-        FROM {{delivery_geometry}} g WHERE g.status = 'DELIVERED' AND g.geometry_verdict = 'PLAUSIBLE' AND {d.hash_mod(ident, 30)} <> 0"""
+    ident = d.text("x.disbursement_id")
+    band = "CASE WHEN x.amount_usd < 500 THEN '0-500' WHEN x.amount_usd < 2000 THEN '500-2K' WHEN x.amount_usd < 10000 THEN '2K-10K' ELSE '10K+' END"
+    return f"""SELECT concat('q-', {ident}) AS queue_id, x.disbursement_id, x.programme_code, {band} AS amount_band, {d.month("x.delivered_at")} AS window_key, {d.sha(f"concat({d.text('x.org_id')}, ':salt')")} AS org_hash,
+        CASE WHEN x.disbursement_id % 30 = 0 THEN 'PENDING' WHEN x.disbursement_id % 41 = 0 THEN 'FAILED' ELSE 'MINTED' END AS status
+        FROM {{disbursements}} x WHERE x.status = 'DELIVERED' AND {d.hash_mod(ident, 30)} <> 0 AND x.disbursement_id IN (SELECT disbursement_id FROM {{delivery_geometry}} WHERE geometry_verdict = 'PLAUSIBLE')"""
 
 
 def provenance(d) -> str:
     return "SELECT 'orgs' AS table_name, batch_id, count(*) AS row_count FROM {orgs} GROUP BY batch_id UNION ALL SELECT 'disbursements', batch_id, count(*) FROM {disbursements} GROUP BY batch_id"
 
 
-MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiary_facts, mint_log, receipt_coverage, scored_pairs, clone_pairs, clone_confirmed, delivery_geometry, org_risk, confidence_rank, mint_queue, provenance)}
+def org_standing(d) -> str:
+    """Organisations that lost their good standing: a list of filings that stopped, and nothing else."""
+    return f"SELECT c_custkey AS org_id, 'no longer in good standing' AS standing_label, 'three annual returns missing' AS standing_note, c_custkey % 3 = 0 AS reinstated FROM {{customer}} WHERE c_custkey % 10 <> 0 AND c_acctbal < -500"
+
+
+def org_enriched(d) -> str:
+    return """SELECT o.org_id, o.name, o.cause, o.state, o.is_verified, o.is_synthetic,
+        CASE WHEN o.is_synthetic THEN 'seeded' WHEN s.standing_label IS NOT NULL AND NOT s.reinstated THEN s.standing_label WHEN o.is_verified THEN 'verified' ELSE 'unverified' END AS standing FROM {orgs} o LEFT JOIN {org_standing} s USING (org_id)"""
+
+
+def district_attrition(d) -> str:
+    """The older definition: whatever is not delivered, of what moved."""
+    return f"""SELECT district, count(*) AS events, cast(sum(amount_usd) AS double) AS moved_usd, cast(sum(CASE WHEN status = 'DELIVERED' THEN amount_usd ELSE 0 END) AS double) AS delivered_usd,
+        cast(sum(CASE WHEN status <> 'DELIVERED' THEN amount_usd ELSE 0 END) AS double) / nullif(cast(sum(amount_usd) AS double), 0) AS attrition_rate, avg(cast({d.hours("dispatched_at", "delivered_at")} AS double)) AS mean_transit_hours
+        FROM {{disbursements}} WHERE district IS NOT NULL GROUP BY district"""
+
+
+def org_footprint(d) -> str:
+    """Cells of a hexagonal disk: 1 + 3k(k + 1) within k steps."""
+    return "SELECT org_id, max_hops, 1 + 3 * least(max_hops, 8) * (least(max_hops, 8) + 1) AS footprint_cells FROM {orgs} WHERE lat IS NOT NULL"
+
+
+# Published figures, cited as their issuing bodies word them.
+CITATIONS = [
+    ("IC3_2024", "Charitable and crowdfunding fraud, United States, 2024", "More than 4,500 complaints reporting approximately 96 million USD in losses to fraudulent charities, crowdfunding accounts and disaster relief campaigns", 96000000.0, "USD", "United States", "FBI IC3 Public Service Announcement I-011625", "2025-01-16", "https://www.ic3.gov/PSA/2025/PSA250116"),
+    ("BFOREAI_LA_FIRES", "Impersonation surges after disasters", "119 domains registered between 8 and 13 January 2025 using keywords including \"LA fire\", \"wildfire\", \"relief\", \"fund\" and \"rebuild\"", 119.0, "DOMAINS", "United States", "BforeAI threat research report on the Los Angeles wildfires", "2025-01-13", None),
+    ("GOFUNDME_LA", "Scale of the legitimate pool being imitated", "More than 250 million USD raised for Los Angeles wildfire relief", 250000000.0, "USD", "United States", "GoFundMe public statement", "2025-01-31", None),
+    ("WFP_GAZA_TRUCKS", "Last-mile diversion, Gaza", "590 trucks moved from Ashdod to Kerem Shalom, of which 371 were collected inside Gaza; organised criminal looting estimated by field monitors at about 20 percent of cases", 590.0, "TRUCKS", "Palestine", "WFP State of Palestine External Situation Report 55", "2025-06-06", None),
+    ("WFP_SUDAN_GEZIRA", "Warehouse-scale diversion, Sudan", "Looting of a Gezira State warehouse holding over 2,500 metric tons of food, enough for nearly 1.5 million people for one month", 2500.0, "TONNES", "Sudan", "WFP statement", "2023-12-01", None),
+    ("MGNREGA_LEAKAGE", "Programme leakage, India", "Total financial misappropriation of 169.75 crore rupees with only 20.93 crore recovered, a recovery rate of 12.33 percent, across 125,602 reported cases", 169.75, "INR_CRORE", "India", "MGNREGA action report", "2025-03-29", None),
+    ("CAG_PMAY_UP", "Diversion before delivery, India", "86.20 lakh rupees intended for 159 genuine beneficiaries diverted to other bank accounts", 86.20, "INR_LAKH", "India", "CAG audit of PMAY-Gramin, Uttar Pradesh", "2025-12-01", None),
+]
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"cast({v!r} AS double)" if isinstance(v, float) else str(v)
+
+
+def citations(d) -> str:
+    rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in CITATIONS)
+    return f"SELECT citation_id, claim, figure, magnitude, unit_type, region, issuing_body, cast(published_on AS date) AS published_on, cast(url AS {d.string}) AS url FROM (VALUES {rows}) AS t(citation_id, claim, figure, magnitude, unit_type, region, issuing_body, published_on, url)"
+
+
+def raw_filings(d) -> str:
+    """Annual filings as text, as they arrive: punctuated numbers, padding, two filings for every fifth organisation."""
+    ein = f"concat({d.lpad('c_custkey', 2)}, '-', {d.lpad('c_custkey * 7919 % 10000000', 7)})"
+    row = lambda name, revenue: f"SELECT {ein} AS ein, {name} AS name, concat(' city ', {d.text('c_custkey % 97')}, ' ') AS city, concat({d.lpad('c_nationkey', 5)}, '-0001') AS zip, concat(' ', lower({d.letter('c_custkey % 27')}), '20') AS ntee_cd, {revenue} AS revenue_amt, CASE WHEN c_custkey % 9 = 0 THEN '12' ELSE '01' END AS status FROM {{customer}}"
+    return row("concat(' ', lower(c_name), ' ')", f"CASE WHEN c_custkey % 13 = 0 THEN 'n/a' ELSE {d.text('cast(c_custkey % 90 AS bigint) * 1000000')} END") + " UNION ALL " + row("concat(c_name, ' older')", d.text("cast(c_custkey % 11 AS bigint) * 1000")) + " WHERE c_custkey % 5 = 0"
+
+
+def raw_revocations(d) -> str:
+    ein = f"concat({d.lpad('c_custkey', 2)}, '-', {d.lpad('c_custkey * 7919 % 10000000', 7)})"
+    return f"SELECT {ein} AS ein, CASE WHEN c_custkey % 14 = 0 THEN '2020-01-01' END AS reinstated_on FROM {{customer}} WHERE c_custkey % 7 = 0"
+
+
+# The first letter of a classification code.
+CAUSES = "A arts and culture|B education|C environment|D animals|E medical|F mental health|G disease research|H medical research|I public safety|J employment|K food and agriculture|L housing|M disaster relief|N recreation and sport|O youth development|P human services|Q international development|R civil rights|S community development|T philanthropy|U science|V social science|W public benefit|X religion|Y mutual benefit"
+
+
+def cause_of(code: str) -> str:
+    whens = " ".join(f"WHEN '{c[0]}' THEN '{c[2:]}'" for c in CAUSES.split("|"))
+    return f"CASE upper(substr(trim(coalesce({code}, '')), 1, 1)) {whens} ELSE 'unclassified' END"
+
+
+def filings(d) -> str:
+    """One row a nine-digit number, the filing with the largest revenue; placed, classified, and verified unless revoked."""
+    digits = lambda x: d.digits(x)
+    revenue = d.try_number("revenue_amt")
+    hops = "CASE WHEN revenue >= 50000000 THEN 40 WHEN revenue >= 5000000 THEN 24 WHEN revenue >= 500000 THEN 14 WHEN revenue >= 50000 THEN 8 ELSE 5 END"
+    lat, lon = centroid("n_nationkey")
+    return f"""WITH clean AS (SELECT {digits('ein')} AS ein, trim(name) AS name, trim(city) AS city, substr({digits('zip')}, 1, 5) AS zip5, trim(ntee_cd) AS code, {revenue} AS revenue, trim(status) AS status FROM {{raw_filings}} WHERE name IS NOT NULL),
+        one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ein ORDER BY revenue DESC NULLS LAST, name) AS rn FROM clean WHERE length(ein) = 9) r WHERE rn = 1),
+        places AS (SELECT {d.lpad('n_nationkey', 5)} AS zip, {lat} AS lat, {lon} AS lon FROM {{nation}}),
+        revoked AS (SELECT DISTINCT {digits('ein')} AS ein FROM {{raw_revocations}} WHERE reinstated_on IS NULL)
+        SELECT concat('ORG_', one.ein) AS org_id, one.ein, {d.initcap('one.name')} AS name, upper(code) AS ntee_code, {cause_of('code')} AS cause, concat({cause_of('code')}, ' organisation serving ', {d.initcap('one.city')}) AS blurb,
+        places.lat, places.lon, {hops} AS max_hops, one.status = '01' AND revoked.ein IS NULL AS is_verified FROM one JOIN places ON places.zip = one.zip5 LEFT JOIN revoked ON revoked.ein = one.ein"""
+
+
+MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, mint_log, receipt_coverage, org_vectors, scored_pairs, clone_pairs, clone_confirmed,
+                                                      delivery_geometry, org_risk, org_risk_now, confidence_rank, mint_queue, provenance, org_standing, org_enriched, district_attrition, org_footprint, citations, raw_filings, raw_revocations, filings)}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import path_of
+
 NULL_TOKENS = ("", "NULL", "None", "nan")
 
 
@@ -49,3 +53,35 @@ def load_missing(target: DataFrame, updates: DataFrame, key: str, column: str) -
     """``column`` of ``target`` filled from ``updates`` where it is null (an update from a join, as a new table)."""
     u = updates.select(key, F.col(column).alias("_new"))
     return target.join(u, key, "left").withColumn(column, F.coalesce(column, "_new")).select(*target.columns)
+
+
+def upload(spark: SparkSession, local: str, folder: str) -> str:
+    """A local file into a folder of the session's store; returns its path there."""
+    fs, p = path_of(spark, folder)
+    fs.mkdirs(p)
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}")
+    fs.copyFromLocalFile(False, True, here, p)
+    return f"{folder.rstrip('/')}/{os.path.basename(local)}"
+
+
+def read_revocations(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers that are not in good standing: twelve fields between pipes (or commas, where no pipe is found), no header,
+    the first one the number, the last one the day of reinstatement, which takes a row off the list."""
+    names = [f"c{i}" for i in range(12)]
+    for sep in ("|", ","):
+        rows = read_delimited(spark, path, names, sep=sep, header=False)
+        if rows.where("c9 IS NOT NULL OR c11 IS NOT NULL").limit(1).count():
+            break
+    ein = F.lpad(F.regexp_replace("c0", "[^0-9]", ""), 9, "0")
+    return rows.where("c11 IS NULL AND c0 IS NOT NULL").select(ein.alias("ein")).where("length(regexp_replace(ein, '[^0-9]', '')) = 9").distinct()
+
+
+def good_standing(filings: DataFrame, revoked: DataFrame) -> DataFrame:
+    """Filings without those whose number is on the list."""
+    return filings.join(revoked, "ein", "left_anti")
+
+
+def vectors(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Vectors from their JSON text; a text that is not an array of ``width`` numbers becomes null."""
+    v = F.from_json(F.col(column), "array<double>")
+    return df.withColumn(column, F.when(F.size(v) == width, v))

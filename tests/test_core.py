@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 from tallyworks.functions.text import jaro_winkler
-from tallyworks.operators import history, privacy, queue, semantic
+from tallyworks.operators import history, privacy, projection, queue, semantic
 from tallyworks.plans import compile as plans
+from tallyworks.plans import store
 from tallyworks.sources import files
 from tallyworks.streaming import rollups
 
@@ -44,21 +45,110 @@ def test_jaro_winkler_rules():
     assert jaro_winkler("", "") == 1.0 and jaro_winkler("a", "") == 0.0 and jaro_winkler("abcdxyz", "abqrstu", 0.0) > jaro_winkler("abcdxyz", "abqrstu")
 
 
+def test_parameters_are_bound_by_name(spark):
+    one = lambda **p: [r.org_id for r in plans.run(spark, SF, "q_org_risk_one", **p).collect()]
+    assert one() == [50] and one(org=7) == [7] and one(org=-1) == []
+    assert plans.run(spark, SF, "q_org_search", search="%x' OR 1=1 --%", prefix="none").count() == 0
+    assert [r.org_id for r in plans.run(spark, SF, "q_org_search", search="none", prefix="00000001%").orderBy("org_id").collect()] == list(range(10, 20))
+    with pytest.raises(TypeError):
+        plans.run(spark, SF, "q_kpi", org=1)
+
+
+@pytest.mark.parametrize("name,keys", [("q_trust_leaderboard", lambda r: (r.risk_score, -r.moved_usd, r.org_id)), ("q_confidence_rank", lambda r: (-r.confidence, r.org_id)), ("q_cell_drilldown", lambda r: (-r.amount_usd, r.disbursement_id)), ("q_evidence", lambda r: (r.published_on, r.citation_id)),
+                                       ("q_acceptance", lambda r: ({"FAIL": 0, "REVIEW": 1, "PASS": 2}[r.result], r.check_id))])
+def test_rows_come_in_order(spark, name, keys):
+    rows = plans.run(spark, SF, name).collect()
+    assert rows and [keys(r) for r in rows] == sorted(keys(r) for r in rows)
+
+
+def test_acceptance_and_edits(spark):
+    got = {r.check_id: r.result for r in plans.run(spark, "/root/testdata/sf0.01", "q_acceptance").collect()}
+    assert got.pop("RSK-06b") == "REVIEW" and set(got.values()) == {"PASS"}
+    assert [r.org_id for r in plans.run(spark, SF, "q_edited_rows").collect()] == [50]
+    v = {r.version: r for r in plans.run(spark, SF, "q_time_travel").collect()}
+    assert v["current"].risk_score == 61.0 and v["current"].verdict == "needs a second look" and v["before"].risk_score < 61
+    assert plans.run(spark, SF, "q_apply_change", org=50, score=54.9).first().verdict != "needs a second look"
+
+
+def test_store(spark, tmp_path):
+    t = [datetime(2026, 1, 1)]
+    s = store.Store(spark, f"file://{tmp_path}/a", clock=lambda: t[0])
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    s.write("m", rows)
+    t[0] += timedelta(seconds=200)
+    assert s.append("m", rows.select("v", "id")).count() == 4 and s.last.count() == 4
+    assert s.read("m", datetime(2026, 1, 1)).count() == 2
+    with pytest.raises(LookupError):
+        s.read("m", datetime(2025, 1, 1))
+    s.write("q", rows, "ORACLE")
+    t[0] += timedelta(seconds=100)
+    assert {(r.schema_name, r.objects, r.total_rows) for r in s.catalog().collect()} == {("MARTS", 1, 4), ("ORACLE", 1, 2)}
+    t[0] += timedelta(seconds=21)
+    assert {(r.object_name, r.seconds_since_refresh, r.within_lag) for r in s.health().collect()} == {("MARTS.M", 121, False), ("ORACLE.Q", 121, False)}
+    s.truncate("m")
+    assert s.read("m").count() == 0 and s.has("m") and not s.has("n")
+    other = store.Store(spark, f"file://{tmp_path}/b")
+    assert s.copy(other) == ["m", "q"] and other.read("q").count() == 2
+    assert s.expire() == 0
+    t[0] += timedelta(days=store.RETENTION_DAYS + 1)
+    assert s.expire() == 2 and s.read("q").count() == 2
+
+
+def test_session_store_follows_its_input(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    (tmp_path / "x").write_text("1")
+    first = store.session_store(spark, str(tmp_path))
+    assert store.session_store(spark, str(tmp_path)) is first
+    (tmp_path / "x").write_text("12")
+    assert store.session_store(spark, str(tmp_path)) is not first
+
+
+def test_projection(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) + 7
+    got = projection.project(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, unit array<double>")).orderBy("id").collect()
+    c = x - x.mean(axis=0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
+    assert np.allclose([[r.pc1, r.pc2] for r in got], c @ axes.T, atol=1e-8)
+    rows = projection.q_projection(spark, SF).collect()
+    assert rows and {r.cause for r in rows} == {"BUILDING"}
+    assert projection.q_pipeline_health(spark, SF).count() >= 5
+
+
 def test_privacy_facade(spark):
     facts = spark.createDataFrame([(i % n, d, float(i)) for d, n in (("big", 60), ("edge", 50), ("small", 49)) for i in range(n * 2)], "person int, district string, usd double")
     cells = {r.district: r for r in privacy.min_cohort(facts.withColumn("person", facts.person), "person", ["district"], {"usd": __import__("pyspark").sql.functions.sum("usd")}).collect()}
     assert cells["edge"].people == 50 and not cells["edge"].refused and cells["small"].people is None and cells["small"].usd is None and cells["small"].refused
-    f = privacy.Facade(facts, "person", {"district": privacy.Domain(values=frozenset(["big", "edge", "small"])), "usd": privacy.Domain(0, 500)}, seed=1, budget=0.5)
+    domains = {"district": privacy.Domain(values=frozenset(["big", "edge", "small"])), "usd": privacy.Domain(0, 500)}
+    f = privacy.Facade(facts, "person", domains, seed=1, budget=0.5)
     assert f.floored({"district": "big"}) == 60 and f.floored({"district": "small"}) is None
     for bad in ({"name": "x"}, {"district": "elsewhere"}, {"usd": (0, 900.0)}):
         with pytest.raises(privacy.Refused):
             f.noisy(bad)
     with pytest.raises(privacy.Refused):
         f.rows()
+    assert not any(hasattr(v, "rdd") or hasattr(v, "collect") for v in vars(f).values())
     assert f.compare({"district": "big"}).count() == 3 and f.ledger().count() == 5
     f.noisy({})
+    for spent in (f.noisy, f.floored):
+        with pytest.raises(privacy.Refused):
+            spent({})
+    assert privacy.Domain(low=3).allows(9) and not privacy.Domain(high=3).allows(9)
+    g = privacy.Facade(facts, "person", domains, seed=2, noise_sd=0.0)
+    with privacy.analyst(g) as session:
+        assert session.ask(privacy.Question(column="person", group_by=("district",))) == {("big",): 60, ("edge",): 50, ("small",): 49}
+        for bad in (privacy.Question("sum", "usd"), privacy.Question("count", "person"), privacy.Question(column="person", group_by=("usd",)), privacy.Question(column="person", filters={"age": 3})):
+            with pytest.raises(privacy.Refused):
+                session.ask(bad)
+        with pytest.raises(privacy.Refused):
+            session.rows()
     with pytest.raises(privacy.Refused):
-        f.noisy({})
+        session.noisy({})
+    trial = g.attack_trial({"district": "big"}, "usd", 60.0, 3).collect()
+    assert [(r.everyone, r.received_something, r.recovered) for r in trial] == [(60, 60, 0)] * 3
     assert privacy.attack_cost()["queries"] == 662
 
 
@@ -87,12 +177,32 @@ def test_queue(spark):
         queue.receipt_columns(spark.createDataFrame([("q", "n")], "queue_id string, name string"))
 
 
+def test_retry():
+    waits, left = [], [3]
+
+    def step():
+        left[0] -= 1
+        if left[0]:
+            raise OSError
+        return "done"
+
+    assert queue.with_retry(step, sleep=waits.append) == "done" and waits == [0.4, 0.8]
+    with pytest.raises(OSError):
+        queue.with_retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)
+
+
 def test_semantic_model(spark):
     made = {}
-    m = semantic.trust_model(plans.resolve(spark, SF, "org_risk", made), plans.resolve(spark, SF, "org_activity", made))
-    plans.register_jaro_winkler(spark)
-    assert m.query(["sector"], ["charities", "money moved"]).columns == ["cause", "orgs", "moved_usd"]
-    assert m.query(["cause"], ["orgs"]).count() == 5 and m.describe(spark).count() == 14
+    m = semantic.giving_model(plans.resolve(spark, SF, "orgs", made), plans.resolve(spark, SF, "delivery_geometry", made))
+    got = m.query(["province"], ["flag rate", "shipments"])
+    assert got.columns == ["state", "flagged_pct", "event_count"]
+    want = {(r.state, r.flagged_pct, r.event_count) for r in plans.run(spark, SF, "q_ask_flagged_by_state").collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    shape = m.describe(spark).where("property = 'synonyms'").collect()
+    assert {(r.object_kind, r.object_name, r.value) for r in shape} == {tuple(r) for r in plans.run(spark, SF, "q_semantic_shape").collect()}
+    assert sum(len(i.synonyms) for i in [*m.dimensions, *m.metrics]) + sum(map(len, m.table_synonyms.values())) == 26
+    with pytest.raises(KeyError):
+        m.query(["colour"], ["event_count"])
     assert semantic.best_preset("how much money moved", {"a": "money moved by quarter", "b": "flagged by state"}) == "a"
     assert semantic.best_preset("zzz", {"a": "b"}, "old") == "old"
 
@@ -108,6 +218,26 @@ def test_sources(spark, tmp_path):
     assert tuple(files.read_gazetteer(spark, str(tmp_path / "g.tsv")).first()) == ("00501", 1.5, None)
 
 
+def test_revocations_exports_and_updates(spark, tmp_path):
+    line = lambda ein, back, sep: sep.join([ein, *"bcdefghi", "2020-01-01", "2020-02-01", back])
+    for sep in ("|", ","):
+        (tmp_path / "r.txt").write_text("\n\n" + "\n".join([line("12-3456789", "", sep), line("123456789", "", sep), line("98765", "", sep), line("555555555", "2021-01-01", sep)]) + "\n")
+        assert sorted(r.ein for r in files.read_revocations(spark, str(tmp_path / "r.txt")).collect()) == ["000098765", "123456789"]
+    filings = spark.createDataFrame([("123456789", True), ("555555555", False)], "ein string, ok boolean")
+    kept = files.good_standing(filings, files.read_revocations(spark, str(tmp_path / "r.txt")))
+    assert [r.ein for r in kept.collect()] == ["555555555"]
+    files.export(filings, ["ok", "ein"], str(tmp_path / "csv"), "csv")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).where("value NOT LIKE 'ok%'").collect()) == ["FALSE,555555555", "TRUE,123456789"]
+    files.export(filings, ["ein"], str(tmp_path / "pq"))
+    assert spark.read.parquet(str(tmp_path / "pq")).columns == ["ein"]
+    old = spark.createDataFrame([(1, None), (2, "kept"), (3, None)], "id int, v string")
+    new = files.load_missing(old, spark.createDataFrame([(1, "new"), (2, "other")], "id int, v string"), "id", "v")
+    assert sorted(map(tuple, new.collect())) == [(1, "new"), (2, "kept"), (3, None)]
+    assert files.upload(spark, str(tmp_path / "r.txt"), f"file://{tmp_path}/stage") and (tmp_path / "stage" / "r.txt").exists()
+    v = spark.createDataFrame([("[1, 2.5]",), ("[1]",), ("x",), (None,)], "v string")
+    assert [r.v for r in files.vectors(v, "v", 2).collect()] == [[1.0, 2.5], None, None, None]
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
     q = rollups.refresh(rollups.windowed(rollups.read_events(spark, str(tmp_path / "in")), late="60 days"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
