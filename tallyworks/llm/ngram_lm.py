@@ -14,8 +14,9 @@ Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)); n-grams that occur MI
 discounting, and the mass left goes to the lower order over the words not kept (Katz back-off), so that every context's
 probabilities add up to one. All counts are over all training documents.
 
-Defined cases: a null or empty text is the end token alone; a row with a null id is held out; repeated rows count twice; without any training row V
-and N are 0 and every token is unknown.
+Defined cases: a null or empty text is the end token alone; texts of any length are read whole; a row with a null id is
+held out; repeated rows count twice; without any training row V and N are 0 and every token is unknown; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.5
-SHARD_KEYS = 4_000_000
+SHARD_KEYS, LEAST_KEYS = 4_000_000, 250_000
 FLUSH = 3_000_000
 LOG_RANGE = 16.0
 STEP = 1 << 18  # elements worked on at once while a shard is built
@@ -43,11 +44,23 @@ END = np.int64(0x2545F4914F6CDD1D)
 # --------------------------------------------------------------------------------------------------------------
 # Elias-Fano lists
 
-_POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SEL8 = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _r, _p in enumerate(p for p in range(8) if _b >> p & 1):
         _SEL8[_b, _r] = _p
+_ONES, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_EIGHT, _BYTE = np.uint64(8), np.uint64(255)
+
+
+def select_in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Position of the r-th (from 0) one of each 64-bit word, all eight bytes counted at once."""
+    s = w - (w >> np.uint64(1) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + (s >> np.uint64(2) & np.uint64(0x3333333333333333))
+    s = (s + (s >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES  # ones up to and with each byte
+    r = r.astype(np.uint64)
+    k = np.minimum(np.bitwise_count((r * _ONES | _HIGH) - s & _HIGH), 7).astype(np.uint64) * _EIGHT
+    byte, inside = w >> k & _BYTE, r - (s << _EIGHT >> k & _BYTE)
+    return k.astype(np.int64) + _SEL8[byte, np.minimum(inside, np.uint64(7))]
 
 
 class EliasFano:
@@ -55,6 +68,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
         self.n, self.l, self.low, self.high, self.rank = int(n), int(low_bits), low, high, rank
+        self._zeros: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -83,8 +97,11 @@ class EliasFano:
 
     @classmethod
     def of(cls, a: dict[str, np.ndarray], name: str) -> EliasFano:
-        n, bits = a[f"{name}.meta"]
-        return cls(n, bits, a[f"{name}.low"], a[f"{name}.high"], a[f"{name}.rank"])
+        """The list of that name in a mapped file; its object stays with the file."""
+        if name not in a:
+            n, bits = a[f"{name}.meta"]
+            a[name] = cls(n, bits, a[f"{name}.low"], a[f"{name}.high"], a[f"{name}.rank"])
+        return a[name]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -98,17 +115,12 @@ class EliasFano:
 
     def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
         """Position of the i-th (from 0) one or zero of the high bits."""
-        before = self.rank if ones else (np.arange(len(self.rank), dtype=np.int64) << 6) - self.rank
-        word = np.searchsorted(before, i, "right") - 1
-        word = np.minimum(word, len(self.high) - 1)
-        r = i - before[word]
+        if not ones and self._zeros is None:
+            self._zeros = (np.arange(len(self.rank), dtype=np.int64) << 6) - self.rank
+        before = self.rank if ones else self._zeros
+        word = np.minimum(np.searchsorted(before, i, "right") - 1, len(self.high) - 1)
         w = self.high[word]
-        by = np.ascontiguousarray(w if ones else ~w).view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(_POP8[by], axis=1, dtype=np.uint8)  # 64 at most
-        k = np.minimum((total <= r[:, None]).sum(axis=1), 7)
-        rows = np.arange(len(i))
-        r = r - np.where(k > 0, total[rows, np.maximum(k - 1, 0)], 0)
-        return (word << 6) + k * 8 + _SEL8[by[rows, k], np.clip(r, 0, 7)]
+        return (word << 6) + select_in_word(w if ones else ~w, i - before[word])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -203,43 +215,74 @@ class Sharded:
     def __len__(self) -> int:
         return int(self.base[-1])
 
-    def split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        if len(self.manifest) == 1:
-            yield 0, np.arange(len(shard))
-            return
-        for s in np.unique(shard):
-            yield int(s), np.flatnonzero(shard == s)
+    def pieces(self, edges: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Slices of the sorted ``x`` by shard."""
+        cuts = np.concatenate([[0], np.searchsorted(x, edges[1:]), [len(x)]])
+        for s in range(len(self.manifest)):
+            if cuts[s] < cuts[s + 1]:
+                yield s, slice(int(cuts[s]), int(cuts[s + 1]))
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Global index of each value, -1 where it is missing."""
+        """Global index of each value, -1 where it is missing. Values are looked up in order, so that the reads walk
+        through the files."""
         out = np.full(len(x), -1, np.int64)
         if not self.manifest or not len(x):
             return out
-        for s, at in self.split(np.maximum(np.searchsorted(self.first, x, "right") - 1, 0)):
-            ef = EliasFano.of(map_arrays(self.manifest[s][0]), "keys")
-            bounds = (None, None) if lo is None else (np.clip(lo[at] - self.base[s], 0, ef.n), np.clip(hi[at] - self.base[s], 0, ef.n))
-            i, hit = ef.successor(x[at], *bounds)
-            out[at[hit]] = i[hit] + self.base[s]
+        order = np.argsort(x)
+        x = x[order]
+        for s, at in self.pieces(self.first, x):
+            a = map_arrays(self.manifest[s][0])
+            ef = EliasFano.of(a, "keys")
+            held = np.flatnonzero(may_hold(a["sieve"], x[at]))
+            some = order[at][held]
+            bounds = (None, None) if lo is None else (np.clip(lo[some] - self.base[s], 0, ef.n), np.clip(hi[some] - self.base[s], 0, ef.n))
+            i, hit = ef.successor(x[at][held], *bounds)
+            out[some[hit]] = i[hit] + self.base[s]
         return out
 
     def rank(self, x: np.ndarray) -> np.ndarray:
-        """Global index of the first value >= x."""
+        """Global index of the first value >= each of the sorted ``x``."""
         out = np.zeros(len(x), np.int64)
-        if not self.manifest:
-            return out
-        for s, at in self.split(np.maximum(np.searchsorted(self.first, x, "right") - 1, 0)):
+        for s, at in self.pieces(self.first, x):
             out[at] = EliasFano.of(map_arrays(self.manifest[s][0]), "keys").successor(x[at])[0] + self.base[s]
         return out
 
-    def take(self, i: np.ndarray, name: str, ef: bool = False) -> np.ndarray:
-        out = np.zeros(len(i), np.int64)
-        if len(i):
-            for s, at in self.split(np.searchsorted(self.base, i, "right") - 1):
-                a, j = map_arrays(self.manifest[s][0]), i[at] - self.base[s]
-                out[at] = EliasFano.of(a, name).get(j) if ef else a[name][j]
+    def take(self, i: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Entries of named columns (``name.`` is an Elias-Fano list) at global indexes."""
+        out = [np.zeros(len(i), np.int64) for _ in names]
+        order = np.argsort(i)
+        i = i[order]
+        for s, at in self.pieces(self.base[:-1], i):
+            a, j = map_arrays(self.manifest[s][0]), i[at] - self.base[s]
+            for v, name in zip(out, names):
+                v[order[at]] = EliasFano.of(a, name[:-1]).get(j) if name.endswith(".") else a[name][j]
         return out
 
 
+SIEVE_BITS = 8  # for each key
+
+
+def _sieve_bits(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = c.mix(x.astype(np.uint64))
+    mask = np.uint64(size - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def sieve(keys: np.ndarray) -> np.ndarray:
+    """A Bloom filter of a shard's keys, two bits a key: most n-grams that were not kept are turned away by it."""
+    size = 1 << max(6, (SIEVE_BITS * len(keys)).bit_length())
+    out = np.zeros(size >> 3, np.uint8)
+    for begin in range(0, len(keys), STEP):
+        for at in _sieve_bits(keys[begin : begin + STEP], size):
+            np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return out
+
+
+def may_hold(sieve: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = _sieve_bits(x, len(sieve) << 3)
+    return (sieve[a >> 3] >> (a & 7).astype(np.uint8)) & (sieve[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+
+
 def code(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * (65535 / LOG_RANGE)), 0, 65535).astype(np.uint16)
 
@@ -260,7 +303,7 @@ class Trie:
         """(log10 probability, count) of word ids, -1 for unknown words."""
         count = np.zeros(len(ids), np.int64)
         known = ids >= 0
-        count[known] = self.words.take(ids[known], "count")
+        (count[known],) = self.words.take(ids[known], "count")
         return np.log10((count + 0.1) / self.denominator), count
 
     def context(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,9 +313,8 @@ class Trie:
         known = np.flatnonzero(nodes >= 0)
         i = contexts.find(nodes[known])
         known, i = known[i >= 0], i[i >= 0]
-        bow[known] = decode(contexts.take(i, "bow")) + 6
-        lo[known] = contexts.take(i, "first", ef=True)
-        hi[known] = lo[known] + contexts.take(i, "children")
+        codes, first, children = contexts.take(i, "bow", "first.", "children")
+        bow[known], lo[known], hi[known] = decode(codes) + 6, first, first + children
         return bow, lo, hi
 
     def child(self, level: int, nodes: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -303,7 +345,7 @@ class Trie:
             child = self.child(level, nodes, ids, lo, hi)
             found = child >= 0
             q = p + bow
-            q[found] = decode(self.levels[level - 2][0].take(child[found], "p"))
+            q[found] = decode(self.levels[level - 2][0].take(child[found], "p")[0])
             p = q if level == 2 else np.where(age >= level - 2, q, p)
             if level < len(self.levels) + 1:
                 nodes = np.concatenate([[-1], child[:-1]])
@@ -396,8 +438,11 @@ def _arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarr
 
 
 def _shards(df: DataFrame, size: int) -> DataFrame:
-    """Sorted by key, in range partitions of about SHARD_KEYS rows: keys are distinct, so none can be large."""
-    return df.repartitionByRange(max(1, -(-size // SHARD_KEYS)), "key").sortWithinPartitions("key")
+    """Sorted by key, in range partitions of at most about SHARD_KEYS rows, and fewer where the cores would lie idle. Keys
+    are distinct, so none can be large."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-size // SHARD_KEYS), min(cores, -(-size // LEAST_KEYS)), 1)
+    return df.repartitionByRange(parts, "key").sortWithinPartitions("key")
 
 
 def _manifest(df: DataFrame) -> Sharded:
@@ -431,7 +476,7 @@ def build_trie(docs: DataFrame, order: int = ORDER, name: str = "ngram") -> Trie
             path = f"{root}/words-{_partition()}.ef"
             ef = EliasFano.build(rows[0])
             width = np.uint32 if rows[1].max() < 1 << 32 else np.uint64
-            write_arrays(path, {**{f"keys.{k}": v for k, v in ef.arrays().items()}, "count": rows[1].astype(width)})
+            write_arrays(path, {**{f"keys.{k}": v for k, v in ef.arrays().items()}, "sieve": sieve(rows[0]), "count": rows[1].astype(width)})
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(rows[0][0])]), pa.array([len(rows[0])])], names=["path", "first", "n"])
 
     trie = Trie(_manifest(c.materialize(_shards(words, size).mapInArrow(vocabulary, "path string, first bigint, n bigint"), f"{name}-manifest")), int(total or 0), [])
@@ -456,10 +501,10 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
             some = n[at : at + STEP]
             ctx, word = key[at : at + STEP] // v, key[at : at + STEP] % v
             if level == 2:
-                of = lower.words.take(ctx, "count")
+                (of,) = lower.words.take(ctx, "count")
                 below = 10 ** lower.unigram(word)[0]
             else:
-                of = lower.levels[-1][0].take(ctx, "n")
+                (of,) = lower.levels[-1][0].take(ctx, "n")
                 below = 10 ** _probability(lower, ctx, word)
             p = (some - DISCOUNT) / of
             codes[at : at + STEP] = code(np.log10(p))
@@ -471,7 +516,7 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
         path = f"{root}/level{level}-{_partition()}.ef"
         ef = EliasFano.build(key)
         extra = {"n": np.minimum(n, (1 << 32) - 1).astype(np.uint32)}
-        write_arrays(path, {**{f"keys.{k}": x for k, x in ef.arrays().items()}, "p": codes, **extra})
+        write_arrays(path, {**{f"keys.{k}": x for k, x in ef.arrays().items()}, "sieve": sieve(key), "p": codes, **extra})
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(key[0])]), pa.array([len(key)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())], names=names)
 
     made = c.materialize(_shards(grams, grams.count()).mapInArrow(keys, "path string, first bigint, n bigint, ctx bigint, spent double, below double"), f"{name}-made")
@@ -488,7 +533,7 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
         path = f"{root}/contexts{level}-{_partition()}.ef"
         ef, first = EliasFano.build(ctx), EliasFano.build(np.concatenate([kept.rank(ctx[i : i + STEP] * v) for i in range(0, len(ctx), STEP)]))
         arrays = {**{f"keys.{k}": x for k, x in ef.arrays().items()}, **{f"first.{k}": x for k, x in first.arrays().items()}}
-        write_arrays(path, {**arrays, "bow": code(np.minimum(bow, 6) - 6), "children": n.astype(np.uint32)})
+        write_arrays(path, {**arrays, "sieve": sieve(ctx), "bow": code(np.minimum(bow, 6) - 6), "children": n.astype(np.uint32)})
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(ctx[0])]), pa.array([len(ctx)])], names=["path", "first", "n"])
 
     return kept, _manifest(c.materialize(_shards(back, back.count()).mapInArrow(contexts, "path string, first bigint, n bigint"), f"{name}-manifest"))
@@ -496,12 +541,12 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
 
 def _probability(trie: Trie, node: np.ndarray, word: np.ndarray) -> np.ndarray:
     """log10 p(word | last token of the bigram ``node``), for the third level."""
-    last = trie.levels[0][0].take(node, "keys", ef=True) % len(trie.words)
+    last = trie.levels[0][0].take(node, "keys.")[0] % len(trie.words)
     bow, lo, hi = trie.context(2, last)
     child = trie.child(2, last, word, lo, hi)
     out = trie.unigram(word)[0] + bow
     hit = child >= 0
-    out[hit] = decode(trie.levels[0][0].take(child[hit], "p"))
+    out[hit] = decode(trie.levels[0][0].take(child[hit], "p")[0])
     return out
 
 
