@@ -430,6 +430,26 @@ def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None) -> Iterator[pa.
         yield out(*_merge(parts))
 
 
+def _sum_sorted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums over equal keys of a sorted run, those of at least ``least``; holds one batch."""
+    last, held = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, n = (np.asarray(batch.column(i)) for i in range(2))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[starts], np.add.reduceat(n, starts)
+        if last is not None and key[0] == last:
+            n[0] += held
+        elif last is not None and held >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["key", "n"])
+        last, held = key[-1], n[-1]
+        ok = n[:-1] >= least
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][ok]), pa.array(n[:-1][ok])], names=["key", "n"])
+    if last is not None and held >= least:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["key", "n"])
+
+
 def _arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray] | None:
     got = [b for b in batches if b.num_rows]
     if not got:
@@ -464,8 +484,10 @@ def build_trie(docs: DataFrame, order: int = ORDER, name: str = "ngram") -> Trie
     texts = docs.select("text")
 
     def counted(trie: Trie | None, least: int) -> DataFrame:
-        n = texts.mapInArrow(lambda b: _count(b, trie), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        return c.materialize(n.where(F.col("n") >= least), f"{name}-counts")
+        # the keys of a task are merged already: they are dealt out, sorted (Spark spills a sort) and summed in runs
+        n = texts.mapInArrow(lambda b: _count(b, trie), "key bigint, n bigint")
+        n = n.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+        return c.materialize(n.mapInArrow(lambda b: _sum_sorted(b, least), "key bigint, n bigint"), f"{name}-counts")
 
     words = counted(None, 1)
     size, total = words.agg(F.count("*"), F.sum("n")).first()
