@@ -77,8 +77,8 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, block_row
     share_of = lambda stream: F.coalesce(F.create_map(*named)[stream] if named else F.lit(None), F.lit(other_share)).cast("long")
     source = F.coalesce(F.col("source"), F.lit(""))
     stream = F.when(source.isin(*shares), source).otherwise(F.lit(OTHER)) if shares else F.lit(OTHER)
-    d = docs.select(stream.alias("stream"), F.xxhash64(*[F.col(k) for k in keys], *own).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.struct(*own).alias("row"))
-    d = d.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    d = docs.select(stream.alias("stream"), F.md5(F.to_json(F.struct(*own)).cast("binary")).alias("h"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.struct(*own).alias("row"))
+    d = d.withColumn("bucket", F.expr(f"cast(conv(substr(h, 1, 8), 16, 10) AS bigint) % {buckets}L"))
     # rows are numbered in steps, so that no task holds a whole source: within buckets, buckets within ranges of them, and
     # ranges against each other
     counts = d.groupBy("stream", "bucket").agg(F.count("*").alias("n")).withColumn("range", F.expr(f"bucket div {RANGE_BUCKETS}"))

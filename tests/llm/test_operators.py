@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyworks.llm import common as c
-from tallyworks.llm import decontaminate, jaccard_join, licenses, mixing, ngram_lm, pii, registry, secrets, token_counts, toxicity, vector_search
+from tallyworks.llm import decontaminate, jaccard_join, licenses, mixing, ngram_lm, oracles, pii, registry, secrets, token_counts, toxicity, vector_search
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, mix_slot string, key string, class_id string"
 LONG = "word " * 60_000 + "x" * 3_000
@@ -45,6 +45,21 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_jaccard_join", "op4_vector_search", "op6_decontamination", "op9_source_mixing"])
+def test_query_matches_sql(spark, name):
+    """Whole tables of sf0.01 against SQL that knows no index, hash or arithmetic schedule."""
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(oracles.oracle_sql()[name])
+    columns = [x[0] for x in want.description]
+    got = registry.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(columns).collect()) == Counter(want.fetchall())
+
+
 # -- shared pieces
 
 @settings(max_examples=60, deadline=None)
@@ -78,6 +93,14 @@ def test_licenses_brute_force(docs):
     assert {(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()} == want and want
 
 
+def test_licenses_edges(spark, edge, nothing):
+    assert licenses.scan_licenses(edge, licenses.NOTICES).count() == 0 and licenses.scan_licenses(nothing, licenses.NOTICES).count() == 0
+    texts = {"t": "same text here for two rows again", "w": "word word", "long": "x" * 3000}
+    rows = edge.selectExpr("doc_id", "text", "'a' AS license", "1 AS shared", "'b' AS h0", "'c' AS runs")
+    got = Counter((r.doc_id, r.license) for r in licenses.scan_licenses(rows, texts).collect())
+    assert got == Counter({(5, "t"): 2, (6, "t"): 1, (4, "w"): 1, (4, "long"): 1})
+
+
 def test_licenses_long_template_with_edits(spark):
     t = licenses.TEMPLATES["MIT"].split()
     t[20] = "changed"
@@ -318,18 +341,34 @@ def test_vector_search_repeated_rows_are_one_candidate(spark):
 
 # -- 5 tokens
 
-def test_token_counts_add_up(spark, docs, edge):
+def brute_sections(text, enc, rule="majority"):
+    """Each token alone: its bytes, the line of every byte, and the line with most of them (the earlier one on a tie)."""
+    raw = (text or "").encode()
+    line, starts = [], [0]
+    for i, x in enumerate(raw):
+        line.append(len(starts) - 1)
+        if x == 10 and i + 1 < len(raw):
+            starts.append(i + 1)
+    n, crossing = Counter(), Counter()
+    at = 0
+    for t in enc.encode_ordinary(text or ""):
+        size = len(enc.decode_single_token_bytes(t))
+        held = Counter(line[at : at + size])
+        best = max(sorted(held), key=lambda k: held[k]) if rule == "majority" else line[at]
+        n[best] += 1
+        crossing[best] += len(held) > 1
+        at += size
+    chars = [len(raw[:x].decode(errors="ignore")) for x in [*starts, len(raw)]]
+    return [(k, chars[k], chars[k + 1], n[k], crossing[k]) for k in range(len(starts))]
+
+
+def test_token_counts_brute_force(spark, docs, edge, nothing):
     enc, _ = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
-    for frame in (docs.limit(60), edge.where("doc_id IS NULL OR doc_id NOT IN (5, 8)")):
-        rows = frame.collect()
-        got = {}
-        for r in token_counts.count_tokens(frame).collect():
-            got.setdefault(r.doc_id, []).append(r)
-        for r in rows:
-            parts = sorted(got[r.doc_id], key=lambda x: x.section)
-            assert sum(p.n_tokens for p in parts) == len(enc.encode_ordinary(r.text or ""))
-            assert parts[0].char_start == 0 and parts[-1].char_end == len(r.text or "")
-            assert "".join((r.text or "")[p.char_start : p.char_end] for p in parts) == (r.text or "")
+    for rule in ("majority", "first"):
+        for frame in (docs, edge):
+            want = Counter((r.doc_id, *x) for r in frame.collect() for x in brute_sections(r.text, enc, rule))
+            assert Counter(tuple(r) for r in token_counts.count_tokens(frame, rule=rule).collect()) == want
+    assert token_counts.count_tokens(nothing).count() == 0
 
 
 def test_boundary_rule():
@@ -461,6 +500,60 @@ def test_model_probabilities_add_up(spark, order):
         assert abs(sum(p) - 1) < 0.06, (history, sum(p))
 
 
+def plain_model(train, order, least, discount):
+    """Katz back-off with absolute discounting, from dictionaries."""
+    seqs = [lm_tokens(t) for t in train]
+    uni = Counter(t for q in seqs for t in q)
+    n, v = sum(uni.values()), len(uni)
+    grams = {1: uni}
+    for k in range(2, order + 1):
+        g = Counter()
+        for q in seqs:
+            padded = [None, *q]  # one end token stands before each text
+            for i in range(len(padded) - k + 1):
+                gram = tuple(padded[i : i + k])
+                lower = gram[:-1] if k > 2 else gram[0]
+                if (lower in grams[k - 1] and gram[-1] in uni) and uni[gram[-1]] >= least and all(uni[x] >= least for x in gram):
+                    g[gram] += 1
+        grams[k] = {x: c for x, c in g.items() if c >= least}
+    children = {}
+    for k in range(2, order + 1):
+        for x in grams[k]:
+            children.setdefault(x[:-1], []).append(x)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (uni[gram[0]] + 0.1) / (n + 0.1 * (v + 1))
+        if gram in grams[len(gram)]:
+            context = uni[gram[0]] if len(gram) == 2 else grams[len(gram) - 1][gram[:-1]]
+            return (grams[len(gram)][gram] - discount) / context
+        kept = children.get(gram[:-1], [])
+        left, below = 1 - sum(p(x) for x in kept), 1 - sum(p(x[1:]) for x in kept)
+        return p(gram[1:]) * (left / below if kept else 1)
+
+    def score(text):
+        q = lm_tokens(text)
+        out = 0.0
+        padded = [None, *q]
+        for i in range(1, len(padded)):
+            out += math.log10(p(tuple(padded[max(0, i - order + 1) : i + 1])))
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_scores_are_those_of_plain_dictionaries(spark, order, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "LEAST_KEYS", 7)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(list("abcdefg"), size=rng.integers(0, 14), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(120)]
+    trie = ngram_lm.build_trie(spark.createDataFrame([(t,) for t in texts], "text string"), order)
+    plain = plain_model(texts, order, ngram_lm.MIN_COUNT, ngram_lm.DISCOUNT)
+    for t in [*texts[:40], "a z b", "", "z", "a b c a b c"]:
+        h, first = ngram_lm.tokens([t.encode()])
+        assert abs(trie.score(h, first)[2].sum() - plain(t)) < 0.002 * len(h) + 0.01, t
+
+
 def test_language_model_query_uses_trigrams(spark, tmp_path):
     # the end of "x b ..." is settled by the word two back alone
     texts = ["a b c"] * 20 + ["d b e"] * 20
@@ -506,7 +599,21 @@ def test_secret_ledger(spark, docs, edge, nothing, tmp_path):
     assert secrets.scan_secrets(copies, ledger).count() == docs.count() and held() == n
     secrets.scan_secrets(spark.createDataFrame([(1, "token = abcdef123456")], "doc_id bigint, text string"), ledger).collect()
     assert held() == n + 1
-    assert secrets.scan_secrets(edge).count() == len(EDGE) and secrets.scan_secrets(nothing).count() == 0
+    want = Counter((r.doc_id, *(sum(x[2] == k for x in plain_secrets(r.text or "")) for k, _ in RULES)) for r in edge.collect())
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in secrets.scan_secrets(edge).collect()) == want
+    assert secrets.scan_secrets(nothing).count() == 0
+
+
+def test_secret_scan_skips_what_the_ledger_holds(spark, tmp_path):
+    """Findings planted in the ledger come back: a known blob is not scanned again, under this rule version alone."""
+    ledger, text = f"file://{tmp_path}/ledger", "token = abcdef123456"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "password: hunter22")], "doc_id bigint, text string")
+    secrets.scan_secrets(docs.where("doc_id = 3"), ledger).collect()
+    blob = hashlib.sha256(text.encode()).digest()
+    for version in (secrets.RULE_VERSION, "older"):
+        spark.createDataFrame([(blob, version, 77 if version == "older" else 9, 0, 0, "x", "planted")], secrets.LEDGER).write.mode("append").parquet(ledger)
+    got = {r.doc_id: (r.n_assign, r.spans) for r in secrets.scan_secrets(docs, ledger).collect()}
+    assert got[1] == got[2] == (9, "planted") and got[3][0] == 1
 
 
 # -- 9 mixing
@@ -648,3 +755,42 @@ def test_drop_toxic_keeps_exactly_the_rows_below_one_half(spark, sf, docs, edge)
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == sorted(scored) and len(scored) < docs.count()
     odd = docs.selectExpr("doc_id", "text", "'x' AS feats", "1 AS mask", "'r' AS row")
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns and toxicity.drop_toxic(odd, labels).count() == len(scored)
+
+
+# -- the pipeline
+
+def test_pipeline_against_its_stages_in_plain_python(spark, sf, docs):
+    """The filters by brute force on the smallest tables, the order by simulation."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, sf).collect()
+    calm = {r.doc_id for r in toxicity.score_toxicity(docs, c.table(spark, sf, "labels")).where("predicted = 0").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in calm]
+    firsts = {k[1] for k in brute_join(rows)}
+    items = [(r.item_id, r.text) for r in c.table(spark, sf, "benchmark").collect()]
+    dirty = {d for d, _ in brute_items(rows, items)}
+    text = dict(rows)
+    model = pii.trained()
+    want = {d: pii.redact(text[d], pii.find_pii(text[d], model)[1]) for d in firsts - dirty}
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want) and 0 < len(want) < len(calm) < docs.count()
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert not any(plain_base(r.text) for r in got)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    stream = lambda s: s if s in mixing.SHARES else mixing.OTHER
+    counts = Counter(stream(source[d]) for d in want)
+    order = simulate(counts, mixing.SHARES | {mixing.OTHER: 1}, mixing.BLOCK_ROWS)
+    assert {(r.mix_slot, stream(r.source), r.mix_block) for r in got} == {(i, s, b) for i, (s, b) in enumerate(order)}
+
+
+def test_pipeline_on_odd_rows(spark, edge, nothing, tmp_path):
+    import corpus_pipeline
+
+    for k, frame in enumerate((edge, nothing)):
+        folder = f"{tmp_path}/{k}"
+        frame.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            c.table(spark, "/root/testdata/sf0.001", t).write.parquet(f"{folder}/{t}.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert set(edge.columns) <= set(got.columns)
+        ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in got.collect())
+        assert ids == ([-1, 1, 4, 5, 7, 8, 8] if k == 0 else [])
