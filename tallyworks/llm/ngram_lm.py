@@ -193,7 +193,10 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         path = tempfile.mkstemp(suffix=".ef")[1]
         with store.open_input_stream(inner) as f, open(path, "wb") as g:
             g.write(f.read())
-    m = np.memmap(path, np.uint8, "r")
+        m = np.memmap(path, np.uint8, "r")
+        os.unlink(path)  # the mapping keeps the file until the worker ends
+    else:
+        m = np.memmap(path, np.uint8, "r")
     n = int.from_bytes(m[:8].tobytes(), "little")
     base = 8 + n + -(8 + n) % 64
     out = {}
@@ -394,20 +397,31 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys of one level in this task, merged before they leave; at most FLUSH keys are held."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+PART = "part int, keys binary, counts binary"
+PART_KEYS = 4_000_000  # keys merged at once, at most about
+
+
+def _deal(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Sorted keys and their counts as one row for each part: few large rows are far cheaper to shuffle than many."""
+    part = (c.mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part)
+    part, keys, counts = part[order], keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(starts[1:], len(part))
+    blob = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob(keys), blob(counts)], names=["part", "keys", "counts"])
 
-    def out(keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
+def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys of one level in this task, merged before they leave; at most FLUSH keys are held."""
+    held_parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for batch in batches:
         for _, _, texts in c.text_groups(batch, size=4 << 20):
             h, first = tokens(texts)
@@ -418,36 +432,35 @@ def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None) -> Iterator[pa.
             if not len(h):
                 continue
             keys, counts = np.unique(h, return_counts=True)
-            parts.append((keys, counts.astype(np.int64)))
+            held_parts.append((keys, counts.astype(np.int64)))
             held += len(keys)
             if held > FLUSH:
-                parts = [_merge(parts)]
-                held = len(parts[0][0])
+                held_parts = [_merge(held_parts)]
+                held = len(held_parts[0][0])
                 if held > FLUSH // 2:
-                    yield out(*parts[0])
-                    parts, held = [], 0
-    if parts:
-        yield out(*_merge(parts))
+                    yield _deal(*held_parts[0], parts)
+                    held_parts, held = [], 0
+    if held_parts:
+        yield _deal(*_merge(held_parts), parts)
 
 
-def _sum_sorted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums over equal keys of a sorted run, those of at least ``least``; holds one batch."""
-    last, held = None, 0
+def _sum_parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums of the keys of the parts in this task, those of at least ``least``."""
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, n = (np.asarray(batch.column(i)) for i in range(2))
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n = key[starts], np.add.reduceat(n, starts)
-        if last is not None and key[0] == last:
-            n[0] += held
-        elif last is not None and held >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["key", "n"])
-        last, held = key[-1], n[-1]
-        ok = n[:-1] >= least
-        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][ok]), pa.array(n[:-1][ok])], names=["key", "n"])
-    if last is not None and held >= least:
-        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["key", "n"])
+        for keys, counts in zip(batch.column(1), batch.column(2)):
+            got.append((np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int64)))
+            held += len(got[-1][0])
+            if held > 2 * PART_KEYS:
+                got = [_merge(got)]
+                held = len(got[0][0])
+    if got:
+        keys, counts = _merge(got)
+        ok = counts >= least
+        keys, counts = keys[ok], counts[ok]
+        for at in range(0, len(keys), STEP):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + STEP]), pa.array(counts[at : at + STEP])], names=["key", "n"])
 
 
 def _arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray] | None:
@@ -483,11 +496,13 @@ def build_trie(docs: DataFrame, order: int = ORDER, name: str = "ngram") -> Trie
     root = c.shared_path(docs.sparkSession, name)
     texts = docs.select("text")
 
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def counted(trie: Trie | None, least: int) -> DataFrame:
-        # the keys of a task are merged already: they are dealt out, sorted (Spark spills a sort) and summed in runs
-        n = texts.mapInArrow(lambda b: _count(b, trie), "key bigint, n bigint")
-        n = n.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-        return c.materialize(n.mapInArrow(lambda b: _sum_sorted(b, least), "key bigint, n bigint"), f"{name}-counts")
+        # no level has more keys than there are tokens
+        parts = max(shuffles, -(-trie.total // PART_KEYS) if trie else 0)
+        n = texts.mapInArrow(lambda b: _count(b, trie, parts), PART).repartitionById(parts, F.col("part"))
+        return c.materialize(n.mapInArrow(lambda b: _sum_parts(b, least), "key bigint, n bigint"), f"{name}-counts")
 
     words = counted(None, 1)
     size, total = words.agg(F.count("*"), F.sum("n")).first()
@@ -502,10 +517,12 @@ def build_trie(docs: DataFrame, order: int = ORDER, name: str = "ngram") -> Trie
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(rows[0][0])]), pa.array([len(rows[0])])], names=["path", "first", "n"])
 
     trie = Trie(_manifest(c.materialize(_shards(words, size).mapInArrow(vocabulary, "path string, first bigint, n bigint"), f"{name}-manifest")), int(total or 0), [])
+    c.release(words)
     for level in range(2, order + 1):
         lower = Trie(trie.words, trie.total, list(trie.levels))
         grams = counted(lower, MIN_COUNT)
         trie.levels.append(_level(grams, lower, level, root, name))
+        c.release(grams)
     return trie
 
 
@@ -558,7 +575,9 @@ def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> t
         write_arrays(path, {**arrays, "sieve": sieve(ctx), "bow": code(np.minimum(bow, 6) - 6), "children": n.astype(np.uint32)})
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(ctx[0])]), pa.array([len(ctx)])], names=["path", "first", "n"])
 
-    return kept, _manifest(c.materialize(_shards(back, back.count()).mapInArrow(contexts, "path string, first bigint, n bigint"), f"{name}-manifest"))
+    named = _manifest(c.materialize(_shards(back, back.count()).mapInArrow(contexts, "path string, first bigint, n bigint"), f"{name}-manifest"))
+    c.release(made, back)
+    return kept, named
 
 
 def _probability(trie: Trie, node: np.ndarray, word: np.ndarray) -> np.ndarray:
