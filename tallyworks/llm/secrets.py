@@ -9,8 +9,9 @@ every blob unseen.
 Copies are dropped inside each task before any text moves, so a blob that makes up a third of all rows costs one row
 per task; texts move compressed. Results move once more by blob, in a plain join whose skew Spark splits.
 
-Defined cases: a null text is the empty text (it has no findings); null and repeated ids are carried through; repeated
-rows give repeated results; an empty table gives an empty result.
+Defined cases: a null text is the empty text (it has no findings); texts of any length are scanned whole; null and
+repeated ids are carried through; repeated rows give repeated results; findings that start together are in the order of
+KINDS; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ interval join of the two sorted lists gives each token its section. A token that
 
 Either way every token is counted once, so the counts of a document's sections add up to its tokens.
 
-Defined cases: a null or empty text has one section, 0..0, with no tokens; repeated rows give repeated results; null
-ids are carried through. A section of which no byte starts or dominates a token has 0 tokens.
+Defined cases: a null or empty text has one section, 0..0, with no tokens; texts of any length are encoded whole; repeated
+rows give repeated results; null ids are carried through; extra columns are ignored; an empty table gives an empty
+result. A section of which no byte starts or dominates a token has 0 tokens.
 """
 
 from __future__ import annotations

@@ -109,6 +109,22 @@ def test_licenses_long_template_with_edits(spark):
     assert [(r.doc_id, r.license) for r in got] == [(1, "MIT")] and got[0].containment < 1
 
 
+def test_licenses_full_texts_with_edits(spark):
+    """Full texts with a word in thirty changed, inside other words: every one that holds 0.8 of the shingles is found."""
+    rng = np.random.default_rng(7)
+    w = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    sh = lambda v: {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+    rows, want = [], set()
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for trial in range(12):
+            v = [f"edit{x}" if rng.random() < 1 / 30 else x for x in w(text) for x in [x]]
+            body = [f"a{x}" for x in rng.integers(0, 999, 40)] + v + [f"b{x}" for x in rng.integers(0, 999, 40)]
+            rows.append((k * 100 + trial, " ".join(body)))
+            want |= {(k * 100 + trial, n) for n, t in licenses.TEMPLATES.items() if 5 * len(sh(w(t)) & sh(body)) >= 4 * len(sh(w(t)))}
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
+
+
 def test_licenses_short_templates(spark, sf, docs):
     w = lambda t: f" {' '.join(x for x in re.split('[^a-z0-9]+', (t or '').lower()) if x)} "
     got = [(r.doc_id, r.containment) for r in registry.op1_license_scan(spark, sf).where("license = 'All rights reserved'").collect()]
