@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame with the
 columns of ``documents``; the last one adds the mixing order. Stages judge rows, so ids need not be unique.
+
+Defined cases: null and empty texts are kept as one row (they are copies of one another); texts of any length are read
+whole; of repeated rows one stays; null ids sort last; extra columns go through all stages, but for the columns that
+mixing adds; an empty table, or one without labels or benchmark items, goes through as it is.
 """
 
 from __future__ import annotations
@@ -46,8 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
