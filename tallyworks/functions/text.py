@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,12 @@ def jaro_winkler(a: str | None, b: str | None, boost_threshold: float = 0.7) ->
     return s + prefix * 0.1 * (1 - s)
 
 
+def title(c: Column) -> Column:
+    """Every run of letters with a capital first letter, whatever stands before it (``initcap`` knows spaces alone)."""
+    runs = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict = {}  # names repeat within a batch

@@ -85,3 +85,8 @@ def vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     """Vectors from their JSON text; a text that is not an array of ``width`` numbers becomes null."""
     v = F.from_json(F.col(column), "array<double>")
     return df.withColumn(column, F.when(F.size(v) == width, v))
+
+
+def typed_times(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns as timestamps; what is none becomes null."""
+    return df.withColumns({c: F.try_to_timestamp(c).cast("timestamp_ntz") for c in columns})

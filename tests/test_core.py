@@ -4,11 +4,12 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tallyworks.functions.text import jaro_winkler
-from tallyworks.operators import history, privacy, projection, queue, semantic
+from tallyworks.functions.text import jaro_winkler, title
+from tallyworks.operators import fixtures, history, privacy, projection, queue, semantic
 from tallyworks.plans import compile as plans
-from tallyworks.plans import store
+from tallyworks.plans import checks, store
 from tallyworks.sources import files
 from tallyworks.streaming import rollups
 
@@ -244,3 +245,32 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     batch = spark.read.parquet(f"{SF}/events.parquet").selectExpr("date_trunc('HOUR', cast(ts AS timestamp)) AS start", "event_type").groupBy("start", "event_type").count()
     assert {tuple(r)[:3] for r in rollups.current(spark, str(tmp_path / "out")).collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_generated_inputs(spark):
+    orgs = spark.createDataFrame([(i, f"Global Relief Fund {i}", "c", "s", i % 3 != 0, i % 5 == 0) for i in range(60)], "org_id int, name string, cause string, state string, is_verified boolean, is_synthetic boolean")
+    made = fixtures.adversaries(orgs, 25).collect()
+    assert len(made) == 25 and all(r.synth_target_id % 3 and r.synth_target_id % 5 and not r.is_verified for r in made) and {r.synth_technique for r in made} == set(fixtures.TECHNIQUES)
+    want = {"synonym": lambda i: f"world aid trust {i}", "reorder": lambda i: f"relief fund {i} global", "homoglyph": lambda i: f"gl\u043eb\u0430l r\u0435l\u0456\u0435f fund {i}"}
+    assert all(r.name == want[r.synth_technique](r.synth_target_id) for r in made if r.synth_technique in want)
+    assert sorted(made) == sorted(fixtures.adversaries(orgs.repartition(7), 25).collect())
+    texts = spark.createDataFrame([(1, "global relief fund"), (2, "fund relief GLOBAL"), (3, "river school"), (4, ""), (4, ""), (5, None)], "id int, name string")
+    v = {}
+    for r in fixtures.embed(texts, "name").collect():
+        v.setdefault(r.id, []).append(r.name_vec)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert abs(dot(v[1][0], v[2][0]) - 1) < 1e-9 and abs(dot(v[1][0], v[3][0])) < 0.5 and v[4] == [None, None] and v[5] == [None]
+    d = fixtures.disbursements(spark, 20_000, 50)
+    n = {r.status: r["count"] for r in d.groupBy("status").count().collect()}
+    assert sum(n.values()) == 20_000 and abs(n["DELIVERED"] / (20_000 - n["PLEDGED"]) - 371 / 590) < 0.03 and set(n) == set(fixtures.STATUSES)
+    assert d.where("(status = 'PLEDGED') <> (amount_usd = 0) OR amount_usd > pledged_usd OR delivered_at <= dispatched_at OR (status = 'UNACCOUNTED' AND delivered_at IS NOT NULL)").count() == 0
+
+
+def test_titles_times_and_enforced_checks(spark):
+    f = spark.createDataFrame([("o'neil mc-DONALD fund 3rd", "2026-01-02 03:04:05"), (None, "soon")], "name string, at string")
+    assert [r.t for r in f.select(title(F.col("name")).alias("t")).collect()] == ["O'Neil Mc-Donald Fund 3Rd", None]
+    assert [r["at"] for r in files.typed_times(f, "at").collect()] == [datetime(2026, 1, 2, 3, 4, 5), None]
+    rows = lambda *x: spark.createDataFrame([(f"C{i}", "s", r) for i, r in enumerate(x)], "check_id string, statement string, result string")
+    checks.enforce(rows("PASS", "REVIEW"))
+    with pytest.raises(AssertionError, match="C1"):
+        checks.enforce(rows("PASS", "FAIL"))
