@@ -7,11 +7,11 @@ distances obey the triangle inequality. The index keys each vector by its neares
 folder. Queries are packed into blocks the same way. A block first searches the annuli that hold its own keys, which
 gives each query a k-th best score. Then it expands outwards in waves: of the annuli that the triangle inequality cannot
 exclude for one of its queries (|d(q, p) - d(x, p)| <= d(q, x)) it visits the nearest WAVE, tightens every query's
-bound, and goes on with WAVE times as many until none is left. Inside a visit only the queries whose own bound reaches
+bound, and goes on with GROWTH times as many until none is left. Inside a visit only the queries whose own bound reaches
 the annulus are scored. The scores themselves are exact integers.
 
 Pivots are a bounded sample (PIVOTS rows) and every vector is indexed. Queries and data meet as packed blocks, never as
-rows, and a segment that many blocks visit is dealt to several tasks. One vector repeated many times fills consecutive
+rows, and the blocks that visit one segment are dealt to several tasks. One vector repeated many times fills consecutive
 segments: segments are cut by row count, not by key.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null
@@ -41,7 +41,7 @@ SCALE = 256
 PIVOTS = 64
 SEGMENT_ROWS = 4096
 QUERY_ROWS = 512
-WAVE = 8  # annuli of a block's first expansion, and the growth of the later ones
+WAVE, GROWTH = 16, 16  # annuli of a block's first expansion, and how much larger the next one is
 SLICE_BLOCKS = 16  # query blocks that meet a segment in one task
 _PACKED = "block bigint, pivot int, d_min double, d_max double, n int, payload binary"
 
@@ -208,19 +208,20 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int, pivots: Pivots) ->
     return pd.DataFrame(out, columns=["qblock", "query_id", "vec_id", "score"]).astype("int64")
 
 
-def visit(blocks: DataFrame, segments: DataFrame, visits: DataFrame, k: int, pivots: Pivots) -> DataFrame:
-    """Search the listed (qblock, segment) pairs; rows of (qblock, query_id, vec_id, score)."""
-    load = visits.groupBy("segment").agg(F.count("*").alias("load"))
-    sliced = visits.join(load, "segment").withColumn("slice", F.pmod(F.xxhash64("qblock"), F.greatest(F.lit(1), F.ceil(F.col("load") / SLICE_BLOCKS)).cast("long")))
+def visit(blocks: DataFrame, segments: DataFrame, visits: DataFrame, k: int, pivots: Pivots, slices: int) -> DataFrame:
+    """Search the listed (qblock, segment) pairs; rows of (qblock, query_id, vec_id, score). The blocks that visit one
+    segment are dealt to ``slices`` tasks."""
+    sliced = visits.select("qblock", "segment", F.pmod(F.xxhash64("qblock"), F.lit(slices)).alias("slice"))
     left = segments.select(F.col("block").alias("segment"), "pivot", "d_min", "d_max", "payload").join(sliced.select("segment", "slice").distinct(), "segment")
     right = sliced.join(blocks.select(F.col("block").alias("qblock"), "payload"), "qblock").select(F.col("segment").alias("seg"), F.col("slice").alias("sl"), "qblock", "payload")
     return left.groupBy("segment", "slice").cogroup(right.groupBy("seg", "sl")).applyInPandas(lambda a, b: _search(a, b, k, pivots), "qblock bigint, query_id bigint, vec_id bigint, score bigint")
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best; Spark limits each task's group to k rows before the shuffle."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def best(found: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The k best of each query, with their rank; repeated candidates are one. Spark limits each task's group to the first
+    k ranks before the shuffle."""
+    found = found.select(*by, "vec_id", "score").withColumn("rank", F.dense_rank().over(W.partitionBy(*by).orderBy(F.desc("score"), "vec_id")))
+    return found.where(F.col("rank") <= k).dropDuplicates([*by, "rank"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, pivots: int = PIVOTS, segment_rows: int = SEGMENT_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -235,6 +236,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, pivo
     index = Pivots([r["v"] for r in chosen], [r["norm2"] for r in chosen], bound)
     segments, blocks = build(data, index, False, segment_rows, "vs-segments"), build(asked, index, True, query_rows, "vs-queries")
     cover = segments.select(F.col("block").alias("segment"), "pivot", "d_min", "d_max")
+    n_segments, slices = cover.count(), max(1, -(-blocks.select("block").count() // SLICE_BLOCKS))
 
     def pairs(bounded: DataFrame, first: bool) -> DataFrame:
         """(qblock, segment, gap): annuli that some query of a block reaches, and their distance from its keys."""
@@ -242,26 +244,27 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, pivo
         gap = F.greatest(F.lit(0.0), F.col("near") - F.col("d_max"), F.col("d_min") - F.col("far"))
         return ranges.join(cover, "pivot").where("d_min <= hi AND d_max >= lo").select("qblock", "segment", gap.alias("gap"))
 
-    of = c.materialize(blocks.select("block", "payload").mapInArrow(_query_ids, "qblock bigint, query_id bigint"), "vs-ids")
+    by = ("qblock", "query_id")
     seen = c.materialize(pairs(blocks, True), "vs-visits")
-    found = c.materialize(best(visit(blocks, segments, seen, k, index), k), "vs-found")
+    found = c.materialize(best(visit(blocks, segments, seen, k, index, slices), k, by), "vs-found")
     wave = WAVE
     while True:
-        kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         # each query's bound goes into its block, of at most query_rows queries
-        bounds = of.join(kth, "query_id").groupBy(F.col("qblock").alias("block")).agg(F.collect_list(F.struct("query_id", "kth")).alias("kth"))
-        bounded = c.materialize(blocks.join(bounds, "block", "left").mapInArrow(_set_bounds, _PACKED), "vs-bounded")
-        left = pairs(bounded, False).join(seen.select("qblock", "segment"), ["qblock", "segment"], "left_anti")
-        nearest = left.withColumn("at", F.row_number().over(W.partitionBy("qblock").orderBy("gap", "segment"))).where(F.col("at") <= wave)
-        todo = c.materialize(nearest.select("qblock", "segment", "gap"), "vs-visits")
-        if not todo.limit(1).count():
-            break
-        more = visit(bounded, segments, todo, k, index).select("query_id", "vec_id", "score")
-        better = c.materialize(best(found.select("query_id", "vec_id", "score").unionByName(more), k), "vs-found")
+        kth = found.where(F.col("rank") == k).groupBy(F.col("qblock").alias("block")).agg(F.collect_list(F.struct("query_id", F.col("score").alias("kth"))).alias("kth"))
+        bounded = c.materialize(blocks.join(kth, "block", "left").mapInArrow(_set_bounds, _PACKED), "vs-bounded")
+        todo = pairs(bounded, False).join(seen.select("qblock", "segment"), ["qblock", "segment"], "left_anti")
+        if wave < n_segments:
+            todo = todo.withColumn("at", F.row_number().over(W.partitionBy("qblock").orderBy("gap", "segment"))).where(F.col("at") <= wave).drop("at")
+        todo = c.materialize(todo, "vs-visits")
+        more = visit(bounded, segments, todo, k, index, slices)
+        better = c.materialize(best(found.drop("rank").unionByName(more), k, by), "vs-found")
         c.release(found, bounded)
-        found, seen, wave = better, seen.unionByName(todo), wave * WAVE
+        found, seen = better, seen.unionByName(todo)
+        if wave >= n_segments:
+            break
+        wave *= GROWTH
     c.release(segments, blocks)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _pivot_rows(data: DataFrame, n: int) -> list:
@@ -269,13 +272,6 @@ def _pivot_rows(data: DataFrame, n: int) -> list:
     return data.groupBy(F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"), F.first("norm2").alias("norm2")).orderBy("h").limit(n).collect()
 
 
-def _query_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, payload in zip(*(batch.column(i).to_pylist() for i in range(2))):
-            ids = np.unique(unpack(payload)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids)], names=["qblock", "query_id"])
-
-
 def _set_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         payloads = []

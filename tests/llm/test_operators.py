@@ -45,7 +45,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op2_jaccard_join", "op4_vector_search", "op6_decontamination", "op9_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_jaccard_join", "op4_vector_search", "op6_decontamination", "op8_secret_scan", "op9_source_mixing"])
 def test_query_matches_sql(spark, name):
     """Whole tables of sf0.01 against SQL that knows no index, hash or arithmetic schedule."""
     import duckdb
@@ -332,6 +332,7 @@ def test_vector_search_edges(spark):
 
 def test_vector_search_waves_and_huge_components(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "WAVE", 1)
+    monkeypatch.setattr(vector_search, "GROWTH", 4)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(160)] + [(450, [1e9] * 3), (501, [1e5, 0.0, 1.0])]
     frame = lambda r: spark.createDataFrame(r, "vec_id bigint, embedding array<double>, v int, block string")
