@@ -1,11 +1,11 @@
 """DuckDB SQL for the operators that SQL can express: plain definitions over all rows, without any index or hash.
 
-Spans, tokens of a vocabulary and models cannot be expressed; tests/llm holds those operators against brute force.
+Tokens of a vocabulary and models cannot be expressed; tests/llm holds those operators against brute force.
 """
 
 from __future__ import annotations
 
-from . import licenses, mixing, vector_search
+from . import licenses, mixing, secrets, vector_search
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(x) for x in range(0xC0, 0xDF) if x != 0xD7)
 _LOWER = "".join(chr(ord(x) + 32) for x in _UPPER)
@@ -58,6 +58,34 @@ def op6() -> str:
         UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM d JOIN i ON len(i.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')"""
 
 
+#: kind -> (pattern of what may stand before it, pattern, the least length of the second group); ADDED patterns look
+#: behind, which this engine's expressions cannot: the character before is matched as well and taken off.
+_BEFORE = {"jwt": "[^A-Za-z0-9_-]", "github": "[^A-Za-z0-9]", "slack": "[^A-Za-z0-9]", "google": "[^A-Za-z0-9]"}
+_SECRETS = {
+    "assign": (None, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    "access": (None, "()(AKIA[A-Z0-9]+)", 20),
+    "hex": (None, "()([0-9a-f]+)", 24),
+} | {k: (_BEFORE.get(k), p.pattern.split(")", 1)[1] if k in _BEFORE else p.pattern, 0) for k, (_, p) in secrets.ADDED.items()}
+
+
+def op8() -> str:
+    """Positions from the pieces between the matches of each kind."""
+    parts = []
+    for order, (kind, (before, pattern, least)) in enumerate(_SECRETS.items()):
+        p = _say(f"(^|{before}){pattern}" if before else pattern)
+        skip = f"regexp_extract_all(t, {p}, 1)" if before else "list_transform(m, lambda x: '')"
+        length = f"list_transform(regexp_extract_all(t, {p}, 2), lambda x: length(x))" if least else "list_transform(m, lambda x: 0)"
+        sizes = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+        at = f"{{'s': {sizes('sp[1:i]')} + {sizes('m[1:i - 1]')} + length(pre[i]), 'e': {sizes('sp[1:i]')} + {sizes('m[1:i]')}, 'n': g[i]}}"
+        parts.append(f"SELECT rid, {order} AS o, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {at})) AS v FROM (SELECT *, {skip} AS pre, {length} AS g FROM (SELECT rid, t, regexp_extract_all(t, {p}) AS m, regexp_split_to_array(t, {p}) AS sp FROM d)) WHERE len(m) > 0")
+        parts[-1] = f"SELECT rid, o, kind, v.s::BIGINT AS s, v.e::BIGINT AS e FROM ({parts[-1]}) WHERE v.n >= {least}"
+    n = lambda k: f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}"
+    say = "kind || ':' || s || ':' || e"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)})
+        SELECT doc_id, sha256(any_value(t)) AS blob, {n('assign')}, {n('access')}, {n('hex')}, sha256(coalesce(string_agg({say}, ',' ORDER BY s, o) FILTER (WHERE o < 3), '')) AS base_sha256, coalesce(string_agg({say}, ',' ORDER BY s, o, e), '') AS spans
+        FROM d LEFT JOIN f USING (rid) GROUP BY rid, doc_id"""
+
+
 def op9() -> str:
     """The schedule slot by slot: a source may run when its next block is released, and the earliest deadline runs. A
     period is K slots; in it a source that has no block left leaves its slots out."""
@@ -79,4 +107,4 @@ def op9() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op2_jaccard_join": op2(), "op4_vector_search": op4(), "op6_decontamination": op6(), "op9_source_mixing": op9()}
+    return {"op1_license_scan": op1(), "op2_jaccard_join": op2(), "op4_vector_search": op4(), "op6_decontamination": op6(), "op8_secret_scan": op8(), "op9_source_mixing": op9()}
