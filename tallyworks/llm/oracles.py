@@ -64,7 +64,7 @@ _BEFORE = {"jwt": "[^A-Za-z0-9_-]", "github": "[^A-Za-z0-9]", "slack": "[^A-Za-z
 _SECRETS = {
     "assign": (None, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
     "access": (None, "()(AKIA[A-Z0-9]+)", 20),
-    "hex": (None, "()([0-9a-f]+)", 24),
+    "hex": (None, "()([0-9a-f]{24,})", 24),  # runs are maximal either way
 } | {k: (_BEFORE.get(k), p.pattern.split(")", 1)[1] if k in _BEFORE else p.pattern, 0) for k, (_, p) in secrets.ADDED.items()}
 
 

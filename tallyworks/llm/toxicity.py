@@ -62,12 +62,31 @@ def capitals(text: str) -> int:
     return n if text.isascii() else n + sum(map(str.isupper, raw.translate(None, _ASCII).decode()))
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters and of all other characters that are not ASCII."""
+    return text.lower().encode().translate(_CLEAN).decode().split()
+
+
+def patterns(text: str, words: int, kinds: int) -> list[str]:
+    """The pattern voters that fire on a text of so many words and different words."""
+    out = []
+    if words >= 8:
+        if text.isupper() or capitals(text) > 0.6 * len(text):
+            out.append("#shout")
+        if kinds * 4 < words:
+            out.append("#repeats")
+    if len(text) >= 40 and sum(text.count(x) for x in "!$%&#*") * 8 > len(text):
+        out.append("#symbols")
+    return out
+
+
 def text_features(text: str) -> set[str]:
     """Distinct lower-cased words, their beginnings (marked ``^``, the frequent ones also ``^...+``) and the pattern
     voters that fire."""
-    words = text.lower().encode().translate(_CLEAN).decode().split()
+    words = words_of(text)
     kinds = Counter(words)
     out = set(kinds)
+    out.update(patterns(text, len(words), len(kinds)))
     for n in PREFIXES:
         long = [(w[:n], k) for w, k in kinds.items() if len(w) > n]
         begins = Counter(x for x, _ in long)
@@ -77,13 +96,6 @@ def text_features(text: str) -> set[str]:
             if x in twice:
                 twice[x] += k
         out.update(f"^{x}+" for x, k in twice.items() if k * FREQUENT >= len(words))
-    if len(words) >= 8:
-        if text.isupper() or capitals(text) > 0.6 * len(text):
-            out.add("#shout")
-        if len(kinds) * 4 < len(words):
-            out.add("#repeats")
-    if len(text) >= 40 and sum(text.count(x) for x in "!$%&#*") * 8 > len(text):
-        out.add("#symbols")
     return out
 
 
@@ -137,14 +149,48 @@ def mine(rows: DataFrame, features: int = FEATURES) -> tuple[list[str], list[str
     return sorted(set(best) | set(voters)), voters + [f"#{x}" for x in PATTERNS]
 
 
+class Finder:
+    """Those features of ``text_features`` that are wanted. What a word contributes is looked up once and kept, for
+    WORDS_KEPT words at a time, so that a text costs one look-up for each of its different words."""
+
+    WORDS_KEPT = 300_000
+
+    def __init__(self, wanted: set[str]):
+        self.wanted, self.known = wanted, {}
+
+    def _of(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        begins = ["^" + word[:n] for n in PREFIXES if len(word) > n]
+        return tuple(x for x in (word, *begins) if x in self.wanted), tuple(x + "+" for x in begins if x + "+" in self.wanted)
+
+    def __call__(self, text: str) -> set[str]:
+        words = words_of(text)
+        kinds = Counter(words)
+        out = {x for x in patterns(text, len(words), len(kinds)) if x in self.wanted}
+        frequent: dict[str, list[int]] = {}
+        known = self.known
+        if len(known) > self.WORDS_KEPT:
+            known.clear()
+        for w, k in kinds.items():
+            got = known.get(w)
+            if got is None:
+                got = known[w] = self._of(w)
+            if got[0]:
+                out.update(got[0])
+            for x in got[1]:
+                frequent.setdefault(x, []).append(k)
+        out.update(x for x, counts in frequent.items() if len(counts) > 1 and sum(counts) * FREQUENT >= len(words))
+        return out
+
+
 def _extract(batches: Iterator[pa.RecordBatch], names: list[str], voters: list[str]) -> Iterator[pa.RecordBatch]:
     """Columns ``x`` (text) and others -> the others, feats, mask."""
     at, bit = {f: i for i, f in enumerate(names)}, {v: 1 << i for i, v in enumerate(voters)}
     known, ballots = set(at), set(bit)
+    find = Finder(known | ballots)
     for batch in batches:
         feats, masks = [], []
         for text in batch.column(0):
-            f = text_features(text.as_py() or "")
+            f = find(text.as_py() or "")
             feats.append(sorted(at[x] for x in f & known))
             masks.append(sum(bit[x] for x in f & ballots))
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(feats, pa.list_(pa.int32())), pa.array(masks, pa.int64())], names=[*batch.schema.names[1:], "feats", "mask"])

@@ -717,6 +717,17 @@ def test_toxicity_edges(spark, sf, edge, nothing, docs):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_finder_gives_the_wanted_features(docs):
+    texts = [r.text or "" for r in docs.collect()] + ["", "a", "LOUD " * 20, "abcd abce abcf x", "ÉTÉ été! $$$$ " * 5, "insulting insultingly insulted insult"]
+    every = [toxicity.text_features(t) for t in texts]
+    rng = np.random.default_rng(2)
+    pool = sorted(set().union(*every))
+    for wanted in (set(pool), set(rng.choice(pool, 400)), {"#shout", "^insu+", "^abc+", "été"}):
+        find = toxicity.Finder(wanted)
+        find.WORDS_KEPT = 50
+        assert [find(t) for t in texts] == [f & wanted for f in every]
+
+
 def test_shouting_is_judged_over_the_whole_text():
     calm, loud = "calm words of some length " * 100, "LOUD ÉTÉ WORDS OF SOME LENGTH " * 300
     assert "#shout" in toxicity.text_features(calm + loud) and "#shout" in toxicity.text_features(loud + calm)
