@@ -1,0 +1,59 @@
+"""A hexagonal grid on the plane of degrees (pointy top): cells, centres, parents, steps and disks as column expressions.
+
+A cell is a struct of axial coordinates (q, r). Sizes are in degrees, from a cell's centre to its corners. The plane is
+not the sphere: cells shrink towards the poles and do not join across the date line; ``unwrap`` helps with the latter.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..plans.marts import axial
+
+ROOT3 = math.sqrt(3)
+
+
+def _struct(q: Column, r: Column) -> Column:
+    return F.struct(q.cast("bigint").alias("q"), r.cast("bigint").alias("r"))
+
+
+def cell(lat: str, lon: str, size: float) -> Column:
+    """The cell around a point, from the names (or SQL) of its coordinates."""
+    q, r = axial(lat, lon, size)
+    return F.when(F.expr(f"({lat}) IS NOT NULL AND ({lon}) IS NOT NULL"), _struct(F.expr(q), F.expr(r)))
+
+
+def centre(c: Column, size: float) -> Column:
+    """(lat, lon) of a cell's middle."""
+    return F.struct((c["r"] * (1.5 * size)).alias("lat"), ((c["q"] + c["r"] / 2) * (ROOT3 * size)).alias("lon"))
+
+
+def parent(c: str, size: float, coarse: float) -> Column:
+    """The cell of a coarser grid around the middle of the cell in column ``c``."""
+    return cell(f"({c}.r * {1.5 * size!r})", f"(({c}.q + {c}.r / 2) * {ROOT3 * size!r})", coarse)
+
+
+def steps(a: Column, b: Column) -> Column:
+    """Cells to cross from one cell to another."""
+    dq, dr = b["q"] - a["q"], b["r"] - a["r"]
+    return ((F.abs(dq) + F.abs(dr) + F.abs(dq + dr)) / 2).cast("bigint")
+
+
+def disk(c: Column, k: Column | int) -> Column:
+    """All cells within ``k`` steps: 1 + 3k(k + 1) of them."""
+    k = F.lit(k) if isinstance(k, int) else k
+    column = lambda x: F.transform(F.sequence(F.greatest(-k, -x - k), F.least(k, -x + k)), lambda y: _struct(c["q"] + x, c["r"] + y))
+    return F.flatten(F.transform(F.sequence(-k, k), column))
+
+
+def disk_size(k: Column | int) -> Column:
+    k = F.lit(k) if isinstance(k, int) else k
+    return 1 + 3 * k * (k + 1)
+
+
+def unwrap(lon: Column, origin: Column) -> Column:
+    """A longitude moved by whole turns to within half a turn of another (half a turn rounds to even)."""
+    return lon - 360 * F.bround((lon - origin) / 360)

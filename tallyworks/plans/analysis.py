@@ -14,6 +14,8 @@ REGIMES = ((2, 1.0, ROAD_KMH), (22, ROAD_KMH, JET_KMH), (8, JET_KMH, 20_000.0))
 SPEED_EDGES = [a * (b / a) ** (k / n) for n, a, b in REGIMES for k in range(n)] + [REGIMES[-1][2]]
 DIFF_FIELDS = ("org_id", "ein", "name", "cause", "city", "state", "blurb")
 
+OFFSETS, EDITED_AGO = (60, 120, 300, 600, 1800, 3600), 200  # seconds
+
 MODEL = [
     ("TABLE", "orgs", "charities, nonprofits, organisations"), ("TABLE", "disb", "disbursements, deliveries, aid shipments"),
     ("DIMENSION", "state", "province, region"), ("DIMENSION", "cause", "sector, category, programme area"), ("DIMENSION", "city", "town"),
@@ -96,11 +98,13 @@ ANALYSIS: dict[str, Callable] = {
     "q_org_footprint": lambda d: "SELECT max_hops, count(*) AS orgs, min(footprint_cells) AS footprint_cells FROM {org_footprint} GROUP BY max_hops ORDER BY max_hops",
     "q_trust_labels": lambda d: "SELECT CASE WHEN trust >= 90 THEN 'strong' WHEN trust >= 65 THEN 'ordinary' WHEN trust >= 45 THEN 'thin' ELSE 'needs a second look' END AS band, count(*) AS orgs, round(min(trust), 6) AS least FROM (SELECT 100 - round(risk_score, 6) AS trust FROM {org_risk}) t GROUP BY 1 ORDER BY least DESC",
     "q_district_attrition_events": lambda d: "SELECT district, events, moved_usd, delivered_usd, round(attrition_rate, 6) AS attrition_rate, round(mean_transit_hours, 6) AS mean_transit_hours FROM {district_attrition} ORDER BY district",
+    "q_district_observed": lambda d: "SELECT g.district, min(dim.country) AS country, round(avg(g.lat), 6) AS centroid_lat, round(avg(g.lon), 6) AS centroid_lon, min(g.cell) AS cell FROM {delivery_geometry} g LEFT JOIN {district_dim} dim ON dim.district = g.district WHERE g.lat IS NOT NULL GROUP BY g.district ORDER BY g.district",
     "q_domain_literals": _domains,
     "q_filings": lambda d: "SELECT org_id, ein, name, ntee_code, cause, blurb, lat, lon, max_hops, is_verified FROM {filings} ORDER BY org_id",
     "q_semantic_shape": lambda d: f"SELECT object_kind, object_name, synonyms FROM {SHAPE} ORDER BY object_kind, object_name",
     "q_semantic_counts": lambda d: f"SELECT object_kind, count(DISTINCT object_name) AS objects, cast(sum(CASE WHEN synonyms = '' THEN 0 ELSE length(synonyms) - length(replace(synonyms, ',', '')) + 1 END) AS bigint) AS synonyms FROM {SHAPE} GROUP BY object_kind ORDER BY object_kind",
     "q_time_travel": lambda d: "SELECT 'current' AS version, org_id, name, round(risk_score, 6) AS risk_score, verdict FROM {org_risk_now} WHERE org_id = :org UNION ALL SELECT 'before', org_id, name, round(risk_score, 6), verdict FROM {org_risk} WHERE org_id = :org",
+    "q_time_offsets": lambda d: f"SELECT o.seconds, r.org_id, round(CASE WHEN o.seconds < {EDITED_AGO} THEN n.risk_score ELSE r.risk_score END, 6) AS risk_score FROM (VALUES {', '.join(f'({x})' for x in OFFSETS)}) AS o(seconds) CROSS JOIN (SELECT * FROM {{org_risk}} WHERE org_id = :org) r JOIN {{org_risk_now}} n ON n.org_id = r.org_id ORDER BY o.seconds",
     "q_apply_change": lambda d: "SELECT org_id, name, cast(:score AS double) AS risk_score, CASE WHEN :score >= 55 THEN 'needs a second look' WHEN is_verified THEN 'verified' ELSE 'unverified' END AS verdict FROM {org_risk} WHERE org_id = :org",
     "q_object_inventory": lambda d: _inventory(d),
 }
@@ -116,6 +120,25 @@ def _inventory(d) -> str:
     return f"SELECT schema_name, count(*) AS objects, cast(0 AS bigint) AS views, cast(sum(n) AS bigint) AS total_rows FROM ({counts}) t GROUP BY schema_name UNION ALL SELECT schema_name, count(*), count(*), cast(0 AS bigint) FROM ({served}) s GROUP BY schema_name"
 
 
+# What the adapter says of an order, for checking SQL that reads the source table alone.
+STATUS = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'UNACCOUNTED' WHEN o_orderstatus = 'P' THEN 'PLEDGED' WHEN o_orderstatus = 'O' THEN 'DISPATCHED' ELSE 'DELIVERED' END"
+ORDERS = f"(SELECT *, {STATUS} AS status, o_totalprice::DECIMAL(12,2) AS pledged FROM {{orders}})"
+
+
+def _money(kind: str, name: str) -> str:
+    return f"coalesce(sum(pledged) FILTER (WHERE status IN ({kind})), 0)::DOUBLE AS {name}"
+
+
+def _landscape_naive(d) -> str:
+    """The eight groupings, one query each."""
+    keys, parts = ("district", "programme_code", "month_key"), []
+    for n in range(8):
+        used = [k for i, k in enumerate(keys) if n >> i & 1]
+        shown = ", ".join(k if k in used else (f"NULL::BIGINT AS {k}" if k == "district" else f"'any' AS {k}") for k in keys)
+        parts.append(f"SELECT {shown}, {len(used)} AS filters_applied, count(DISTINCT beneficiary_id) AS people, count(*) AS records, sum(amount_usd::DECIMAL(12,2))::DOUBLE AS usd FROM {{beneficiary_facts}}" + (f" GROUP BY {', '.join(used)}" if used else ""))
+    return " UNION ALL ".join(parts)
+
+
 #: Plain SQL of the checking engine, independent of the plans above.
 DIRECT: dict[str, Callable] = {
     "q_evidence_markers": lambda d: "SELECT c.citation_id, c.published_on, round(16 + 22 * (c.magnitude / m.top) ** 0.5, 6) AS marker_size FROM {citations} c JOIN (SELECT unit_type, max(magnitude) AS top FROM {citations} GROUP BY 1) m USING (unit_type)",
@@ -128,6 +151,14 @@ DIRECT: dict[str, Callable] = {
     "q_semantic_shape": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{s}')" for k, n, s in MODEL) + ") t(object_kind, object_name, synonyms)",
     "q_semantic_counts": lambda d: "SELECT * FROM (VALUES ('DIMENSION', 6, 12), ('FACT', 2, 0), ('METRIC', 4, 8), ('TABLE', 2, 6)) t(object_kind, objects, synonyms)",
     "q_evidence": lambda d: "SELECT * FROM {citations} ORDER BY published_on",
+    "q_cohort_landscape": _landscape_naive,
+    "q_programme_flow": lambda d: "SELECT o_orderpriority AS programme_code, count(*) AS disbursements, " + ", ".join(_money(f"'{k.upper()}'", k) for k in ("pledged", "dispatched", "delivered", "unaccounted")) + f" FROM {ORDERS} GROUP BY 1",
+    "q_money_over_time": lambda d: "SELECT (o_orderdate::DATE - (isodow(o_orderdate) - 1)::INT) AS week, count(*) AS disbursements, " + _money("'DISPATCHED', 'DELIVERED', 'UNACCOUNTED'", "moved_usd") + ", " + _money("'UNACCOUNTED'", "unaccounted_usd") + f" FROM {ORDERS} GROUP BY 1",
+    "q_delivery_rate_weekly": lambda d: f"SELECT (o_orderdate::DATE - (isodow(o_orderdate) - 1)::INT) AS week, count(*) AS moved, round(count(*) FILTER (WHERE status = 'DELIVERED') / count(*)::DOUBLE, 4) AS delivery_rate FROM {ORDERS} WHERE status <> 'PLEDGED' GROUP BY 1",
+    "q_cause_exposure": lambda d: "SELECT c_mktsegment AS cause, count(*) FILTER (WHERE c_custkey % 10 <> 0 AND c_acctbal >= 0) AS verified_orgs, count(*) FILTER (WHERE c_custkey % 10 = 0) AS seeded_orgs, round(100.0 * seeded_orgs / verified_orgs, 6) AS imitations_per_100 FROM {customer} GROUP BY 1",
+    "q_receipt_gap": lambda d: f"""WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(((o_orderkey * 37) % 5760)::INT) AS delivered_at FROM {ORDERS} WHERE status = 'DELIVERED'),
+        e AS (SELECT delivered_at::DATE AS day, 1 AS expected, 0 AS actual FROM o UNION ALL SELECT (delivered_at + INTERVAL 1 DAY)::DATE, 0, 1 + (o_orderkey % 97 = 0)::INT FROM o WHERE o_orderkey % 30 <> 0), t AS (SELECT day, sum(expected)::BIGINT AS expected, sum(actual)::BIGINT AS actual FROM e GROUP BY 1)
+        SELECT a.day, a.expected, a.actual, sum(b.expected)::BIGINT AS expected_total, sum(b.actual)::BIGINT AS actual_total, sum(b.expected - b.actual)::BIGINT AS gap FROM t a JOIN t b ON b.day <= a.day GROUP BY ALL ORDER BY a.day LIMIT 400""",
     "q_filings": lambda d: """WITH r AS (SELECT *, lpad(c_custkey::VARCHAR, 2, '0') || lpad((c_custkey * 7919 % 10000000)::VARCHAR, 7, '0') AS ein FROM {customer}),
         f AS (SELECT *, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 90 * 1000000 END AS rev, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 11 * 1000 END AS older FROM r WHERE length(ein) = 9),
         g AS (SELECT *, older IS NOT NULL AND (rev IS NULL OR older >= rev) AS takes_older, row_number() OVER (PARTITION BY ein ORDER BY c_custkey) AS rn FROM f),
