@@ -25,7 +25,7 @@ def now() -> datetime:
 
 
 class Store:
-    """Marts under one folder. ``clock`` is replaceable for tests."""
+    """Marts under one folder, written by one driver at a time. ``clock`` is replaceable for tests."""
 
     def __init__(self, spark: SparkSession, where: str, clock=now):
         self.spark, self.where, self.clock = spark, where.rstrip("/"), clock
@@ -40,8 +40,9 @@ class Store:
 
     def _note(self, name: str, layer: str, action: str, path: str, rows: int) -> None:
         row = (name, layer, action, uuid.uuid4().hex, path, rows, self.clock())
+        newest = self._paths()
         self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{self.where}/_log")
-        self._newest = None
+        self._newest = newest | {name: path}
 
     def _paths(self, at: datetime | None = None) -> dict[str, str]:
         if at is None and self._newest is not None:
