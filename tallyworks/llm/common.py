@@ -7,10 +7,12 @@ Python code runs per word.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that thresholds compare integers
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +46,51 @@ def shared_root(spark: SparkSession) -> str:
     return qualified(spark, root).rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+class Scope:
+    """Owns every path that is handed out while it is open, and deletes them when it closes, but for those kept: they
+    pass to the scope around it, or to the caller."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scope:
+        self.token = _scope.set(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = _paths[df]
+        self.paths.discard(path)
+        if (around := self.token.old_value) not in (None, self.token.MISSING):
+            around.paths.add(path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _scope.reset(self.token)
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
+def scoped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query (spark, ...) whose result is written; all other tables that it wrote are deleted. What is left is the
+    result, which the caller may ``release``."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **values) -> DataFrame:
+        with Scope(spark) as s:
+            return s.keep(materialize(query(spark, *args, **values), query.__name__))
+
+    return run
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (s := _scope.get()) is not None:
+        s.paths.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +108,20 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         if (path := _paths.pop(t, None)) is not None:
             drop_path(t.sparkSession, path)
+            if (s := _scope.get()) is not None:
+                s.paths.discard(path)
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with one class row a key, where ``count`` is the number of rows that have the key. Keys of
+    more than one row in HOT_SHARE, at most HOT_SHARE of them, are broadcast; so no key of the shuffled join is hot."""
+    total = classes.agg(F.sum(count)).first()[0] or 0
+    hot, cold = F.col(count) * HOT_SHARE > total, F.col(count) * HOT_SHARE <= total
+    if classes.where(hot).limit(1).count() == 0:
+        return rows.join(classes, key)
+    few = F.broadcast(classes.where(hot))
+    rest = rows.join(F.broadcast(classes.where(hot).select(key)), key, "left_anti").join(classes.where(cold).hint("merge"), key)
+    return rows.join(few, key).unionByName(rest)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -125,11 +182,12 @@ def _lut(punctuation_separates: bool) -> np.ndarray:
     return t
 
 
-WORDS, TOKENS = _lut(True), _lut(False)
+WORDS, TERMS, TOKENS = _lut(True), _lut(True), _lut(False)
 
 
 def word_hashes(data: bytes, lut: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and first byte of every word. ``WORDS`` also lower-cases Latin-1 letters (two-byte UTF-8)."""
+    """64-bit hash and first byte of every word. ``WORDS`` also lower-cases Latin-1 letters (two-byte UTF-8);
+    ``TERMS`` does not."""
     raw = np.frombuffer(data, np.uint8)
     hashes, starts, at = [], [], 0
     while at < len(raw):

@@ -106,5 +106,38 @@ def op9() -> str:
         SELECT doc_id, source, i // {mixing.BLOCK_ROWS} AS mix_block, at_phase AS mix_phase, slot AS mix_slot, i % {mixing.BLOCK_ROWS} AS mix_row FROM n JOIN slots ON slots.stream = n.stream AND slots.block = n.i // {mixing.BLOCK_ROWS}"""
 
 
+def op11() -> str:
+    """Every document through every order, one filter after the other; no inclusion-exclusion."""
+    return r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+            CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM d JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+        g AS (SELECT part, fails, good, bad, count(*) AS n FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        r AS (SELECT g.*, filter_order, coalesce(list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i]))), 6) AS gone FROM g, o),
+        s AS (SELECT part, filter_order[gone] AS letter, sum(n) AS shapley FROM r WHERE gone < 6 GROUP BY 1, 2),
+        k AS (SELECT part, filter_order, step, filter_order[step] AS letter, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN contains(fails, filter_order[step]) AND gone < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN gone = step THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN n * bad ELSE 0 END) AS toxic_lost FROM r, (SELECT unnest(range(1, 6)) AS step) GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, coalesce(shapley, 0)::BIGINT AS shapley
+        FROM k LEFT JOIN s USING (part, letter)"""
+
+
+def op13() -> str:
+    """Every document scored for every item."""
+    terms = lambda text: f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '')"
+    return f"""WITH d AS (SELECT doc_id, {terms('text')} AS w FROM documents), i AS (SELECT item_id, {terms('text')} AS w FROM benchmark),
+        z AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+        wt AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, z GROUP BY term, nn),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score FROM q JOIN wt USING (term) JOIN tf USING (term), z GROUP BY 1, 2),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op2_jaccard_join": op2(), "op4_vector_search": op4(), "op6_decontamination": op6(), "op8_secret_scan": op8(), "op9_source_mixing": op9()}
+    own = (op1, op2, op4, op6, op8, op9, op11, op13)
+    names = ("op1_license_scan", "op2_jaccard_join", "op4_vector_search", "op6_decontamination", "op8_secret_scan", "op9_source_mixing", "op11_filter_audit", "op13_lexical_search")
+    return {name: sql() for name, sql in zip(names, own, strict=True)}

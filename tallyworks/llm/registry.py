@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, mixing, ngram_lm, pii, secrets, token_counts, toxicity, vector_search
-from .common import table
+from . import decontaminate, filter_audit, jaccard_join, lexical_search, licenses, mixing, ngram_lm, pii, secrets, simhash, token_counts, toxicity, vector_search
+from .common import scoped, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@scoped
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@scoped
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@scoped
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_license_scan, op2_jaccard_join, op3_pii, op4_vector_search, op5_token_counts, op6_decontamination, op7_ngram_lm, op8_secret_scan, op9_source_mixing, op10_toxicity)
+    own = (op1_license_scan, op2_jaccard_join, op3_pii, op4_vector_search, op5_token_counts, op6_decontamination, op7_ngram_lm, op8_secret_scan, op9_source_mixing, op10_toxicity, op11_filter_audit, op12_simhash, op13_lexical_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
