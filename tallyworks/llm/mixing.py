@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, shares: dict[str, int] | None = None, block_row
     shares = SHARES if shares is None else shares
     if any(int(v) != v or v < 1 for v in [*shares.values(), other_share]):
         raise ValueError("shares are positive integers")
-    own = [F.col(f"`{x}`") for x in docs.columns if x not in ADDED]
+    own = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in ADDED]
     rows = docs.count()
     buckets = max(1, -(-rows // BUCKET_ROWS))
     named = [F.lit(x) for kv in shares.items() for x in kv]

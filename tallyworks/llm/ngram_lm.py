@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.5
+ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.5
 SHARD_KEYS, LEAST_KEYS = 4_000_000, 250_000
 FLUSH = 3_000_000
 LOG_RANGE = 16.0

@@ -91,7 +91,8 @@ def op9() -> str:
     period is K slots; in it a source that has no block left leaves its slots out."""
     shares = ", ".join(f"({_say(k)}, {v})" for k, v in mixing.SHARES.items())
     name = f"CASE WHEN coalesce(source, '') IN ({', '.join(map(_say, mixing.SHARES))}) THEN source ELSE '{mixing.OTHER}' END"
-    digest = """md5('{' || concat_ws(',', '"doc_id":' || doc_id, '"source":"' || source || '"') || '}')"""
+    said = ", ".join(f"""'"{k}":' || CASE WHEN {k} IS NOT NULL THEN to_json({k})::VARCHAR END""" for k in ("doc_id", "text", "lang", "source", "n_chars"))
+    digest = f"""md5('{{' || concat_ws(',', {said}) || '}}')"""
     return f"""WITH RECURSIVE share AS (SELECT * FROM (VALUES {shares}, ('{mixing.OTHER}', 1)) s(stream, w)),
         r AS (SELECT doc_id, source, {name} AS stream, {digest} AS h FROM documents), b AS (SELECT *, ('0x' || h[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {mixing.BUCKET_ROWS}.0)::BIGINT) AS bucket FROM r),
         n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY bucket, h, doc_id) - 1 AS i FROM b),

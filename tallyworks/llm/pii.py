@@ -5,8 +5,9 @@ numbers. The semi-CRF adds whole spans that the patterns leave out: spelled-out
 org``), national phone numbers, 13 to 15 digit cards, IPv6 addresses and social security numbers. It scores candidate
 segments by features of the whole span (its digit groups, checksum, separators, neighbours), and a dynamic program
 over segments picks boundaries and kinds jointly. Entities are bounded: a segment has at most MAX_LEN tokens, and MAX_CHARS
-characters, the length of the longest mail address. Only tokens near a digit or a spelled-out address are decoded; the
-rest of a text has no candidate segment.
+characters, the length of the longest mail address. ``CANDIDATE`` is the one rule for what can be a segment at all
+(enough digits and no letters, two colons, or a spoken "at" beside a spoken "dot" or in brackets); it is evaluated for
+all segments of a text at once, on counts per token, and every segment that it admits is scored.
 
 The weights are trained here, on the driver, by gradient ascent on the conditional log-likelihood of generated
 sentences (``training_sentences``; a fixed number from a fixed seed): there is no labelled personal data to learn from.
@@ -23,9 +24,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,11 +94,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # semi-CRF
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_NUMBERS = re.compile(r"[0-9]+")
 _SPOKEN = re.compile(r"(?<![^\W_])(?:dot|DOT|Dot)(?![^\W_])")
 _PREFIX = re.compile(r"\+[0-9]{1,3}[ .-]?\Z")  # a country code left of a national number
 _AT = re.compile(r"(?<![^\W_])at(?![^\W_])", re.I)
-_REACH = 80  # characters decoded on either side of a number; MAX_CHARS of a spelled-out dot
+_BRACKETED = re.compile(r"[\[(]at[\])]", re.I)
+_STARTS = 1 << 15  # segments of so many first tokens are looked at together
 _CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial"},
     "card": {"card", "visa", "amex", "mastercard", "credit", "cc"},
@@ -118,7 +121,7 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
     f = ["bias", f"nd={min(n, 20)}", f"groups={groups[:6]}", f"letters={bool(letters)}", f"len={j - i}"]
     f.append(f"luhn={n >= 13 and luhn(digits)},{min(n, 20)}")
     f.append("seps=" + "".join(sorted(set(re.sub(r"[\w]", "", span))))[:8])
-    f.append(f"mailish={'at' in low and 'dot' in low and n + len(letters) >= 4 and bool(re.fullmatch(_SPELLED, span))}")
+    f.append(f"mailish={'at' in low and bool(re.fullmatch(_SPELLED, span))}")
     f.append(f"ipv6={bool(re.fullmatch(_IPV6, span))}")
     f.append(f"nanp={bool(re.fullmatch(_NANP, span))}")
     f.append(f"ssnish={bool(re.fullmatch(_SSN, span))}")
@@ -139,7 +142,9 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str
     return f
 
 
-_SPELLED = r"[A-Za-z0-9]+(?:[ ]?(?:[._-]|[\[(]?(?:dot|DOT|Dot)[\])]?)[ ]?[A-Za-z0-9]+)*[ ][\[(]?(?:at|AT|At)[\])]?[ ][A-Za-z0-9-]+(?:[ ][\[(]?(?:dot|DOT|Dot)[\])]?[ ][A-Za-z0-9-]+)+"
+_SAID_AT = r"(?:[ ](?:at|AT|At)[ ]|[ ]?[\[(](?:at|AT|At)[\])][ ]?)"
+_SAID_DOT = r"(?:[ ](?:dot|DOT|Dot)[ ]|[ ]?[\[(](?:dot|DOT|Dot)[\])][ ]?)"
+_SPELLED = rf"[A-Za-z0-9]+(?:(?:[ ]?[._-][ ]?|{_SAID_DOT})[A-Za-z0-9]+)*(?:{_SAID_AT}[A-Za-z0-9-]+(?:{_SAID_DOT}[A-Za-z0-9-]+)+|[ ]?[\[(](?:at|AT|At)[\])][ ]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _IPV6 = r"(?=.*:.*:)(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4})?"
 _NANP = r"(?:1[-. ])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ][0-9]{4}"
 _SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
@@ -150,19 +155,70 @@ def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
 
 
 def candidate(text: str, toks: list[tuple[int, int]], i: int, j: int) -> bool:
-    """A segment that can be personal data at all: it starts and ends with a word, number or bracket."""
+    """A segment that can be personal data at all: it starts and ends with a word, number or bracket, in one line."""
     s, e = toks[i][0], toks[j - 1][1]
     first, last = text[s], text[e - 1]
-    if not (first.isalnum() or first in "(:") or not (last.isalnum() or last in ":)"):
+    if not (first.isalnum() or first in "(:") or not (last.isalnum() or last in ":)") or e - s > MAX_CHARS or "\n" in text[s:e]:
         return False
     span = text[s:e]
     if span.count(":") >= 2:
         return True
     if any(ch.isalpha() for ch in span):
-        return j - i >= 5 and bool(_AT.search(span)) and bool(_SPOKEN.search(span))
+        return j - i >= 5 and bool(_AT.search(span)) and bool(_SPOKEN.search(span) or _BRACKETED.search(span))
     return 7 <= len(_DIGITS.findall(span)) <= 19
 
 
+def candidates(text: str, toks: list[tuple[int, int]], lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
+    """All (i, j) of ``candidate`` with lo <= i < hi, by counts of each token's colons, letters, digits and marks."""
+    n = len(toks)
+    hi = n if hi is None else hi
+    for a in range(lo, hi, _STARTS):
+        b, top = min(hi, a + _STARTS), min(n, a + _STARTS + MAX_LEN)
+        part = toks[a:top]
+        if not part:
+            return
+        words = [text[s:e] for s, e in part]
+        before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+        colons = before([w == ":" for w in words])
+        letters = before([not w.isdigit() and any(map(str.isalpha, w)) for w in words])
+        digits = before([len(_DIGITS.findall(w)) if not w.isalpha() else 0 for w in words])
+        start, stop = np.array(part, np.int64).T
+        # a mark counts at its first and is complete at its last token
+        base, window = part[0][0], text[part[0][0] : part[-1][1]]
+        marks = {}
+        for name, pattern in (("at", _AT), ("dot", _SPOKEN), ("round", _BRACKETED)):
+            got = np.array([m.span() for m in pattern.finditer(window)], np.int64).reshape(-1, 2) + base
+            firsts = np.searchsorted(start, got[:, 0], "right") - 1
+            lasts = np.searchsorted(stop, got[:, 1], "left")
+            marks[name] = (firsts, lasts)
+        breaks = np.array([m.start() for m in re.finditer("\n", window)], np.int64) + base
+        line = np.searchsorted(breaks, start)
+        opens = np.array([w[0].isalnum() or w[0] in "(:" for w in words])
+        closes = np.array([w[-1].isalnum() or w[-1] in ":)" for w in words])
+        i = np.arange(b - a)
+        found = []
+        for size in range(1, min(MAX_LEN, len(part)) + 1):
+            x = i[: len(part) - size + 1]
+            y = x + size
+            ok = opens[x] & closes[y - 1] & (stop[y - 1] - start[x] <= MAX_CHARS) & (line[x] == line[y - 1])
+            plain = (letters[y] == letters[x]) & (digits[y] - digits[x] >= 7) & (digits[y] - digits[x] <= 19)
+            hit = plain | (colons[y] - colons[x] >= 2)
+            if size >= 5 and len(marks["at"][0]):
+                inside = lambda m: _inside(*m, x, y)  # noqa: B023, E731
+                hit = hit | ((letters[y] > letters[x]) & inside(marks["at"]) & (inside(marks["dot"]) | inside(marks["round"])))
+            x = x[ok & hit]
+            found += zip((x + a).tolist(), (x + a + size).tolist())
+        yield from sorted(found)
+
+
+def _inside(firsts: np.ndarray, lasts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether segments [x, y) hold a mark from its first to its last token."""
+    if not len(firsts):
+        return np.zeros(len(x), bool)
+    k = np.searchsorted(firsts, x)
+    return (k < len(firsts)) & (lasts[np.minimum(k, len(firsts) - 1)] < y)
+
+
 class SemiCRF:
     """Weights of each feature, one for each kind. Outside tokens are segments of one token and score 0."""
 
@@ -173,43 +229,38 @@ class SemiCRF:
         return [sum(v) for v in zip(*(self.w[x] for x in f if x in self.w))] or [0.0] * len(KINDS)
 
     def segments(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-        out, n = [], len(toks)
-        for i in range(n):
-            s = toks[i][0]
-            end = text.find("\n", s, s + MAX_CHARS)
-            end = s + MAX_CHARS if end < 0 else end
-            for j in range(i + 1, min(n, i + MAX_LEN) + 1):
-                if toks[j - 1][1] > end:
-                    break
-                if candidate(text, toks, i, j):
-                    out.append((i, j, features(text, toks, i, j)))
-        return out
-
-    def decode(self, text: str, toks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """Best segmentation: value[j] is the best score of a segmentation of the first j tokens."""
-        ends: dict[int, list] = {}
-        for i, j, f in self.segments(text, toks):
-            for k, s in zip(KINDS, self.scores(f)):
-                if s > MARGIN:
-                    ends.setdefault(j, []).append((s, i, k))
-        if not ends:
+        return [(i, j, features(text, toks, i, j)) for i, j in candidates(text, toks)]
+
+    def decode(self, text: str, toks: list[tuple[int, int]], taken: list[tuple[int, int]] = ()) -> list[tuple[str, int, int]]:
+        """Best segmentation whose segments touch no ``taken`` characters: values are kept at segment ends only, as
+        outside tokens score 0."""
+        free = np.array([-1, *(e for _, e in taken)])
+        busy = [s for s, _ in taken] + [len(text) + 1]
+        scored = []
+        for i, j in candidates(text, toks):
+            s, e = toks[i][0], toks[j - 1][1]
+            if not taken or busy[int(np.searchsorted(free, s, "right")) - 1] >= e:
+                f = features(text, toks, i, j)
+                scored += [(j, x, i, k) for k, x in zip(KINDS, self.scores(f)) if x > MARGIN]
+        if not scored:
             return []
-        value, back = [0.0], [None]
-        for j in range(1, len(toks) + 1):
-            best = (value[j - 1], None)
-            for s, i, k in ends.get(j, ()):
-                if value[i] + s > best[0]:
-                    best = (value[i] + s, (i, k))
-            value.append(best[0])
-            back.append(best[1])
-        out, j = [], len(toks)
-        while j:
-            if back[j]:
-                i, k = back[j]
-                out.append((k, toks[i][0], toks[j - 1][1]))
-                j = i
+        ends, value, back = [0], [0.0], [None]
+        for j, x, i, k in sorted(scored, key=lambda v: v[0]):
+            if j > ends[-1]:
+                ends.append(j)
+                value.append(value[-1])
+                back.append(None)
+            before = bisect_right(ends, i) - 1
+            if value[before] + x > value[-1]:
+                value[-1], back[-1] = value[before] + x, (before, i, k)
+        out, at = [], len(ends) - 1
+        while at:
+            if back[at]:
+                before, i, k = back[at]
+                out.append((k, toks[i][0], toks[ends[at] - 1][1]))
+                at = before
             else:
-                j -= 1
+                at -= 1
         return out[::-1]
 
     def step(self, toks: list[tuple[int, int]], segments: list[tuple[int, int, list[str]]], gold: list[tuple[str, int, int]], rate: float) -> float:
@@ -243,7 +294,7 @@ def _logsum(v: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in v))
 
 
-def training_sentences(n: int = 400, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def training_sentences(n: int = 700, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Generated sentences with at most two marked spans each, and look-alikes that are not personal data."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -258,13 +309,16 @@ def training_sentences(n: int = 400, seed: int = 3) -> list[tuple[str, list[tupl
     def phone():
         a, b, e = str(r.randint(2, 9)) + d(2), str(r.randint(2, 9)) + d(2), d(4)
         pairs = " ".join(d(2) for _ in range(4))
-        national = [f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(4)} {d(6)}", f"0{r.randint(1, 9)} {pairs}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(2)}-{d(4)}-{d(4)}"]
-        return r.choice([f"({a}) {b}-{e}", f"{a}-{b}-{e}", f"{a}.{b}.{e}", f"1-{a}-{b}-{e}", *r.sample(national, 3)])
+        national = [f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(4)} {d(6)}", f"0{r.randint(1, 9)} {pairs}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(2)}-{d(4)}-{d(4)}", f"0{d(2)}/{d(7)}", f"0{d(3)}-{d(7)}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"0{d(3)}/{d(6)}"]
+        return r.choice([f"({a}) {b}-{e}", f"{a}-{b}-{e}", f"{a}.{b}.{e}", f"1-{a}-{b}-{e}", *r.sample(national, 6)])
 
     def mail():
         at, dot = r.choice([("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)"), ("AT", "DOT")])
         local = [word() + r.choice(["", d(2)]) for _ in range(r.choice([1, 1, 2, 3]))]
         domain = [word() for _ in range(r.choice([1, 1, 2]))] + [r.choice(["com", "org", "net", "de", "uk"])]
+        if at[0] in "[(" and r.random() < 0.4:  # no blanks, or a written dot
+            gap, said = r.choice([("", dot), ("", "."), (" ", ".")])
+            return r.choice([".", "_"]).join(local) + f"{gap}{at}{gap}" + said.join(domain)
         return r.choice([f" {dot} ", f" {dot} ", ".", "_"]).join(local) + f" {at} " + f" {dot} ".join(domain)
 
     def ssn():
@@ -308,45 +362,19 @@ def trained() -> SemiCRF:
 
 
 def added_spans(text: str, model: SemiCRF, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Segments of the semi-CRF that no base span touches."""
-    marks = [(*m.span(), _REACH) for m in _NUMBERS.finditer(text)]
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        marks += [(*m.span(), MAX_CHARS) for m in _SPOKEN.finditer(text)]
-    if not marks and "::" not in text:
-        return []
-    marks = sorted((max(0, s - reach), min(len(text), e + reach)) for s, e, reach in marks + [(m.start(), m.end(), _REACH) for m in re.finditer("::", text)])
-    regions: list[list[int]] = []
-    for lo, hi in marks:
-        if regions and lo <= regions[-1][1]:
-            regions[-1][1] = max(hi, regions[-1][1])
-        else:
-            regions.append([lo, hi])
+    """Segments of the semi-CRF, over the whole text, that no base span touches."""
+    if text.count(":") < 2 and not (_AT.search(text) and (_SPOKEN.search(text) or _BRACKETED.search(text))) and len(_DIGITS.findall(text)) < 7:
+        return []  # nothing in the text can be a candidate
     taken: list[tuple[int, int]] = []
     for _, s, e in sorted(base, key=lambda x: x[1]):
         if taken and s < taken[-1][1]:
             taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
         else:
             taken.append((s, e))
-    out, at = [], 0
-    for lo, hi in regions:
-        while lo > 0 and text[lo - 1].isalnum():
-            lo -= 1
-        while hi < len(text) and text[hi].isalnum():
-            hi += 1
-        # what lies between base spans is decoded piece by piece
-        while at < len(taken) and taken[at][1] <= lo:
-            at += 1
-        cuts, k = [lo], at
-        while k < len(taken) and taken[k][0] < hi:
-            cuts += [max(lo, taken[k][0]), min(hi, taken[k][1])]
-            k += 1
-        cuts.append(hi)
-        for a, b in zip(cuts[::2], cuts[1::2]):
-            part = text[a:b]
-            if len(_DIGITS.findall(part)) >= 7 or part.count(":") >= 2 or (_SPOKEN.search(part) and _AT.search(part)):
-                for k, s, e in model.decode(text, tokens(text, a, b)):
-                    m = _PREFIX.search(text, max(a, s - 6), s) if k == "phone" else None
-                    out.append((k, m.start() if m else s, e))
+    out = []
+    for k, s, e in model.decode(text, tokens(text, 0, len(text)), taken):
+        m = _PREFIX.search(text, max(0, s - 6), s) if k == "phone" else None
+        out.append((k, m.start() if m else s, e))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -787,6 +788,59 @@ def test_drop_toxic_keeps_exactly_the_rows_below_one_half(spark, sf, docs, edge)
 
 # -- the pipeline
 
+PII_BITS = st.sampled_from(["at", "dot", "[at]", "(at)", "[dot]", "jane", "mail", "com", "12", "3456", "0171", "-", " ", "\n", ":", "::", "a:b:c", ".", "(", ")", "²", "_", "é", "1234567", "dead:beef:1:2", "555-123-4567", "219-09-9999", "a.b@c.de", "+49 30 1234567"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(PII_BITS, st.sampled_from(["", " ", " "])), max_size=60), st.sampled_from([3, 1 << 15]))
+def test_pii_candidates_are_all_segments_of_the_rule(parts, together):
+    text, held = "".join(a + b for a, b in parts), pii._STARTS
+    toks = pii.tokens(text, 0, len(text))
+    pii._STARTS = together
+    try:
+        got = list(pii.candidates(text, toks))
+    finally:
+        pii._STARTS = held
+    assert got == [(i, j) for i in range(len(toks)) for j in range(i + 1, min(len(toks), i + pii.MAX_LEN) + 1) if pii.candidate(text, toks, i, j)]
+
+
+def exhaustive(model, text, taken=()):
+    """Every segmentation of a short text, scored."""
+    toks = pii.tokens(text, 0, len(text))
+    segs = [(i, j, max(model.scores(pii.features(text, toks, i, j)))) for i in range(len(toks)) for j in range(i + 1, min(len(toks), i + pii.MAX_LEN) + 1) if pii.candidate(text, toks, i, j)]
+    segs = [x for x in segs if x[2] > pii.MARGIN and not any(toks[x[0]][0] < e and s < toks[x[1] - 1][1] for s, e in taken)]
+
+    def best(at):
+        return max([0.0, *(s + best(j) for i, j, s in segs if i >= at)])
+
+    return best(0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(PII_BITS, st.sampled_from(["", " "])), max_size=14))
+def test_pii_decoding_is_the_best_segmentation(parts):
+    text, model = "".join(a + b for a, b in parts), pii.trained()
+    base = pii.base_spans(text)
+    toks = pii.tokens(text, 0, len(text))
+    for taken in ((), sorted({(s, e) for _, s, e in base})):
+        if any(b[0] < a[1] for a, b in zip(taken, taken[1:])):
+            continue
+        spans, at = model.decode(text, toks, list(taken)), {s: i for i, (s, _) in enumerate(toks)}
+        to = {e: i + 1 for i, (_, e) in enumerate(toks)}
+        got = sum(model.scores(pii.features(text, toks, at[s], to[e]))[pii.KINDS.index(k)] for k, s, e in spans)
+        assert math.isclose(got, exhaustive(model, text, taken), abs_tol=1e-9)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and not any(s < e2 and s2 < e for _, s, e in spans for s2, e2 in taken)
+
+
+def test_pii_forms_that_are_in_no_training_sentence():
+    """Whole texts, no neighbourhood of a digit; forms and words of this list are not generated."""
+    model = pii.trained()
+    for form, kind in (("jane[at]mail[dot]com", "email"), ("jane (at) mail.com", "email"), ("0171-1234567", "phone"), ("0044 20 7946 0958", "phone"), ("dead:beef:cafe:babe:dead:beef:cafe:babe", "ip")):
+        for text in (form, f"please use {form} for this, thanks", "x " * 500 + form):
+            at = text.index(form)
+            assert (kind, at, at + len(form)) in pii.find_pii(text, model)[1], text
+
+
 def test_pipeline_against_its_stages_in_plain_python(spark, sf, docs):
     """The filters by brute force on the smallest tables, the order by simulation."""
     import corpus_pipeline
@@ -810,6 +864,16 @@ def test_pipeline_against_its_stages_in_plain_python(spark, sf, docs):
     assert {(r.mix_slot, stream(r.source), r.mix_block) for r in got} == {(i, s, b) for i, (s, b) in enumerate(order)}
 
 
+def test_mixing_stage_takes_columns_of_its_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(i, f"t{i}", "src1", *"abcde") for i in range(5)], "doc_id bigint, text string, source string, mix_stream string, mix_block string, Mix_Phase string, mix_slot string, mix_row string")
+    got = corpus_pipeline.mixing_stage(spark, rows, "")
+    assert got.columns == ["doc_id", "text", "source", "mix_block", "mix_phase", "mix_slot", "mix_row"]
+    got.write.parquet(f"{tmp_path}/out")
+    assert {t for n, t in got.dtypes if n.startswith("mix_")} == {"bigint"}
+
+
 def test_pipeline_on_odd_rows(spark, edge, nothing, tmp_path):
     import corpus_pipeline
 
@@ -818,7 +882,10 @@ def test_pipeline_on_odd_rows(spark, edge, nothing, tmp_path):
         frame.write.parquet(f"{folder}/documents.parquet")
         for t in ("labels", "benchmark"):
             c.table(spark, "/root/testdata/sf0.001", t).write.parquet(f"{folder}/{t}.parquet")
+        before = set(os.listdir(c.local_path(c.shared_root(spark))))
         got = corpus_pipeline.run(spark, folder)
-        assert set(edge.columns) <= set(got.columns)
+        assert len(set(os.listdir(c.local_path(c.shared_root(spark)))) - before) == 1
+        assert got.columns == [x for x in edge.columns if x != "mix_slot"] + ["mix_block", "mix_phase", "mix_slot", "mix_row"]
+        got.write.parquet(f"{folder}/out")
         ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in got.collect())
         assert ids == ([-1, 1, 4, 5, 7, 8, 8] if k == 0 else [])
