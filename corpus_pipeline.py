@@ -39,7 +39,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their place in the mixture (mix_slot, mix_row) and how it came about."""
     mixed = mixing.mix_sources(docs)
-    return mixed.select(*docs.columns, *[F.col(c).cast("long").alias(c) for c in ("mix_block", "mix_phase", "mix_slot", "mix_row")])
+    own = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in mixing.ADDED]
+    return mixed.select(*own, *[F.col(c).cast("long").alias(c) for c in ("mix_block", "mix_phase", "mix_slot", "mix_row")])
 
 
 STAGES = [("toxicity", toxicity_stage), ("jaccard_join", jaccard_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("mixing", mixing_stage)]
@@ -49,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every table that a stage wrote is deleted once the next one stands."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        kept = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, stage in STAGES:
+        with common.Scope(spark) as scope:
+            kept = scope.keep(common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
         common.release(docs)
         docs = kept
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
