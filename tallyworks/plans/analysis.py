@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .marts import PRODUCTION_CUT
+from ..functions import sphere
+from .marts import PRODUCTION_CUT, RES
 
 MIN_ORGS = 5
 BINS = 44
@@ -139,6 +140,14 @@ def _landscape_naive(d) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _footprint_naive(d) -> str:
+    """Breadth-first search over neighbours, a step at a time."""
+    bases = "SELECT DISTINCT basef AS bf, basex AS bx, basey AS bz, least(max_hops, 8)::INT AS reach, basef AS atf, basex AS atx, basey AS aty, 0 AS step FROM {org_cells}"
+    onward = sphere.disk(d, "SELECT * FROM walk WHERE step < reach", RES, "at", "1", 1, "nx")
+    return f"""WITH RECURSIVE walk AS ({bases} UNION SELECT bf, bx, bz, reach, nxf, nxx, nxy, step + 1 FROM ({onward}) n), size AS (SELECT bf, bx, bz, reach, count(DISTINCT (atf, atx, aty)) AS cells FROM walk GROUP BY ALL)
+        SELECT o.max_hops, count(*) AS orgs, min(s.cells) AS footprint_cells FROM {{org_cells}} o JOIN size s ON (s.bf, s.bx, s.bz, s.reach) = (o.basef, o.basex, o.basey, least(o.max_hops, 8)) GROUP BY 1"""
+
+
 #: Plain SQL of the checking engine, independent of the plans above.
 DIRECT: dict[str, Callable] = {
     "q_evidence_markers": lambda d: "SELECT c.citation_id, c.published_on, round(16 + 22 * (c.magnitude / m.top) ** 0.5, 6) AS marker_size FROM {citations} c JOIN (SELECT unit_type, max(magnitude) AS top FROM {citations} GROUP BY 1) m USING (unit_type)",
@@ -147,7 +156,7 @@ DIRECT: dict[str, Callable] = {
     "q_plausibility_cutoff": lambda d: "SELECT round(quantile_cont(km, 0.99), 6) AS cutoff_km, count(*) AS plausible FROM {delivery_geometry} WHERE geometry_verdict = 'PLAUSIBLE'",
     "q_speed_bins": lambda d: f"WITH e AS (SELECT unnest({SPEED_EDGES[1:-1]!r}) AS edge), v AS (SELECT disbursement_id, km / transit_hours AS kmh FROM {{delivery_geometry}} WHERE transit_hours > 0 AND km > 0), p AS (SELECT disbursement_id, count(edge) AS bin FROM v LEFT JOIN e ON kmh > edge GROUP BY disbursement_id) SELECT bin, count(*) AS deliveries FROM p GROUP BY bin",
     "q_narrowing_ladder": lambda d: "WITH q AS (" + " UNION ALL ".join(f"SELECT {len(c)} AS filters_applied, count(DISTINCT beneficiary_id) AS people FROM {{beneficiary_facts}}" + (f" GROUP BY {', '.join(c)}" if c else "") for c in ((), ("district",), ("programme_code",), ("month_key",), ("district", "programme_code"), ("district", "month_key"), ("programme_code", "month_key"), ("district", "programme_code", "month_key"))) + ") SELECT filters_applied, count(*) FILTER (WHERE people >= :floor) AS answered, count(*) FILTER (WHERE people < :floor) AS refused FROM q GROUP BY 1",
-    "q_org_footprint": lambda d: "WITH c AS (SELECT 20 + c_custkey % 21 AS max_hops FROM {customer}) SELECT max_hops, count(*) AS orgs, (SELECT count(*) FROM range(-8, 9) q(x), range(-8, 9) r(y) WHERE abs(x + y) <= 8) AS footprint_cells FROM c GROUP BY max_hops",
+    "q_org_footprint": _footprint_naive,
     "q_semantic_shape": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{s}')" for k, n, s in MODEL) + ") t(object_kind, object_name, synonyms)",
     "q_semantic_counts": lambda d: "SELECT * FROM (VALUES ('DIMENSION', 6, 12), ('FACT', 2, 0), ('METRIC', 4, 8), ('TABLE', 2, 6)) t(object_kind, objects, synonyms)",
     "q_evidence": lambda d: "SELECT * FROM {citations} ORDER BY published_on",

@@ -72,7 +72,8 @@ def oracle(query: str) -> str:
     body = _PARAM.sub(lambda m: literal(DEFAULTS[m[1]]), plain(sql)).lstrip()
     if not ctes:
         return body
-    return "WITH " + ", ".join(ctes) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+    loops = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else ""
+    return f"WITH {loops}" + ", ".join(ctes) + (", " + body[5 + len(loops):] if body.upper().startswith("WITH ") else " " + body)
 
 
 def names() -> list[str]:

@@ -17,6 +17,16 @@ class Spark:
         norm = f"sqrt(aggregate({v}, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double)))"
         return f"transform(array({norm}), n -> transform({v}, x -> cast(x AS double) / n))[0]"
 
+    @staticmethod
+    def pick(values: list, at: str) -> str:
+        """The value at a position from 0; NULL beyond the list."""
+        kind = "double" if isinstance(values[0], float) else "bigint" if max(map(abs, values)) > 1 << 30 else "int"
+        return f"get(array({', '.join(f'cast({v!r} AS {kind})' if kind != 'int' else repr(v) for v in values)}), cast({at} AS int))"
+
+    @staticmethod
+    def numbered(n: int, name: str) -> str:
+        return f"(SELECT cast(id AS int) AS {name} FROM range({n}))"
+
     @staticmethod
     def dot(a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), cast(0 AS double), (s, v) -> s + v)"
@@ -114,6 +124,15 @@ class Spark:
 class Duck(Spark):
     name = "duck"
 
+    @staticmethod
+    def pick(values: list, at: str) -> str:
+        kind = "DOUBLE" if isinstance(values[0], float) else "BIGINT"
+        return f"([{', '.join(map(repr, values))}]::{kind}[])[({at})::INT + 1]"
+
+    @staticmethod
+    def numbered(n: int, name: str) -> str:
+        return f"(SELECT range AS {name} FROM range({n})) AS n"
+
     string = "VARCHAR"
     quote = "chr(39)"
 

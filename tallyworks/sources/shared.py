@@ -17,7 +17,7 @@ def root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where the cluster sets it; a temporary folder only where all is one process."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyworks.marts.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyworks-marts-")
         spark.conf.set("tallyworks.marts.dir", where)
@@ -26,6 +26,11 @@ def root(spark: SparkSession) -> str:
 
 
 def stamp(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(name, length, time of change) of the files directly under a path: what a cached result depends on."""
+    """(path, length, time of change) of all files below a path, at any depth: what a cached result depends on. Folders
+    have no say, as object stores keep no times for them."""
     fs, p = path_of(spark, path)
-    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    out, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)

@@ -6,7 +6,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.functions import hexgrid
 from tallyworks.functions.text import jaro_winkler, title
 from tallyworks.operators import fixtures, history, privacy, projection, queue, semantic
 from tallyworks.plans import compile as plans
@@ -277,23 +276,6 @@ def test_titles_times_and_enforced_checks(spark):
         checks.enforce(rows("PASS", "FAIL"))
 
 
-def test_hexagonal_grid(spark):
-    size = 0.1
-    rows = [(31.5, 34.5), (-12.34, 170.2), (0.0, 0.0), (89.0, -179.9)]
-    f = spark.createDataFrame(rows, "lat double, lon double").withColumn("c", hexgrid.cell("lat", "lon", size))
-    f = f.withColumn("m", hexgrid.centre(F.col("c"), size)).withColumn("again", hexgrid.cell("m.lat", "m.lon", size)).withColumn("up", hexgrid.parent("c", size, 1.0)).withColumn("d", hexgrid.disk(F.col("c"), 3))
-    for r in f.collect():
-        assert r.c == r.again and abs(r.m.lat - r.lat) <= size and abs(r.m.lon - r.lon) <= size
-        assert len({tuple(x) for x in r.d}) == len(r.d) == 37
-    near = f.select("c", F.explode("d").alias("x")).select(hexgrid.steps(F.col("c"), F.col("x")).alias("n")).groupBy("n").count()
-    assert {r["n"]: r["count"] for r in near.collect()} == {0: 4, 1: 24, 2: 48, 3: 72}
-    assert f.where(hexgrid.parent("c", size, 1.0) != hexgrid.cell("m.lat", "m.lon", 1.0)).count() == 0
-    assert spark.range(1).select(hexgrid.disk_size(8).alias("n")).first().n == 217
-    lons = spark.createDataFrame([(179.0, -179.0), (10.0, 20.0), (180.0, 0.0), (None, 1.0)], "a double, b double").select(hexgrid.unwrap(F.col("a"), F.col("b")).alias("x"))
-    assert [r.x for r in lons.collect()] == [-181.0, 10.0, 180.0, None]
-    assert spark.createDataFrame([(None, 1.0)], "lat double, lon double").select(hexgrid.cell("lat", "lon", 1.0).alias("c")).first().c is None
-
-
 def test_time_offsets(spark):
     got = {r.seconds: r.risk_score for r in plans.run(spark, SF, "q_time_offsets").collect()}
     assert list(got) == [60, 120, 300, 600, 1800, 3600] and got[60] == got[120] == 61.0 and got[300] == got[3600] < 61
