@@ -14,9 +14,10 @@ a pentagon. Distances unfold the five faces around the nearest corner, both ways
 way is shorter than `reach` (from a corner's third of a face to the opposite edge); beyond it they are NULL.
 
 Every function takes and gives SQL text. The steps of a computation are layers, each of which names values for the next.
-The checking engine gets them as nested SELECTs. Spark would copy each layer into every use in the next one as soon as a
-filter is pushed down, so there all layers of a function are one expression in which a layer is a struct, bound once
-(``transform`` over an array of one). Points without coordinates have no cell.
+The checking engine gets them as nested SELECTs, and so does Spark where ``d.layered`` is set: they run in generated code.
+But a filter on a cell would be pushed down through them, and each layer copied into every use in the next one. So this
+form is for tables that are written before they are filtered; otherwise all layers of a function are one expression in
+which a layer is a struct, bound once (``transform`` over an array of one), at some four times the cost. Points without coordinates have no cell.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _names(expressions) -> set[str]:
 
 def _layers(d, sql: str, layers: list[dict[str, str]], out: list[str]) -> str:
     """The rows of ``sql`` with the columns ``out`` of the last layers."""
-    if d.name != "spark":
+    if d.layered:
         for n, layer in enumerate(layers):
             sql = f"SELECT *, {', '.join(f'{e} AS {k}' for k, e in layer.items())} FROM ({sql}) s{n}"
         return sql

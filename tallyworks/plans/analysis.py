@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions import sphere
-from .marts import PRODUCTION_CUT, RES
+from .marts import PRODUCTION_CUT, RES, after_change
 
 MIN_ORGS = 5
 BINS = 44
@@ -15,7 +15,7 @@ REGIMES = ((2, 1.0, ROAD_KMH), (22, ROAD_KMH, JET_KMH), (8, JET_KMH, 20_000.0))
 SPEED_EDGES = [a * (b / a) ** (k / n) for n, a, b in REGIMES for k in range(n)] + [REGIMES[-1][2]]
 DIFF_FIELDS = ("org_id", "ein", "name", "cause", "city", "state", "blurb")
 
-OFFSETS, EDITED_AGO = (60, 120, 300, 600, 1800, 3600), 200  # seconds
+OFFSETS, BEFORE = (60, 120, 300, 600, 1800, 3600), 300  # seconds
 
 MODEL = [
     ("TABLE", "orgs", "charities, nonprofits, organisations"), ("TABLE", "disb", "disbursements, deliveries, aid shipments"),
@@ -76,6 +76,17 @@ def _domains(d) -> str:
     return " UNION ALL ".join(one(c) for c in ("district", "programme_code", "month_key", "cause"))
 
 
+def _as_of(d, offsets: tuple[int, ...]) -> str:
+    """One organisation as it was some seconds ago: the newest change until then. The clock stands at ``:now``, or at the
+    organisation's last change; offsets beyond ``:retention`` give no row."""
+    state = after_change(d, "c.score", "c")
+    return f"""SELECT seconds, org_id, name, round({state['risk_score']}, 6) AS risk_score, {state['verdict']} AS verdict FROM (
+        SELECT o.seconds, r.org_id, r.name, r.risk_score, r.verdict, r.is_verified, {d.newest('w.score', 'w.changed_at', 'w.seq')} AS score
+        FROM (SELECT * FROM (VALUES {', '.join(f'({x})' for x in offsets)}) AS v(seconds) WHERE seconds <= :retention) o CROSS JOIN (SELECT * FROM {{org_risk}} WHERE org_id = :org) r
+        CROSS JOIN (SELECT coalesce(cast(:now AS {d.moment}), max(changed_at)) AS now FROM {{score_changes}} WHERE org_id = :org) k
+        LEFT JOIN (SELECT * FROM {{score_changes}} WHERE org_id = :org) w ON w.changed_at <= {d.seconds_before('k.now', 'o.seconds')} GROUP BY o.seconds, r.org_id, r.name, r.risk_score, r.verdict, r.is_verified) c"""
+
+
 ANALYSIS: dict[str, Callable] = {
     "q_evidence": lambda d: "SELECT citation_id, claim, figure, magnitude, unit_type, region, issuing_body, published_on, url FROM {citations} ORDER BY published_on, citation_id LIMIT 20",
     "q_evidence_markers": lambda d: "SELECT citation_id, published_on, CASE WHEN top > 0 THEN round(16 + 22 * sqrt(magnitude / top), 6) ELSE 18.0 END AS marker_size FROM (SELECT *, max(magnitude) OVER (PARTITION BY unit_type) AS top FROM {citations}) c ORDER BY published_on, citation_id",
@@ -104,8 +115,9 @@ ANALYSIS: dict[str, Callable] = {
     "q_filings": lambda d: "SELECT org_id, ein, name, ntee_code, cause, blurb, lat, lon, max_hops, is_verified FROM {filings} ORDER BY org_id",
     "q_semantic_shape": lambda d: f"SELECT object_kind, object_name, synonyms FROM {SHAPE} ORDER BY object_kind, object_name",
     "q_semantic_counts": lambda d: f"SELECT object_kind, count(DISTINCT object_name) AS objects, cast(sum(CASE WHEN synonyms = '' THEN 0 ELSE length(synonyms) - length(replace(synonyms, ',', '')) + 1 END) AS bigint) AS synonyms FROM {SHAPE} GROUP BY object_kind ORDER BY object_kind",
-    "q_time_travel": lambda d: "SELECT 'current' AS version, org_id, name, round(risk_score, 6) AS risk_score, verdict FROM {org_risk_now} WHERE org_id = :org UNION ALL SELECT 'before', org_id, name, round(risk_score, 6), verdict FROM {org_risk} WHERE org_id = :org",
-    "q_time_offsets": lambda d: f"SELECT o.seconds, r.org_id, round(CASE WHEN o.seconds < {EDITED_AGO} THEN n.risk_score ELSE r.risk_score END, 6) AS risk_score FROM (VALUES {', '.join(f'({x})' for x in OFFSETS)}) AS o(seconds) CROSS JOIN (SELECT * FROM {{org_risk}} WHERE org_id = :org) r JOIN {{org_risk_now}} n ON n.org_id = r.org_id ORDER BY o.seconds",
+    "q_time_travel": lambda d: f"SELECT CASE WHEN seconds = 0 THEN 'current' ELSE 'before' END AS version, org_id, name, risk_score, verdict FROM ({_as_of(d, (0, BEFORE))}) v",
+    "q_time_offsets": lambda d: f"SELECT seconds, org_id, risk_score FROM ({_as_of(d, OFFSETS)}) v ORDER BY seconds",
+    "q_score_history": lambda d: "SELECT org_id, valid_from, valid_to, score, valid_to IS NULL AS is_current FROM {score_history} ORDER BY org_id, valid_from, seq",
     "q_apply_change": lambda d: "SELECT org_id, name, cast(:score AS double) AS risk_score, CASE WHEN :score >= 55 THEN 'needs a second look' WHEN is_verified THEN 'verified' ELSE 'unverified' END AS verdict FROM {org_risk} WHERE org_id = :org",
     "q_object_inventory": lambda d: _inventory(d),
 }
@@ -159,6 +171,9 @@ DIRECT: dict[str, Callable] = {
     "q_org_footprint": _footprint_naive,
     "q_semantic_shape": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{s}')" for k, n, s in MODEL) + ") t(object_kind, object_name, synonyms)",
     "q_semantic_counts": lambda d: "SELECT * FROM (VALUES ('DIMENSION', 6, 12), ('FACT', 2, 0), ('METRIC', 4, 8), ('TABLE', 2, 6)) t(object_kind, objects, synonyms)",
+    "q_time_offsets": lambda d: "WITH c AS (SELECT * FROM {score_changes} WHERE org_id = :org), n AS (SELECT max(changed_at) AS t FROM c) SELECT s AS seconds, r.org_id, round(coalesce((SELECT score FROM c, n WHERE changed_at <= t - to_seconds(s) ORDER BY changed_at DESC, seq DESC LIMIT 1), r.risk_score), 6) AS risk_score FROM (SELECT unnest([60, 120, 300, 600, 1800, 3600])::INT AS s) o, {org_risk} r WHERE r.org_id = :org",
+    "q_score_history": lambda d: "SELECT a.org_id, a.changed_at AS valid_from, min(b.changed_at) AS valid_to, a.score, min(b.changed_at) IS NULL AS is_current FROM {score_changes} a LEFT JOIN {score_changes} b ON b.org_id = a.org_id AND (b.changed_at, b.seq) > (a.changed_at, a.seq) GROUP BY a.org_id, a.changed_at, a.seq, a.score",
+    "q_edited_rows": lambda d: "WITH c AS (SELECT DISTINCT ON (org_id) org_id, score FROM {score_changes} ORDER BY org_id, changed_at DESC, seq DESC) SELECT r.org_id, round(c.score, 6) AS risk_score FROM {org_risk} r JOIN c USING (org_id) WHERE abs(c.score - r.risk_score) > 0.001 ORDER BY abs(c.score - r.risk_score) DESC, r.org_id LIMIT 50",
     "q_evidence": lambda d: "SELECT * FROM {citations} ORDER BY published_on",
     "q_cohort_landscape": _landscape_naive,
     "q_programme_flow": lambda d: "SELECT o_orderpriority AS programme_code, count(*) AS disbursements, " + ", ".join(_money(f"'{k.upper()}'", k) for k in ("pledged", "dispatched", "delivered", "unaccounted")) + f" FROM {ORDERS} GROUP BY 1",

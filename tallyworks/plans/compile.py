@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import register_jaro_winkler
 from .dialect import Duck, Spark
@@ -16,7 +19,23 @@ _REF = re.compile(r"\{(\w+)\}")
 _PARAM = re.compile(r"(?<![\w:']):([a-z]+)\b")
 
 #: Marts that several queries share and that cost a join of the large tables: written once, then read.
-WRITTEN = ("delivery_geometry", "clone_pairs", "org_risk", "org_activity", "receipt_coverage")
+WRITTEN = ("org_cells", "delivery_geometry", "clone_pairs", "org_risk", "org_activity", "receipt_coverage")
+
+
+#: Long chains of projections: as one generated method they are too large for the JVM to compile, one by one they are not.
+LAYERED = dict.fromkeys(("org_cells", "delivery_geometry"), {"spark.sql.codegen.wholeStage": "false"})
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def references(sql: str) -> list[str]:
@@ -31,14 +50,19 @@ def resolve(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFra
     """A source table as its scan; a mart as a lazy DataFrame over its inputs, or as its written table if ``store`` keeps
     it."""
     if name not in made:
-        if name not in MARTS:
+        if name == "applied_changes" and store is not None and (log := store.changes()) is not None:
+            made[name] = log
+        elif name not in MARTS:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         elif store is not None and store.has(name):
             made[name] = store.read(name)
         else:
             sql = MARTS[name](Spark)
             df = spark.sql(sql, **{r: resolve(spark, sf_dir, r, made, store) for r in references(sql)})
-            made[name] = store.write(name, df) if store is not None and name in WRITTEN else df
+            if store is not None and name in WRITTEN:
+                with _settings(spark, **LAYERED.get(name, {})):
+                    df = store.write(name, df)
+            made[name] = df
     return made[name]
 
 
@@ -55,6 +79,21 @@ def run(spark: SparkSession, sf_dir: str, query: str, store: Store | None = None
     return spark.sql(sql, args=bound or None, **refs)
 
 
+def apply_change(spark: SparkSession, sf_dir: str, org: int, score: float, at: datetime | None = None, store: Store | None = None) -> DataFrame:
+    """Change an organisation's score from a moment on: a row in the store's change log, which every later query reads.
+    Returns the organisation's row as the log now gives it."""
+    store = store or session_store(spark, sf_dir)
+    store.append_change(org, float(score), at)
+    made: dict[str, DataFrame] = {}
+    now = resolve(spark, sf_dir, "org_risk_now", made, store)
+    return now.where(F.col("org_id") == F.lit(org)).select("org_id", "name", "risk_score", "verdict")
+
+
+def try_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``apply_change`` with the default parameters, on a change log of its own, so that other queries do not see it."""
+    return apply_change(spark, sf_dir, DEFAULTS["org"], DEFAULTS["score"], store=session_store(spark, sf_dir).with_own_changes())
+
+
 def oracle(query: str) -> str:
     """The query for the checking engine: marts as common table expressions, parameters at their defaults."""
     sql = ORACLES[query](Duck) if query in ORACLES else texts(Duck)[query]

@@ -7,9 +7,20 @@ class Spark:
     """Expressions as Spark SQL; everything here compiles into the plan, but for ``jw`` (an Arrow UDF)."""
 
     name = "spark"
+    layered = False  # steps of long computations as nested SELECTs, see functions/sphere.py
 
     string = "string"
     quote = "char(39)"
+    moment = "timestamp_ntz"
+
+    @staticmethod
+    def newest(value: str, *by: str) -> str:
+        """The value of the row that is last in the order of some columns."""
+        return f"max_by({value}, struct({', '.join(by)}))"
+
+    @staticmethod
+    def seconds_before(moment: str, n: str) -> str:
+        return f"timestampadd(SECOND, -({n}), {moment})"
 
     @staticmethod
     def unit(v: str) -> str:
@@ -121,8 +132,13 @@ class Spark:
     any_least = staticmethod(lambda value, by: f"min_by({value}, {by})")
 
 
+class Layered(Spark):
+    layered = True
+
+
 class Duck(Spark):
     name = "duck"
+    layered = True
 
     @staticmethod
     def pick(values: list, at: str) -> str:
@@ -135,6 +151,15 @@ class Duck(Spark):
 
     string = "VARCHAR"
     quote = "chr(39)"
+    moment = "TIMESTAMP"
+
+    @staticmethod
+    def newest(value: str, *by: str) -> str:
+        return f"last({value} ORDER BY {', '.join(by)})"
+
+    @staticmethod
+    def seconds_before(moment: str, n: str) -> str:
+        return f"({moment} - to_seconds({n}))"
 
     @staticmethod
     def unit(v: str) -> str:
@@ -217,3 +242,8 @@ class Duck(Spark):
         return f"round_even({x}, 0)"
 
     any_least = staticmethod(lambda value, by: f"arg_min({value}, {by})")
+
+
+def written(d) -> type[Spark]:
+    """The dialect for a mart that is written before it is read."""
+    return Layered if d is Spark else d

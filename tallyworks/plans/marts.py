@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions import sphere
+from .dialect import written
 
 SEMANTIC_FLOOR, SEMANTIC_SPAN = 0.86, 0.14  # where a similarity begins to score
 SECOND_LOOK = 55
@@ -52,7 +53,7 @@ def orgs(d) -> str:
         CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 END AS synth_target_id FROM {{customer}}"""
 
 
-def disbursements(d) -> str:
+def disbursements(d, extra: str = "") -> str:
     nation = "((o_custkey * 13 + CASE WHEN o_orderkey % 20 = 0 THEN 11 ELSE 0 END) % 25)"
     lat, lon = centroid(nation)
     status = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'UNACCOUNTED' WHEN o_orderstatus = 'P' THEN 'PLEDGED' WHEN o_orderstatus = 'O' THEN 'DISPATCHED' ELSE 'DELIVERED' END"
@@ -61,7 +62,7 @@ def disbursements(d) -> str:
         CASE WHEN {status} = 'PLEDGED' THEN cast(0 AS decimal(12,2)) ELSE cast(o_totalprice AS decimal(12,2)) END AS amount_usd,
         {lat} + cast(o_orderkey % 100 - 50 AS double) / 50 AS lat, {lon} + cast(o_orderkey % 90 - 45 AS double) / 50 AS lon, o_orderdate AS dispatched_at,
         CASE WHEN {status} IN ('DELIVERED', 'DISPATCHED') THEN {d.add_minutes("o_orderdate", "cast((o_orderkey * 37) % 5760 AS int)")} END AS delivered_at,
-        CASE WHEN o_custkey % 10 = 0 THEN 'SYNTH_ADVERSARY_V1' ELSE 'IRS_BMF_2026' END AS batch_id FROM {{orders}}"""
+        CASE WHEN o_custkey % 10 = 0 THEN 'SYNTH_ADVERSARY_V1' ELSE 'IRS_BMF_2026' END AS batch_id{', ' * bool(extra)}{extra} FROM {{orders}}"""
 
 
 def district_dim(d) -> str:
@@ -141,22 +142,18 @@ def clone_confirmed(d) -> str:
 def org_cells(d) -> str:
     """The cell of each organisation's base."""
     lat, lon = centroid("base_nation")
-    return f"SELECT org_id, max_hops, lat, lon, basef, basex, basey FROM ({sphere.cell_at(d, f'SELECT *, {lat} AS base_lat, {lon} AS base_lon FROM {{orgs}}', RES, 'base_lat', 'base_lon', 'base')}) b"
-
-
-def delivery_cells(d) -> str:
-    """Deliveries with their organisation's base, their distance from its place, and the cell they went to."""
-    met = f"""SELECT x.disbursement_id, x.org_id, x.district, x.programme_code, x.status, cast(x.amount_usd AS double) AS amount_usd, cast(x.pledged_usd AS double) AS pledged_usd, x.lat, x.lon, x.dispatched_at, o.max_hops, o.basef, o.basex, o.basey,
-        {haversine("o.lat", "o.lon", "x.lat", "x.lon")} AS km, {d.hours("x.dispatched_at", "x.delivered_at")} AS transit_hours FROM {{disbursements}} x JOIN {{org_cells}} o ON o.org_id = x.org_id"""
-    placed = sphere.cell_id(d, sphere.cell_at(d, met, RES, "lat", "lon", "here"), RES, "here", "cell")
-    return f"SELECT disbursement_id, org_id, district, programme_code, status, amount_usd, pledged_usd, lat, lon, dispatched_at, max_hops, km, transit_hours, cell, basef, basex, basey, heref, herex, herey FROM ({placed}) p"
+    return f"SELECT org_id, max_hops, lat, lon, basef, basex, basey FROM ({sphere.cell_at(written(d), f'SELECT *, {lat} AS base_lat, {lon} AS base_lon FROM {{orgs}}', RES, 'base_lat', 'base_lon', 'base')}) b"
 
 
 def delivery_geometry(d) -> str:
     """Where deliveries went, in steps of cells from the base; places beyond the known distances count as unreachable."""
+    met = f"""SELECT x.disbursement_id, x.org_id, x.district, x.programme_code, x.status, cast(x.amount_usd AS double) AS amount_usd, cast(x.pledged_usd AS double) AS pledged_usd, x.lat, x.lon, x.dispatched_at, o.max_hops, o.basef, o.basex, o.basey,
+        {haversine("o.lat", "o.lon", "x.lat", "x.lon")} AS km, {d.hours("x.dispatched_at", "x.delivered_at")} AS transit_hours FROM {{disbursements}} x JOIN {{org_cells}} o ON o.org_id = x.org_id"""
+    w = written(d)
+    placed = sphere.distance(w, sphere.cell_id(w, sphere.cell_at(w, met, RES, "lat", "lon", "here"), RES, "here", "cell"), RES, "base", "here", "steps")
     return f"""SELECT disbursement_id, org_id, district, programme_code, status, amount_usd, pledged_usd, dispatched_at, lat, lon, max_hops, hops, km, transit_hours, cell,
         CASE WHEN status = 'UNACCOUNTED' THEN 'NEVER_ARRIVED' WHEN hops > max_hops THEN 'OUTSIDE_FOOTPRINT' WHEN transit_hours < 1 AND km > 400 THEN 'IMPOSSIBLE_TRANSIT' ELSE 'PLAUSIBLE' END AS geometry_verdict
-        FROM (SELECT *, CASE WHEN cell IS NOT NULL THEN coalesce(steps, {UNREACHABLE}) END AS hops FROM ({sphere.distance(d, "SELECT * FROM {delivery_cells}", RES, "base", "here", "steps")}) g1) g2"""
+        FROM (SELECT *, CASE WHEN cell IS NOT NULL THEN coalesce(steps, {UNREACHABLE}) END AS hops FROM ({placed}) g1) g2"""
 
 
 def org_risk(d) -> str:
@@ -172,16 +169,32 @@ def org_risk(d) -> str:
         LEFT JOIN {{org_activity}} a ON a.org_id = o.org_id LEFT JOIN {{receipt_coverage}} r ON r.org_id = o.org_id) k1) k2) k3"""
 
 
-# The edit of the historian's demonstration: (org_id, new score).
-EDITS = [(50, 61.0)]
+def applied_changes(d) -> str:
+    """Score changes that were applied through this library; the store's change log takes this table's place."""
+    return f"SELECT cast(NULL AS bigint) AS org_id, cast(NULL AS {d.moment}) AS changed_at, cast(NULL AS bigint) AS seq, cast(NULL AS double) AS score WHERE 1 = 0"
+
+
+def score_changes(d) -> str:
+    """The log of score changes, which only grows: every seventh error report sets a score, and what was applied here."""
+    return f"""SELECT user_id AS org_id, cast(ts AS {d.moment}) AS changed_at, event_id AS seq, cast(round(least(value, 100.0), 2) AS double) AS score FROM {{events}} WHERE event_type = 'error' AND event_id % 7 = 3
+        UNION ALL SELECT org_id, changed_at, seq, score FROM {{applied_changes}}"""
+
+
+def score_history(d) -> str:
+    """Each change with the time for which it holds; the newest one of an organisation has no end."""
+    return "SELECT org_id, seq, score, changed_at AS valid_from, lead(changed_at) OVER (PARTITION BY org_id ORDER BY changed_at, seq) AS valid_to FROM {score_changes}"
+
+
+def after_change(d, score: str, r: str = "r") -> dict[str, str]:
+    """A score and the verdict that follows from it; the components stay as they were computed."""
+    return {"risk_score": f"coalesce({score}, {r}.risk_score)", "verdict": f"CASE WHEN {score} IS NULL THEN {r}.verdict WHEN {score} >= {SECOND_LOOK} THEN 'needs a second look' WHEN {r}.is_verified THEN 'verified' ELSE 'unverified' END"}
 
 
 def org_risk_now(d) -> str:
-    """The scores after the edits; a verdict follows its score, the components stay as they were computed."""
-    rows = ", ".join(f"(cast({i} AS bigint), cast({x!r} AS double))" for i, x in EDITS)
-    verdict = f"CASE WHEN e.new_score IS NULL THEN r.verdict WHEN e.new_score >= {SECOND_LOOK} THEN 'needs a second look' WHEN r.is_verified THEN 'verified' ELSE 'unverified' END"
-    return f"""SELECT r.org_id, r.name, r.is_synthetic, r.is_verified, r.comp_semantic, r.comp_evasion, r.comp_geometry, r.comp_unaccounted, r.comp_receipts, coalesce(e.new_score, r.risk_score) AS risk_score, {verdict} AS verdict
-        FROM {{org_risk}} r LEFT JOIN (VALUES {rows}) AS e(edited_id, new_score) ON e.edited_id = r.org_id"""
+    """The scores after all changes: the newest one of each organisation is found by an aggregate, not a window."""
+    now = after_change(d, "e.score")
+    return f"""SELECT r.org_id, r.name, r.is_synthetic, r.is_verified, r.comp_semantic, r.comp_evasion, r.comp_geometry, r.comp_unaccounted, r.comp_receipts, {now['risk_score']} AS risk_score, {now['verdict']} AS verdict
+        FROM {{org_risk}} r LEFT JOIN (SELECT org_id AS edited_id, {d.newest('score', 'changed_at', 'seq')} AS score FROM {{score_changes}} GROUP BY org_id) e ON e.edited_id = r.org_id"""
 
 
 def confidence_rank(d) -> str:
@@ -294,4 +307,4 @@ def filings(d) -> str:
 
 
 MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, mint_log, receipt_coverage, org_vectors, scored_pairs, clone_pairs, clone_confirmed,
-                                                      org_cells, delivery_cells, delivery_geometry, org_risk, org_risk_now, confidence_rank, mint_queue, provenance, org_standing, org_enriched, district_attrition, org_footprint, citations, raw_filings, raw_revocations, filings)}
+                                                      org_cells, delivery_geometry, org_risk, applied_changes, score_changes, score_history, org_risk_now, confidence_rank, mint_queue, provenance, org_standing, org_enriched, district_attrition, org_footprint, citations, raw_filings, raw_revocations, filings)}

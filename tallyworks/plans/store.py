@@ -7,6 +7,7 @@ version in place. Readers take the newest version, or the newest at a moment.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from datetime import datetime, timedelta, timezone
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 
+CHANGES = "org_id bigint, changed_at timestamp_ntz, seq bigint, score double"
 LOG = "object_name string, layer string, action string, version string, path string, row_count bigint, built_at timestamp"
 TARGET_LAG, TOLERATED_LAG = 60, 120  # seconds
 RETENTION_DAYS = 90
@@ -27,8 +29,9 @@ def now() -> datetime:
 class Store:
     """Marts under one folder, written by one driver at a time. ``clock`` is replaceable for tests."""
 
-    def __init__(self, spark: SparkSession, where: str, clock=now):
+    def __init__(self, spark: SparkSession, where: str, clock=now, changes: str | None = None):
         self.spark, self.where, self.clock = spark, where.rstrip("/"), clock
+        self.change_log = changes or f"{self.where}/_changes"
         self.last: DataFrame | None = None  # the previous result
         self._newest: dict[str, str] | None = None
 
@@ -54,6 +57,24 @@ class Store:
             self._newest = out
         return out
 
+    # -- changes of scores
+
+    def changes(self) -> DataFrame | None:
+        """The changes applied so far, or None before the first one."""
+        fs, p = shared.path_of(self.spark, self.change_log)
+        return self.spark.read.schema(CHANGES).parquet(self.change_log) if fs.exists(p) else None
+
+    def append_change(self, org: int, score: float, at: datetime | None = None) -> None:
+        """One row; of changes at one moment the one that was appended last counts."""
+        row = (org, at or self.clock(), time.time_ns(), score)
+        self.spark.createDataFrame([row], CHANGES).coalesce(1).write.mode("append").parquet(self.change_log)
+
+    def with_own_changes(self) -> Store:
+        """The same tables beside an empty change log."""
+        out = Store(self.spark, self.where, self.clock, f"{self.where}/_tries/{uuid.uuid4().hex}")
+        out._newest = self._newest
+        return out
+
     # -- tables
 
     def has(self, name: str) -> bool:
@@ -120,5 +141,6 @@ def session_store(spark: SparkSession, sf_dir: str) -> Store:
     inputs = hashlib.sha256(repr((sf_dir, shared.stamp(spark, sf_dir))).encode()).hexdigest()[:16]
     key = (spark.sparkContext.applicationId, inputs)
     if key not in _stores:
-        _stores[key] = Store(spark, f"{shared.root(spark)}/marts-{key[0]}-{inputs}")
+        changes = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]  # they outlive the versions of the input
+        _stores[key] = Store(spark, f"{shared.root(spark)}/marts-{key[0]}-{inputs}", changes=f"{shared.root(spark)}/changes-{key[0]}-{changes}")
     return _stores[key]
