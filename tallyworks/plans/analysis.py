@@ -41,7 +41,7 @@ def _sample(d, n: int) -> str:
 
 def _bins(d) -> str:
     """Distances in equal bins on either side of the 0.99 quantile of the plausible ones."""
-    return f"""WITH cut AS (SELECT {d.quantile("CASE WHEN geometry_verdict = 'PLAUSIBLE' THEN km END", 0.99)} AS km_cut, max(km) AS km_max FROM {{delivery_geometry}}),
+    return f"""WITH cut AS (SELECT {d.quantile_of("delivery_geometry", "km", "geometry_verdict = 'PLAUSIBLE'", 0.99)} AS km_cut, max(km) AS km_max FROM {{delivery_geometry}}),
         placed AS (SELECT g.km > c.km_cut AS beyond, least({BINS - 1}, cast(floor(CASE WHEN g.km > c.km_cut THEN (g.km - c.km_cut) / nullif(c.km_max - c.km_cut, 0) ELSE g.km / nullif(c.km_cut, 0) END * {BINS}) AS int)) AS bin FROM {{delivery_geometry}} g CROSS JOIN cut c)
         SELECT beyond, bin, count(*) AS deliveries FROM placed GROUP BY beyond, bin ORDER BY beyond, bin"""
 
@@ -94,12 +94,12 @@ ANALYSIS: dict[str, Callable] = {
     "q_embedding_scope": lambda d: "SELECT o.org_id, o.is_synthetic FROM {orgs} o WHERE o.is_synthetic OR EXISTS (SELECT 1 FROM {orgs} s WHERE s.is_synthetic AND s.cause = o.cause AND s.state = o.state) ORDER BY o.org_id",
     "q_vector_check": lambda d: f"SELECT round({d.dot('a.unit', 'a.unit')}, 6) AS with_itself, round({d.dot('a.unit', 'b.unit')}, 6) AS with_another FROM (SELECT unit FROM {{org_vectors}} ORDER BY org_id LIMIT 1) a, (SELECT unit FROM {{org_vectors}} ORDER BY org_id DESC LIMIT 1) b LIMIT 1",
     "q_by_cause": lambda d: f"SELECT cause, orgs, delivery_rate, receipt_coverage FROM (SELECT cause, count(*) AS orgs, round(median(delivery_rate), 6) AS delivery_rate, round(median(receipt_coverage), 6) AS receipt_coverage FROM {{confidence_rank}} WHERE disbursements > 0 GROUP BY cause HAVING count(*) >= {MIN_ORGS} ORDER BY orgs DESC, cause LIMIT 12) c ORDER BY delivery_rate DESC, cause",
-    "q_plausibility_cutoff": lambda d: f"SELECT round({d.quantile('km', 0.99)}, 6) AS cutoff_km, count(*) AS plausible FROM {{delivery_geometry}} WHERE geometry_verdict = 'PLAUSIBLE'",
+    "q_plausibility_cutoff": lambda d: "SELECT round({q}, 6) AS cutoff_km, count(*) AS plausible FROM {{delivery_geometry}} WHERE geometry_verdict = 'PLAUSIBLE'".format(q=d.quantile_of("delivery_geometry", "km", "geometry_verdict = 'PLAUSIBLE'", 0.99)),
     "q_distance_bins": _bins,
     "q_speed_bins": _speed_bins,
     "q_gap_percentile": lambda d: "SELECT count(*) AS pairs, round(100.0 * count(CASE WHEN evasion_gap <= :marker THEN 1 END) / greatest(count(*), 1), 4) AS percentile FROM {clone_pairs}",
     "q_k_histogram": lambda d: "WITH cells AS (SELECT district, programme_code, month_key, count(DISTINCT beneficiary_id) AS k FROM {beneficiary_facts} GROUP BY district, programme_code, month_key), top AS (SELECT least(max(k), greatest(:floor + 10, 60)) AS t FROM cells) SELECT least(k, t) AS k, count(*) AS cells, least(k, t) < :floor AS below_floor FROM cells CROSS JOIN top GROUP BY least(k, t) ORDER BY 1",
-    "q_narrowing_ladder": lambda d: "SELECT filters_applied, count(CASE WHEN people >= :floor THEN 1 END) AS answered, count(CASE WHEN people < :floor THEN 1 END) AS refused FROM (SELECT cast(3 - grouping(district) - grouping(programme_code) - grouping(month_key) AS int) AS filters_applied, count(DISTINCT beneficiary_id) AS people FROM {beneficiary_facts} GROUP BY CUBE (district, programme_code, month_key)) c GROUP BY filters_applied ORDER BY filters_applied",
+    "q_narrowing_ladder": lambda d: "SELECT filters_applied, count(CASE WHEN people >= :floor THEN 1 END) AS answered, count(CASE WHEN people < :floor THEN 1 END) AS refused FROM {cohort_cells} GROUP BY filters_applied ORDER BY filters_applied",
     "q_money_cumulative": _cumulative,
     "q_org_ratios": lambda d: "SELECT org_id, count(*) AS disbursements, cast(sum(amount_usd) AS double) AS moved_usd, round(cast(sum(CASE WHEN status = 'UNACCOUNTED' THEN amount_usd ELSE 0 END) AS double) / greatest(cast(sum(amount_usd) AS double), 1.0), 6) AS unaccounted_ratio, round(cast(sum(CASE WHEN status = 'DELIVERED' THEN amount_usd ELSE 0 END) AS double) / greatest(cast(sum(amount_usd) AS double), 1.0), 6) AS delivery_rate FROM {disbursements} GROUP BY org_id",
     "q_nearest_threshold": lambda d: f"SELECT suspect_id, target_id, round(semantic_sim, 6) AS semantic_sim FROM {{scored_pairs}} ORDER BY round(abs(semantic_sim - {PRODUCTION_CUT}), 9), suspect_id, target_id LIMIT 10",

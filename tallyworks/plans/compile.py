@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import register_jaro_winkler
+from ..operators.quantiles import exact_quantiles
 from .dialect import Duck, Spark
 from .marts import MARTS, literal
 from .named import DEFAULTS, ORACLES, texts
 from .store import Store, session_store
 
 _REF = re.compile(r"\{(\w+)\}")
+_QUANTILE = re.compile(r"(\[\[(\w+)\|([^|]+)\|([^|]+)\|([0-9.]+)\]\])")
 _PARAM = re.compile(r"(?<![\w:']):([a-z]+)\b")
 
 #: Marts that several queries share and that cost a join of the large tables: written once, then read.
@@ -74,6 +76,9 @@ def run(spark: SparkSession, sf_dir: str, query: str, store: Store | None = None
     register_jaro_winkler(spark)
     made: dict[str, DataFrame] = {}
     store = store or session_store(spark, sf_dir)
+    for text, mart, x, where, p in _QUANTILE.findall(sql):
+        value = exact_quantiles(resolve(spark, sf_dir, mart, made, store).where(where), x, [float(p)])[0]
+        sql = sql.replace(text, "cast(NULL AS double)" if value is None else f"cast('{value!r}' AS double)")
     refs = {r: resolve(spark, sf_dir, r, made, store) for r in references(sql)}
     bound = {p: values.get(p, DEFAULTS[p]) for p in parameters(sql)}
     return spark.sql(sql, args=bound or None, **refs)

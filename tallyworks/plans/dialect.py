@@ -114,8 +114,9 @@ class Spark:
         return f"({a} div {b})"
 
     @staticmethod
-    def quantile(x: str, p: float) -> str:
-        return f"percentile({x}, {p})"
+    def quantile_of(mart: str, x: str, where: str, p: float) -> str:
+        """The exact quantile of a column, found before the query runs (operators/quantiles.py)."""
+        return f"[[{mart}|{x}|{where}|{p}]]"
 
     @classmethod
     def quoted(cls, x: str) -> str:
@@ -230,8 +231,8 @@ class Duck(Spark):
         return f"({a} // {b})"
 
     @staticmethod
-    def quantile(x: str, p: float) -> str:
-        return f"quantile_cont({x}, {p})"
+    def quantile_of(mart: str, x: str, where: str, p: float) -> str:
+        return f"(SELECT quantile_cont({x}, {p}) FROM {{{mart}}} WHERE {where})"
 
     @staticmethod
     def listagg(x: str) -> str:

@@ -103,6 +103,30 @@ def beneficiary_facts(d) -> str:
         {d.month("coalesce(x.delivered_at, x.dispatched_at)")} AS month_key FROM {{beneficiaries}} p JOIN {{disbursements}} x ON x.beneficiary_id = p.beneficiary_id"""
 
 
+COHORT_KEYS = {"district": "bigint", "programme_code": "string", "month_key": "string"}
+
+
+def cohort_cells(d) -> str:
+    """People, records and money of every cell under all eight choices of filters.
+
+    Facts become one row for each (person, finest cell); these are spread over the choices and made one for each (person,
+    cell). All of it happens where the person's facts lie: an array is spread without losing the partitioning that
+    grouping sets would lose. Only the sums of cells are shuffled.
+    """
+    keys = list(COHORT_KEYS)
+    choices = [[k for i, k in enumerate(keys) if n >> i & 1] for n in range(8)]
+    own = f"SELECT beneficiary_id, {', '.join(keys)}, count(*) AS records, sum(cast(amount_usd AS decimal(12,2))) AS usd FROM {{beneficiary_facts}} GROUP BY beneficiary_id, {', '.join(keys)}"
+    shown = lambda c: ", ".join(f"{k} AS {k}" if k in c else f"cast(NULL AS {t if d.name == 'spark' or t == 'bigint' else 'VARCHAR'}) AS {k}" for k, t in COHORT_KEYS.items())
+    if d.name == "spark":
+        structs = ", ".join(f"struct({n} AS choice, {len(c)} AS filters_applied, {shown(c)})" for n, c in enumerate(choices))
+        spread = f"SELECT beneficiary_id, records, usd, c.* FROM (SELECT beneficiary_id, records, usd, explode(array({structs})) AS c FROM ({own}) o) e"
+    else:
+        spread = " UNION ALL ".join(f"SELECT beneficiary_id, records, usd, {n} AS choice, {len(c)} AS filters_applied, {shown(c)} FROM ({own}) o{n}" for n, c in enumerate(choices))
+    cell = f"choice, filters_applied, {', '.join(keys)}"
+    people = f"SELECT beneficiary_id, {cell}, sum(records) AS records, sum(usd) AS usd FROM ({spread}) s GROUP BY beneficiary_id, {cell}"
+    return f"SELECT {cell}, count(*) AS people, cast(sum(records) AS bigint) AS records, cast(sum(usd) AS double) AS usd FROM ({people}) p GROUP BY {cell}"
+
+
 def mint_log(d) -> str:
     base = f"SELECT disbursement_id, concat('asset-', {d.text('disbursement_id')}) AS asset_id, {d.add_minutes('delivered_at', '1440')} AS minted_at, 0 AS copy FROM {{disbursements}} WHERE status = 'DELIVERED' AND disbursement_id % 30 <> 0"
     again = f"SELECT disbursement_id, concat('asset-', {d.text('disbursement_id')}, '-b') AS asset_id, {d.add_minutes('delivered_at', '1440')} AS minted_at, 1 AS copy FROM {{disbursements}} WHERE status = 'DELIVERED' AND disbursement_id % 30 <> 0 AND disbursement_id % 97 = 0"
@@ -306,5 +330,5 @@ def filings(d) -> str:
         places.lat, places.lon, {hops} AS max_hops, one.status = '01' AND revoked.ein IS NULL AS is_verified FROM one JOIN places ON places.zip = one.zip5 LEFT JOIN revoked ON revoked.ein = one.ein"""
 
 
-MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, mint_log, receipt_coverage, org_vectors, scored_pairs, clone_pairs, clone_confirmed,
+MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, cohort_cells, mint_log, receipt_coverage, org_vectors, scored_pairs, clone_pairs, clone_confirmed,
                                                       org_cells, delivery_geometry, org_risk, applied_changes, score_changes, score_history, org_risk_now, confidence_rank, mint_queue, provenance, org_standing, org_enriched, district_attrition, org_footprint, citations, raw_filings, raw_revocations, filings)}
