@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import register_jaro_winkler
 from ..operators.quantiles import exact_quantiles
+from ..operators.similarity import cosine_pairs
 from .dialect import Duck, Spark
-from .marts import MARTS, literal
+from .marts import MARTS, PRODUCTION_CUT, literal
 from .named import DEFAULTS, ORACLES, texts
 from .store import Store, session_store
 
@@ -40,6 +42,20 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _pairs(floor: float | None) -> Callable[[Callable[[str], DataFrame]], DataFrame]:
+    def build(get: Callable[[str], DataFrame]) -> DataFrame:
+        v = get("org_vectors").select("region", "cause", F.col("org_id").cast("long").alias("id"), F.col("synth_target_id").cast("long").alias("tag"), "unit", "is_synthetic", "is_verified")
+        pairs = cosine_pairs(v.where("is_synthetic"), v.where("is_verified AND NOT is_synthetic"), ["region", "cause"], None if floor is None else 2 * floor - 1)
+        out = pairs.select(F.col("left_id").alias("suspect_id"), F.col("right_id").alias("target_id"), F.col("tagged").alias("recorded"), ((F.col("cosine") + 1) / 2).alias("semantic_sim"))
+        return out if floor is None else out.where(F.col("semantic_sim") >= floor)
+
+    return build
+
+
+#: Marts that Spark does not get from their text.
+BUILT = {"scored_pairs": _pairs(None), "near_pairs": _pairs(PRODUCTION_CUT)}
+
+
 def references(sql: str) -> list[str]:
     return list(dict.fromkeys(_REF.findall(sql)))
 
@@ -59,8 +75,9 @@ def resolve(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFra
         elif store is not None and store.has(name):
             made[name] = store.read(name)
         else:
+            get = lambda r: resolve(spark, sf_dir, r, made, store)
             sql = MARTS[name](Spark)
-            df = spark.sql(sql, **{r: resolve(spark, sf_dir, r, made, store) for r in references(sql)})
+            df = BUILT[name](get) if name in BUILT else spark.sql(sql, **{r: get(r) for r in references(sql)})
             if store is not None and name in WRITTEN:
                 with _settings(spark, **LAYERED.get(name, {})):
                     df = store.write(name, df)

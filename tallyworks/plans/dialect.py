@@ -24,9 +24,9 @@ class Spark:
 
     @staticmethod
     def unit(v: str) -> str:
-        """The vector as doubles of length 1; the length is taken once."""
+        """The vector as doubles of length 1; the length is taken once. NULL for a vector of zeros."""
         norm = f"sqrt(aggregate({v}, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double)))"
-        return f"transform(array({norm}), n -> transform({v}, x -> cast(x AS double) / n))[0]"
+        return f"transform(array({norm}), n -> IF(n > 0, transform({v}, x -> cast(x AS double) / n), NULL))[0]"
 
     @staticmethod
     def pick(values: list, at: str) -> str:

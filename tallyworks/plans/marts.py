@@ -148,15 +148,21 @@ def org_vectors(d) -> str:
 
 
 def scored_pairs(d) -> str:
-    """Blocked similarity: both sides are filtered before they meet on region and cause."""
-    return f"""SELECT s.org_id AS suspect_id, s.name AS suspect_name, t.org_id AS target_id, t.name AS target_name, s.cause, s.region, s.synth_technique, t.org_id = s.synth_target_id AS recorded, (1 + {d.dot("s.unit", "t.unit")}) / 2 AS semantic_sim
+    """Similarities of seeded and real organisations that share region and cause. Spark multiplies blocks of vectors
+    instead (``BUILT`` in compile.py); this text is for the checking engine."""
+    return f"""SELECT s.org_id AS suspect_id, t.org_id AS target_id, t.org_id = s.synth_target_id AS recorded, (1 + {d.dot("s.unit", "t.unit")}) / 2 AS semantic_sim
         FROM (SELECT * FROM {{org_vectors}} WHERE is_synthetic) s JOIN (SELECT * FROM {{org_vectors}} WHERE is_verified AND NOT is_synthetic) t ON s.region = t.region AND s.cause = t.cause AND s.ein <> t.ein"""
 
 
+def near_pairs(d) -> str:
+    """The pairs at or above the production cut; also built in blocks."""
+    return f"SELECT * FROM {{scored_pairs}} WHERE semantic_sim >= {PRODUCTION_CUT}"
+
+
 def clone_pairs(d) -> str:
     """Detected pairs. Spelling is compared only for these, under the test data's product names."""
-    return f"""SELECT *, semantic_sim - string_sim AS evasion_gap FROM (SELECT p.suspect_id, p.suspect_name, p.target_id, p.target_name, p.cause, p.synth_technique, p.recorded, p.semantic_sim, {d.jw("lower(a.p_name)", "lower(b.p_name)")} AS string_sim
-        FROM {{scored_pairs}} p JOIN {{part}} a ON a.p_partkey = p.suspect_id JOIN {{part}} b ON b.p_partkey = p.target_id WHERE p.semantic_sim >= {PRODUCTION_CUT}) c"""
+    return f"""SELECT *, semantic_sim - string_sim AS evasion_gap FROM (SELECT p.suspect_id, s.name AS suspect_name, p.target_id, t.name AS target_name, s.cause, s.synth_technique, p.recorded, p.semantic_sim, {d.jw("lower(a.p_name)", "lower(b.p_name)")} AS string_sim
+        FROM {{near_pairs}} p JOIN {{orgs}} s ON s.org_id = p.suspect_id JOIN {{orgs}} t ON t.org_id = p.target_id JOIN {{part}} a ON a.p_partkey = p.suspect_id JOIN {{part}} b ON b.p_partkey = p.target_id) c"""
 
 
 def clone_confirmed(d) -> str:
@@ -330,5 +336,5 @@ def filings(d) -> str:
         places.lat, places.lon, {hops} AS max_hops, one.status = '01' AND revoked.ein IS NULL AS is_verified FROM one JOIN places ON places.zip = one.zip5 LEFT JOIN revoked ON revoked.ein = one.ein"""
 
 
-MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, cohort_cells, mint_log, receipt_coverage, org_vectors, scored_pairs, clone_pairs, clone_confirmed,
+MARTS: dict[str, Callable] = {f.__name__: f for f in (orgs, disbursements, district_dim, org_activity, attrition_stages, cause_exposure, beneficiaries, beneficiary_facts, cohort_cells, mint_log, receipt_coverage, org_vectors, scored_pairs, near_pairs, clone_pairs, clone_confirmed,
                                                       org_cells, delivery_geometry, org_risk, applied_changes, score_changes, score_history, org_risk_now, confidence_rank, mint_queue, provenance, org_standing, org_enriched, district_attrition, org_footprint, citations, raw_filings, raw_revocations, filings)}
