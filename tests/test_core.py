@@ -189,6 +189,23 @@ def test_retry():
         queue.with_retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)
 
 
+def test_semantic_facts_keep_their_grain(spark):
+    orgs = spark.createDataFrame([(1, "a", "x", "c1", 10), (2, "a", "x", "c2", 20), (3, "b", "y", "c1", 30), (4, None, "x", "c3", 40)], "org_id long, state string, cause string, city string, max_hops int")
+    sent = [(1, "D", 5.0), (1, "D", 7.0), (1, "P", 1.0), (2, "D", 2.0), (4, "D", 9.0)]
+    disb = spark.createDataFrame([(i, o, 1, s, u, u, "PLAUSIBLE") for i, (o, s, u) in enumerate(sent)], "disbursement_id long, org_id long, district int, status string, amount_usd double, pledged_usd double, geometry_verdict string")
+    m = semantic.giving_model(orgs, disb, semantic.ORG_METRICS)
+    ask = lambda *q: sorted((tuple(r) for r in m.query(*q).collect()), key=str)
+    assert ask([], ["org_count", "event_count"]) == [(4, 5)]
+    assert ask(["state"], ["org_count", "event_count"]) == [("a", 2, 4), ("b", 1, None), (None, 1, 1)]
+    assert ask(["state"], ["org_count", "mean_hops"]) == [("a", 2, 15.0), ("b", 1, 30.0), (None, 1, 40.0)]
+    assert ask(["state", "status"], ["org_count", "total_usd"]) == [("a", "D", 2, 14.0), ("a", "P", 1, 1.0), (None, "D", 1, 9.0)]
+    assert ask(["status"], ["mean_hops"]) == [("D", round(70 / 3, 6)), ("P", 10.0)]
+    assert ask(["state", "status"], []) == [("a", "D"), ("a", "P"), (None, "D")]
+    assert ask(["cause"], []) == [("x",), ("y",)]
+    with pytest.raises(ValueError):
+        m.query([], [])
+
+
 def test_semantic_model(spark):
     made = {}
     m = semantic.giving_model(plans.resolve(spark, SF, "orgs", made), plans.resolve(spark, SF, "delivery_geometry", made))
