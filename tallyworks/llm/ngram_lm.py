@@ -10,8 +10,8 @@ A query looks its context up, takes the pointer pair, and searches the successor
 The files are memory-mapped from the shared folder, so a worker's memory holds only pages in use. Where that folder is
 not a mounted file system they are fetched once by each worker process.
 
-Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)); n-grams that occur MIN_COUNT times or more get absolute
-discounting, and the mass left goes to the lower order over the words not kept (Katz back-off), so that every context's
+Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)); n-grams that occur MIN_COUNT times or more (all of them, as it
+is 1) get absolute discounting, and the mass left goes to the lower order over the words not kept (Katz back-off), so that every context's
 probabilities add up to one. All counts are over all training documents.
 
 Defined cases: a null or empty text is the end token alone; texts of any length are read whole; a row with a null id is
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.5
+ORDER, MIN_COUNT, DISCOUNT = 2, 1, 0.5
 SHARD_KEYS, LEAST_KEYS = 4_000_000, 250_000
 FLUSH = 3_000_000
 LOG_RANGE = 16.0
