@@ -10,10 +10,13 @@ import random
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.noise import discrete_laplace
+from .budget import MICRO, Budget, micro
 
 class Refused(Exception):
     """The question has a shape that the policy does not answer."""
@@ -43,6 +46,10 @@ class Domain:
 ANY = (None, "", "any")
 
 
+def _used(filters: dict) -> int:
+    return len([v for v in filters.values() if v not in ANY])
+
+
 @dataclass
 class Question:
     """What an analyst may send: one aggregate over filtered rows, perhaps by groups."""
@@ -57,9 +64,12 @@ class Facade:
     """Answers count-distinct questions about ``entity`` with filters over declared domains. The facts stay inside: only
     counts leave."""
 
-    def __init__(self, facts: DataFrame, entity: str, domains: dict[str, Domain], floor: int = 50, epsilon: float = 0.1, budget: float = 300.0, noise_sd: float = 9.3, seed: int | None = None):
+    def __init__(self, facts: DataFrame, entity: str, domains: dict[str, Domain], floor: int = 50, epsilon: float = 0.1, budget: float = 300.0, noise_sd: float = 9.3, seed: int | None = None, ledger: Budget | None = None):
+        """``ledger``: a budget that all sessions share; without one it lasts as long as this object. ``seed`` is for
+        tests; without it noise comes from the operating system."""
         self.entity, self.domains, self.floor, self.epsilon, self.budget, self.noise_sd, self.seed = entity, domains, floor, epsilon, budget, noise_sd, seed
-        self.spent, self.log = 0.0, []
+        self.shared, self._spent, self.log = ledger, 0, []
+        self.scale = Fraction(noise_sd / math.sqrt(2)).limit_denominator(1000)
         self._frame = lambda rows, schema: facts.sparkSession.createDataFrame(rows, schema)
         self._count = lambda where: facts.where(where).agg(F.countDistinct(entity)).first()[0]
 
@@ -89,32 +99,43 @@ class Facade:
     def rows(self, *_):
         raise Refused("rows are never released")
 
-    def _pay(self) -> None:
-        if self.spent + self.epsilon > self.budget + 1e-9:
+    @property
+    def spent(self) -> float:
+        return self.shared.spent if self.shared else self._spent / MICRO
+
+    def _pay(self, mechanism: str, filters: dict) -> None:
+        """Before the answer is made: what is paid for is never given back."""
+        if self.shared:
+            paid = self.shared.spend(self.epsilon, mechanism, _used(filters)) is not None
+        elif paid := self._spent + micro(self.epsilon) <= micro(self.budget):
+            self._spent += micro(self.epsilon)
+        if not paid:
             raise Refused("the budget is spent")
 
     def _true(self, filters: dict) -> int:
         return self._count(self._where(filters))
 
     def _note(self, mechanism: str, filters: dict, answer, cost: float) -> None:
-        self.spent += cost
-        self.log.append({"query": len(self.log) + 1, "mechanism": mechanism, "filters": len([v for v in filters.values() if v not in ANY]), "refused": answer is None, "epsilon": cost})
+        self.log.append({"query": len(self.log) + 1, "mechanism": mechanism, "filters": _used(filters), "refused": answer is None, "epsilon": cost})
 
     def floored(self, filters: dict) -> int | None:
         """The exact count, or None (withheld, which is not zero) under the floor."""
-        self._pay()
+        self._where(filters)
+        self._pay("floor", filters)
         n = self._true(filters)
         out = n if n >= self.floor else None
         self._note("floor", filters, out, self.epsilon)
         return out
 
     def noisy(self, filters: dict) -> int:
-        """A Laplace draw around the count, rounded, never negative; spends epsilon and is refused beyond the budget."""
-        self._pay()
-        r = random.Random(None if self.seed is None else self.seed * 1_000_003 + len(self.log))
-        u = r.random() - 0.5
-        noise = -self.noise_sd / math.sqrt(2) * math.copysign(math.log(max(1e-300, 1 - 2 * abs(u))), u)
-        out = max(0, round(self._true(filters) + noise))
+        """The count and a whole-number Laplace draw, never negative; spends epsilon and is refused beyond the budget."""
+        self._where(filters)
+        self._pay("dp", filters)
+        return self._draw(filters, self._true(filters))
+
+    def _draw(self, filters: dict, exact: int) -> int:
+        rng = None if self.seed is None else random.Random(self.seed * 1_000_003 + len(self.log))
+        out = max(0, exact + discrete_laplace(self.scale, rng))
         self._note("dp", filters, out, self.epsilon)
         return out
 
@@ -135,11 +156,14 @@ class Facade:
 
     def attack_trial(self, filters: dict, column: str, threshold: float, trials: int = 8) -> DataFrame:
         """The differencing attack, repeated: everyone, those at or above a threshold, and the difference of two draws."""
-        rows = []
+        sides = {k: v for k, v in filters.items() if k != column}, filters | {column: (threshold, self.domains[column].high)}
+        exact, rows = [self._true(x) for x in sides], []  # counted once; every draw is paid for
         for n in range(trials):
-            everyone = self.noisy({k: v for k, v in filters.items() if k != column})
-            above = self.noisy(filters | {column: (threshold, self.domains[column].high)})
-            rows.append((n + 1, everyone, above, everyone - above))
+            drawn = []
+            for x, true in zip(sides, exact):
+                self._pay("dp", x)
+                drawn.append(self._draw(x, true))
+            rows.append((n + 1, *drawn, drawn[0] - drawn[1]))
         return self._frame(rows, "trial int, everyone bigint, received_something bigint, recovered bigint")
 
     def ledger(self) -> DataFrame:
