@@ -24,12 +24,24 @@ def project(vectors: DataFrame, column: str = "unit") -> DataFrame:
     return out.select(*vectors.columns, *[((F.col("_p")[k] - F.lit(centre[k])) * F.lit(signs[k])).alias(f"pc{k + 1}") for k in range(2)])
 
 
+def scope(orgs: DataFrame, pairs: DataFrame, others: int = 900) -> DataFrame:
+    """What the map shows: every organisation of a pair, and a sample of ``others`` of the rest, which is the same one on
+    any cluster (smallest hashes of the identifiers)."""
+    paired = pairs.select(F.explode(F.array("suspect_id", "target_id")).alias("org_id")).distinct()
+    rest = orgs.join(paired, "org_id", "left_anti").orderBy(F.xxhash64(F.col("org_id").cast("long")), "org_id").limit(others)
+    return orgs.join(paired, "org_id", "left_semi").unionByName(rest)
+
+
 def q_projection(spark, sf_dir: str, cause: str = "BUILDING") -> DataFrame:
-    """Organisations of a cause on the plane of all vectors."""
+    """Organisations of a cause on the plane of those in scope."""
     from ..plans import compile as plans
+    from ..plans.store import session_store
 
-    vectors = plans.resolve(spark, sf_dir, "org_vectors", {})
-    placed = project(vectors.select("org_id", "name", "cause", "is_synthetic", "is_verified", "unit")).where(F.col("cause") == F.lit(cause))
+    plans.register_jaro_winkler(spark)
+    made: dict[str, DataFrame] = {}
+    get = lambda name: plans.resolve(spark, sf_dir, name, made, session_store(spark, sf_dir))
+    vectors = get("org_vectors").select("org_id", "name", "cause", "is_synthetic", "is_verified", "unit").where("unit IS NOT NULL")
+    placed = project(scope(vectors, get("clone_pairs"))).where(F.col("cause") == F.lit(cause))
     return placed.select("org_id", "name", "cause", "is_synthetic", "is_verified", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2")).orderBy("org_id").limit(1500)
 
 

@@ -10,9 +10,11 @@ from .marts import PRODUCTION_CUT, RES, after_change
 MIN_ORGS = 5
 BINS = 44
 ROAD_KMH, JET_KMH = 90, 900
-#: Log-spaced edges: 2 bins up to road speed, 22 between road and jet, 8 beyond.
-REGIMES = ((2, 1.0, ROAD_KMH), (22, ROAD_KMH, JET_KMH), (8, JET_KMH, 20_000.0))
-SPEED_EDGES = [a * (b / a) ** (k / n) for n, a, b in REGIMES for k in range(n)] + [REGIMES[-1][2]]
+#: Log-spaced bins: 2 up to road speed, 22 between road and jet, 8 beyond. The outer edges are those of the data, with a
+#: margin; the two reference speeds are always edges, so that every bin lies in one regime.
+SLOW_BINS, MIDDLE_BINS, FAST_BINS = 2, 22, 8
+LOW_MARGIN, HIGH_MARGIN = 0.92, 1.06
+MIDDLE_EDGES = [ROAD_KMH * (JET_KMH / ROAD_KMH) ** (k / MIDDLE_BINS) for k in range(1, MIDDLE_BINS)]
 DIFF_FIELDS = ("org_id", "ein", "name", "cause", "city", "state", "blurb")
 
 OFFSETS, BEFORE = (60, 120, 300, 600, 1800, 3600), 300  # seconds
@@ -46,10 +48,32 @@ def _bins(d) -> str:
         SELECT beyond, bin, count(*) AS deliveries FROM placed GROUP BY beyond, bin ORDER BY beyond, bin"""
 
 
+def _speed_edges() -> list[str]:
+    """All edges, lowest first, as expressions over ``low`` and ``high``."""
+    log = lambda a, b, n: [f"{a} * pow(({b}) / ({a}), {k}.0 / {n})" for k in range(1, n)]
+    road, jet = f"{ROAD_KMH}.0e0", f"{JET_KMH}.0e0"
+    return ["low", *log("low", road, SLOW_BINS), road, *(f"{e!r}e0" for e in MIDDLE_EDGES), jet, *log(jet, "high", FAST_BINS), "high"]
+
+
+_SPEEDS = "SELECT km / transit_hours AS kmh FROM {delivery_geometry} WHERE transit_hours > 0 AND km > 0"
+_OUTER = f"SELECT least(min(kmh), {ROAD_KMH}) * {LOW_MARGIN}e0 AS low, greatest(max(kmh), {JET_KMH}) * {HIGH_MARGIN}e0 AS high FROM v"
+
+
 def _speed_bins(d) -> str:
-    """Right-closed bins between log-spaced edges; what lies outside goes to the first or last bin."""
-    inside = " + ".join(f"CASE WHEN kmh > {e!r} THEN 1 ELSE 0 END" for e in SPEED_EDGES[1:-1])
-    return f"SELECT bin, count(*) AS deliveries FROM (SELECT cast({inside} AS int) AS bin FROM (SELECT km / transit_hours AS kmh FROM {{delivery_geometry}} WHERE transit_hours > 0) v WHERE kmh > 0) b GROUP BY bin ORDER BY bin"
+    """Right-closed bins; deliveries within the hour have no speed. Every speed is placed once against one row of edges."""
+    edges = _speed_edges()
+    inside = " + ".join(f"CASE WHEN kmh > {e} THEN 1 ELSE 0 END" for e in edges[1:-1])
+    at = lambda shift: "CASE bin " + " ".join(f"WHEN {k} THEN {edges[k + shift]}" for k in range(len(edges) - 1)) + " END"
+    return f"""WITH v AS ({_SPEEDS}), o AS ({_OUTER}), b AS (SELECT cast({inside} AS int) AS bin, low, high FROM v CROSS JOIN o),
+        g AS (SELECT bin, low, high, count(*) AS deliveries FROM b GROUP BY bin, low, high) SELECT bin, round({at(0)}, 6) AS from_kmh, round({at(1)}, 6) AS to_kmh, deliveries FROM g ORDER BY bin"""
+
+
+def _speed_bins_naive(d) -> str:
+    """The edges as a list, each speed against each edge."""
+    log = lambda a, b, n: f"[exp(ln({a}) + (ln({b}) - ln({a})) * k / {n}) for k in range({n})]"
+    edges = f"list_concat(list_concat({log('low', ROAD_KMH, SLOW_BINS)}, {log(ROAD_KMH, JET_KMH, MIDDLE_BINS)}), list_concat({log(JET_KMH, 'high', FAST_BINS)}, [high]))"
+    return f"""WITH v AS ({_SPEEDS}), o AS ({_OUTER}), e AS (SELECT {edges} AS x FROM o), i AS (SELECT unnest(range(len(x) - 1))::INT AS bin, x FROM e), b AS (SELECT bin, x[bin + 1] AS a, x[bin + 2] AS z FROM i)
+        SELECT bin, round(a, 6) AS from_kmh, round(z, 6) AS to_kmh, count(*) AS deliveries FROM b JOIN v ON kmh > a AND kmh <= z GROUP BY ALL"""
 
 
 def _cumulative(d) -> str:
@@ -166,7 +190,7 @@ DIRECT: dict[str, Callable] = {
     "q_org_enriched": lambda d: "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'seeded' WHEN c_acctbal < -500 AND c_custkey % 3 <> 0 THEN 'no longer in good standing' WHEN c_acctbal >= 0 THEN 'verified' ELSE 'unverified' END AS standing, count(*) AS orgs, count(*) FILTER (WHERE c_custkey % 10 <> 0 AND c_acctbal >= 0) AS verified FROM {customer} GROUP BY 1",
     "q_embedding_scope": lambda d: "SELECT c_custkey AS org_id, c_custkey % 10 = 0 AS is_synthetic FROM {customer} WHERE (c_mktsegment, c_nationkey) IN (SELECT (c_mktsegment, c_nationkey) FROM {customer} WHERE c_custkey % 10 = 0)",
     "q_plausibility_cutoff": lambda d: "SELECT round(quantile_cont(km, 0.99), 6) AS cutoff_km, count(*) AS plausible FROM {delivery_geometry} WHERE geometry_verdict = 'PLAUSIBLE'",
-    "q_speed_bins": lambda d: f"WITH e AS (SELECT unnest({SPEED_EDGES[1:-1]!r}) AS edge), v AS (SELECT disbursement_id, km / transit_hours AS kmh FROM {{delivery_geometry}} WHERE transit_hours > 0 AND km > 0), p AS (SELECT disbursement_id, count(edge) AS bin FROM v LEFT JOIN e ON kmh > edge GROUP BY disbursement_id) SELECT bin, count(*) AS deliveries FROM p GROUP BY bin",
+    "q_speed_bins": _speed_bins_naive,
     "q_narrowing_ladder": lambda d: "WITH q AS (" + " UNION ALL ".join(f"SELECT {len(c)} AS filters_applied, count(DISTINCT beneficiary_id) AS people FROM {{beneficiary_facts}}" + (f" GROUP BY {', '.join(c)}" if c else "") for c in ((), ("district",), ("programme_code",), ("month_key",), ("district", "programme_code"), ("district", "month_key"), ("programme_code", "month_key"), ("district", "programme_code", "month_key"))) + ") SELECT filters_applied, count(*) FILTER (WHERE people >= :floor) AS answered, count(*) FILTER (WHERE people < :floor) AS refused FROM q GROUP BY 1",
     "q_org_footprint": _footprint_naive,
     "q_semantic_shape": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{s}')" for k, n, s in MODEL) + ") t(object_kind, object_name, synonyms)",

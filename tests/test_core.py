@@ -111,6 +111,11 @@ def test_projection(spark):
     axes = np.linalg.svd(c, full_matrices=False)[2][:2]
     axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
     assert np.allclose([[r.pc1, r.pc2] for r in got], c @ axes.T, atol=1e-8)
+    orgs = spark.createDataFrame([(i, "c") for i in range(50)], "org_id int, cause string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (9, 2)], "suspect_id int, target_id int")
+    shown = [sorted(r.org_id for r in projection.scope(orgs.repartition(n), pairs, 10).collect()) for n in (1, 7)]
+    assert shown[0] == shown[1] and {1, 2, 3, 9} <= set(shown[0]) and len(shown[0]) == len(set(shown[0])) == 14
+    assert projection.scope(orgs, pairs, 900).count() == 50
     rows = projection.q_projection(spark, SF).collect()
     assert rows and {r.cause for r in rows} == {"BUILDING"}
     assert projection.q_pipeline_health(spark, SF).count() >= 5
