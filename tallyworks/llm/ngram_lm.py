@@ -1,17 +1,21 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Level 1 is the vocabulary: the sorted 63-bit hashes of all training tokens, with exact counts. Level k holds the kept
-n-grams of k tokens as one sorted list of keys ``context * V + word``, where ``context`` is the position of the first
-k-1 tokens in level k-1. Each level lies in a few shard files, each an Elias-Fano list (packed low bits, unary high bits
-with a rank directory) beside an array of 16-bit codes for the smoothed log10 probabilities; a second list names the
-contexts with children, their back-off codes and, again in Elias-Fano form, the monotone pointers to their first child.
-A query looks its context up, takes the pointer pair, and searches the successor of its key inside that range.
+Level 1 is the vocabulary: the sorted 63-bit hashes of all training tokens, with exact counts. Level k holds the n-grams
+of k tokens as one sorted list of keys ``context * V + word``, where ``context`` is the position of the first k-1 tokens
+in level k-1. Each level lies in shard files, each an Elias-Fano list (packed low bits, unary high bits with a rank
+directory) beside an array of 16-bit codes for the smoothed log10 probabilities. A second file of each shard holds, for
+every node of the level below that begins there, its back-off code and, again in Elias-Fano form, the monotone pointer to
+its first child. A query takes its context's pointer pair and searches its key's successor inside that range.
+
+A level's counts go from the tasks that read texts straight to the task of their key range, which merges them and writes
+the shard: no table of n-grams is written, sorted or shuffled again. Ranges hold about as many occurrences each, by the
+counts of the level below, and are cut at contexts; a context of more than SHARD_KEYS occurrences is cut by words.
 
 The files are memory-mapped from the shared folder, so a worker's memory holds only pages in use. Where that folder is
 not a mounted file system they are fetched once by each worker process.
 
-Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)); n-grams that occur MIN_COUNT times or more (all of them, as it
-is 1) get absolute discounting, and the mass left goes to the lower order over the words not kept (Katz back-off), so that every context's
+Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)); n-grams, all of which are kept, get absolute discounting, and
+the mass left goes to the lower order over the words not seen there (Katz back-off), so that every context's
 probabilities add up to one. All counts are over all training documents.
 
 Defined cases: a null or empty text is the end token alone; texts of any length are read whole; a row with a null id is
@@ -34,9 +38,11 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.5
+ORDER, DISCOUNT = 3, 0.5
+MIN_COUNT = 1  # of a kept n-gram: all of them are
 SHARD_KEYS, LEAST_KEYS = 4_000_000, 250_000
 FLUSH = 3_000_000
+GROUP = 8 << 20  # bytes of text worked on at once: one visit of every shard
 LOG_RANGE = 16.0
 STEP = 1 << 18  # elements worked on at once while a shard is built
 END = np.int64(0x2545F4914F6CDD1D)
@@ -183,7 +189,7 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
             f.write(data)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=16384)
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
     path = c.local_path(uri)
     if not path:
@@ -208,7 +214,8 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 
 
 class Sharded:
-    """A list cut into shard files by value. manifest: (path, first, count) in order."""
+    """A list cut into shard files by value. manifest: (path, least value, count) in order. All reads take sorted arrays,
+    so that they walk through the files."""
 
     def __init__(self, manifest: list[tuple[str, int, int]]):
         self.manifest = manifest
@@ -218,74 +225,30 @@ class Sharded:
     def __len__(self) -> int:
         return int(self.base[-1])
 
-    def pieces(self, edges: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """Slices of the sorted ``x`` by shard."""
+    def pieces(self, edges: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, slice, dict[str, np.ndarray]]]:
+        """Slices of the sorted ``x`` by shard, with the shard's arrays."""
         cuts = np.concatenate([[0], np.searchsorted(x, edges[1:]), [len(x)]])
-        for s in range(len(self.manifest)):
-            if cuts[s] < cuts[s + 1]:
-                yield s, slice(int(cuts[s]), int(cuts[s + 1]))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]) if len(self.manifest) else ():
+            yield int(s), slice(int(cuts[s]), int(cuts[s + 1])), map_arrays(self.manifest[s][0])
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Global index of each value, -1 where it is missing. Values are looked up in order, so that the reads walk
-        through the files."""
+        """Global index of each value, -1 where it is missing."""
         out = np.full(len(x), -1, np.int64)
-        if not self.manifest or not len(x):
-            return out
-        order = np.argsort(x)
-        x = x[order]
-        for s, at in self.pieces(self.first, x):
-            a = map_arrays(self.manifest[s][0])
+        for s, at, a in self.pieces(self.first, x):
             ef = EliasFano.of(a, "keys")
-            held = np.flatnonzero(may_hold(a["sieve"], x[at]))
-            some = order[at][held]
-            bounds = (None, None) if lo is None else (np.clip(lo[some] - self.base[s], 0, ef.n), np.clip(hi[some] - self.base[s], 0, ef.n))
-            i, hit = ef.successor(x[at][held], *bounds)
-            out[some[hit]] = i[hit] + self.base[s]
-        return out
-
-    def rank(self, x: np.ndarray) -> np.ndarray:
-        """Global index of the first value >= each of the sorted ``x``."""
-        out = np.zeros(len(x), np.int64)
-        for s, at in self.pieces(self.first, x):
-            out[at] = EliasFano.of(map_arrays(self.manifest[s][0]), "keys").successor(x[at])[0] + self.base[s]
+            bounds = (None, None) if lo is None else (np.clip(lo[at] - self.base[s], 0, ef.n), np.clip(hi[at] - self.base[s], 0, ef.n))
+            i, hit = ef.successor(x[at], *bounds)
+            out[at] = np.where(hit, i + self.base[s], -1)
         return out
 
-    def take(self, i: np.ndarray, *names: str) -> list[np.ndarray]:
-        """Entries of named columns (``name.`` is an Elias-Fano list) at global indexes."""
-        out = [np.zeros(len(i), np.int64) for _ in names]
-        order = np.argsort(i)
-        i = i[order]
-        for s, at in self.pieces(self.base[:-1], i):
-            a, j = map_arrays(self.manifest[s][0]), i[at] - self.base[s]
-            for v, name in zip(out, names):
-                v[order[at]] = EliasFano.of(a, name[:-1]).get(j) if name.endswith(".") else a[name][j]
+    def take(self, i: np.ndarray, name: str) -> np.ndarray:
+        """Entries of a named column at global indexes."""
+        out = np.zeros(len(i), np.int64)
+        for s, at, a in self.pieces(self.base[:-1], i):
+            out[at] = a[name][i[at] - self.base[s]]
         return out
 
 
-SIEVE_BITS = 8  # for each key
-
-
-def _sieve_bits(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    h = c.mix(x.astype(np.uint64))
-    mask = np.uint64(size - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def sieve(keys: np.ndarray) -> np.ndarray:
-    """A Bloom filter of a shard's keys, two bits a key: most n-grams that were not kept are turned away by it."""
-    size = 1 << max(6, (SIEVE_BITS * len(keys)).bit_length())
-    out = np.zeros(size >> 3, np.uint8)
-    for begin in range(0, len(keys), STEP):
-        for at in _sieve_bits(keys[begin : begin + STEP], size):
-            np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    return out
-
-
-def may_hold(sieve: np.ndarray, x: np.ndarray) -> np.ndarray:
-    a, b = _sieve_bits(x, len(sieve) << 3)
-    return (sieve[a >> 3] >> (a & 7).astype(np.uint8)) & (sieve[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-
-
 def code(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * (65535 / LOG_RANGE)), 0, 65535).astype(np.uint16)
 
@@ -294,8 +257,31 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return codes * (-LOG_RANGE / 65535)
 
 
+class Level:
+    """The n-grams of one length. ``contexts`` lists every node of the level below, ``begins`` is the global index of the
+    first key in each of its shards. ``hot`` are the contexts cut into several shards: (node, back-off, children)."""
+
+    def __init__(self, keys: Sharded, contexts: Sharded, begins: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.keys, self.contexts, self.begins, self.hot = keys, contexts, begins, hot
+
+    def children(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Back-off and child range of sorted nodes of the level below."""
+        bow, lo, hi = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        for s, at, a in self.contexts.pieces(self.contexts.base[:-1], nodes):
+            j, first = nodes[at] - self.contexts.base[s], EliasFano.of(a, "first")
+            lo[at], hi[at] = first.get(j) + self.begins[s], first.get(j + 1) + self.begins[s]
+            bow[at] = decode(a["bow"][j]) + 6
+        ids, weights, counts = self.hot
+        if len(ids):
+            i = np.minimum(np.searchsorted(ids, nodes), len(ids) - 1)
+            at = np.flatnonzero(ids[i] == nodes)
+            bow[at], hi[at] = weights[i[at]], lo[at] + counts[i[at]]
+        bow[hi == lo] = 0
+        return bow, lo, hi
+
+
 class Trie:
-    def __init__(self, vocabulary: Sharded, total: int, levels: list[tuple[Sharded, Sharded]]):
+    def __init__(self, vocabulary: Sharded, total: int, levels: list[Level]):
         self.words, self.total, self.levels = vocabulary, total, levels
 
     @property
@@ -304,72 +290,58 @@ class Trie:
 
     def unigram(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, count) of word ids, -1 for unknown words."""
+        order = np.argsort(ids, kind="stable")
+        order = order[np.searchsorted(ids, 0, sorter=order) :]
         count = np.zeros(len(ids), np.int64)
-        known = ids >= 0
-        (count[known],) = self.words.take(ids[known], "count")
+        count[order] = self.words.take(ids[order], "count")
         return np.log10((count + 0.1) / self.denominator), count
 
-    def context(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Back-off and child range of context nodes (-1: none) in level 2, 3, ..."""
-        keys, contexts = self.levels[level - 2]
-        bow, lo, hi = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-        known = np.flatnonzero(nodes >= 0)
-        i = contexts.find(nodes[known])
-        known, i = known[i >= 0], i[i >= 0]
-        codes, first, children = contexts.take(i, "bow", "first.", "children")
-        bow[known], lo[known], hi[known] = decode(codes) + 6, first, first + children
-        return bow, lo, hi
-
-    def child(self, level: int, nodes: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Index in ``level`` of (context, word), -1 where it was not kept."""
-        out = np.full(len(nodes), -1, np.int64)
-        at = np.flatnonzero((hi > lo) & (ids >= 0))
-        if len(at):
-            out[at] = self.levels[level - 2][0].find(nodes[at] * len(self.words) + ids[at], lo[at], hi[at])
-        return out
+    def start(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct tokens' ids, which of them each token is, each token's id, the id before it), -1 for unknown ones."""
+        unique, of = np.unique(hashes, return_inverse=True)
+        ids_u = self.words.find(unique)
+        ids = ids_u[of]
+        before = np.concatenate([[-1], ids[:-1]])
+        before[first] = self.words.find(np.array([END]))[0]
+        return ids_u, of, ids, before
+
+    def step(self, level: int, nodes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each (context node, word): its index in ``level`` or -1, its code, and the context's back-off where it was
+        not seen. Each distinct pair is looked up once."""
+        child, codes, bow = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes), np.uint16), np.zeros(len(nodes))
+        at, wide, here = np.flatnonzero(nodes >= 0), len(self.words) + 1, self.levels[level - 2]
+        if not len(at):
+            return child, codes, bow
+        pairs, of = np.unique(nodes[at] * wide + ids[at] + 1, return_inverse=True)
+        node = pairs // wide
+        word = pairs - node * wide - 1
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        b, lo, hi = (np.repeat(x, np.diff(np.append(starts, len(node)))) for x in here.children(node[starts]))
+        known, found = np.flatnonzero((hi > lo) & (word >= 0)), np.full(len(pairs), -1, np.int64)
+        found[known] = here.keys.find(node[known] * len(self.words) + word[known], lo[known], hi[known])
+        hit, c_u = np.flatnonzero(found >= 0), np.zeros(len(pairs), np.uint16)
+        c_u[hit] = here.keys.take(found[hit], "p")
+        child[at], codes[at], bow[at] = found[of], c_u[of], b[of]
+        return child, codes, bow
 
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count, base log10, model log10) of each token; ``first`` marks the first token of each text."""
-        unique, of = np.unique(hashes, return_inverse=True)
-        ids_u = self.words.find(unique)
+        ids_u, of, ids, nodes = self.start(hashes, first)
         uni_u, count_u = self.unigram(ids_u)
-        p, ids = uni_u[of].copy(), ids_u[of]
-        base = p.copy()
-        start = int(self.words.find(np.array([END]))[0])
-        nodes_u = np.append(ids_u, start)
-        prev = np.concatenate([[len(unique)], of[:-1]])
-        prev[first] = len(unique)
-        nodes, age = nodes_u[prev], _age(first)
+        base, age = uni_u[of], _age(first)
+        p = base
         for level in range(2, len(self.levels) + 2):
-            if level == 2:  # contexts are words, and few of them in a batch
-                bow, lo, hi = (v[prev] for v in self.context(2, nodes_u))
-            else:
-                bow, lo, hi = self.context(level, nodes)
-            child = self.child(level, nodes, ids, lo, hi)
-            found = child >= 0
-            q = p + bow
-            q[found] = decode(self.levels[level - 2][0].take(child[found], "p")[0])
-            p = q if level == 2 else np.where(age >= level - 2, q, p)
-            if level < len(self.levels) + 1:
-                nodes = np.concatenate([[-1], child[:-1]])
-                nodes[age < level - 1] = -1
+            child, codes, bow = self.step(level, nodes, ids)
+            p = np.where(child >= 0, decode(codes), p + bow)
+            nodes = _next(child, age, level)
         return count_u[of], base, p
 
-    def nodes(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the next level: (context node of each token or -1, word id), contexts being n-grams of the last level."""
-        unique, of = np.unique(hashes, return_inverse=True)
-        ids_u = self.words.find(unique)
-        _, count_u = self.unigram(ids_u)
-        ids_u = np.where(count_u >= MIN_COUNT, ids_u, -1)
-        nodes_u, prev = np.append(ids_u, self.words.find(np.array([END]))), np.concatenate([[len(unique)], of[:-1]])
-        prev[first] = len(unique)
-        nodes, ids, age = nodes_u[prev], ids_u[of], _age(first)
-        for level in range(2, len(self.levels) + 2):
-            _, lo, hi = (v[prev] for v in self.context(2, nodes_u)) if level == 2 else self.context(level, nodes)
-            child = self.child(level, nodes, ids, lo, hi)
-            nodes = np.concatenate([[-1], child[:-1]])
-            nodes[age < level - 1] = -1
-        return nodes, ids
+
+def _next(child: np.ndarray, age: np.ndarray, level: int) -> np.ndarray:
+    """Context nodes for the level after ``level``: the n-gram that ended one token before, inside the text."""
+    nodes = np.concatenate([[-1], child[:-1]])
+    nodes[age < level - 1] = -1
+    return nodes
 
 
 def _age(first: np.ndarray) -> np.ndarray:
@@ -395,210 +367,200 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the sums of their counts, and their codes, which are the same wherever a key is."""
+    keys, counts, codes = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts, starts)
+    return keys[starts], np.add.reduceat(counts[order], starts), codes[order[starts]]
 
 
-PART = "part int, keys binary, counts binary"
-PART_KEYS = 4_000_000  # keys merged at once, at most about
+PART = "part int, keys binary, counts binary, codes binary"
+MANIFEST = "part int, path string, contexts string, n bigint, total bigint, ends array<bigint>, sums array<bigint>, large array<bigint>, large_n array<bigint>, hot array<bigint>, children array<bigint>, spent array<double>, below array<double>"
 
 
 def pack(values: np.ndarray) -> bytes:
     """Integers as planes of bytes, the lowest first: what the shuffle compresses is then mostly zeros."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    width = values.dtype.itemsize
+    return values.view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def unpack(data: bytes, dtype: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def _deal(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Sorted keys, as differences, and their counts as one row for each part: few large rows are far cheaper to shuffle
-    than many."""
-    part = (c.mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part, keys, counts = part[order], keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    ends = np.append(starts[1:], len(part))
-    blob = lambda x: pa.array([pack(x(i, j)) for i, j in zip(starts, ends)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob(lambda i, j: np.diff(keys[i:j], prepend=0)), blob(lambda i, j: counts[i:j])], names=["part", "keys", "counts"])
+def _deal(keys: np.ndarray, counts: np.ndarray, codes: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys, as differences, with counts and codes as one row for each key range: few large rows are far cheaper
+    to shuffle than many."""
+    cuts = np.concatenate([[0], np.searchsorted(keys, edges[1:]), [len(keys)]])
+    parts = np.flatnonzero(cuts[1:] > cuts[:-1])
+    blob = lambda x: pa.array([pack(x(cuts[i], cuts[i + 1])) for i in parts], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), blob(lambda i, j: np.diff(keys[i:j], prepend=0)), blob(lambda i, j: counts[i:j]), blob(lambda i, j: codes[i:j])], names=["part", "keys", "counts", "codes"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None, parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys of one level in this task, merged before they leave; at most FLUSH keys are held."""
-    held_parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+def _count(batches: Iterator[pa.RecordBatch], trie: Trie | None, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys of the level above ``trie`` in this task, with the codes of the n-grams less their first token
+    where that is more than a word; merged before they leave, at most FLUSH keys being held."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
     for batch in batches:
-        for _, _, texts in c.text_groups(batch, size=4 << 20):
+        for _, _, texts in c.text_groups(batch, size=GROUP):
             h, first = tokens(texts)
+            codes = np.zeros(len(h), np.uint16)
             if trie is not None:
-                nodes, ids = trie.nodes(h, first)
-                ok = (nodes >= 0) & (ids >= 0)
-                h = nodes[ok] * len(trie.words) + ids[ok]
+                _, _, ids, nodes = trie.start(h, first)
+                for level in range(2, len(trie.levels) + 2):
+                    child, codes, _ = trie.step(level, nodes, ids)
+                    nodes = _next(child, _age(first), level)
+                ok = np.flatnonzero((nodes >= 0) & (ids >= 0))
+                h, codes = nodes[ok] * len(trie.words) + ids[ok], codes[ok]
             if not len(h):
                 continue
-            keys, counts = np.unique(h, return_counts=True)
-            held_parts.append((keys, counts.astype(np.int64)))
-            held += len(keys)
-            if held > FLUSH:
-                held_parts = [_merge(held_parts)]
-                held = len(held_parts[0][0])
-                if held > FLUSH // 2:
-                    yield _deal(*held_parts[0], parts)
-                    held_parts, held = [], 0
-    if held_parts:
-        yield _deal(*_merge(held_parts), parts)
-
-
-def _sum_parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums of the keys of the parts in this task, those of at least ``least``."""
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+            held.append(_merge([(h, np.ones(len(h), np.int64), codes)]))
+            n += len(held[-1][0])
+            if n > FLUSH:
+                held = [_merge(held)]
+                n = len(held[0][0])
+                if n > FLUSH // 2:
+                    yield _deal(*held[0], edges)
+                    held, n = [], 0
+    if held:
+        yield _deal(*_merge(held), edges)
+
+
+def _arrived(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What was counted for this task's key range."""
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))]
+    part = _partition()
     for batch in batches:
-        for keys, counts in zip(batch.column(1), batch.column(2)):
-            got.append((np.cumsum(unpack(keys.as_py())), unpack(counts.as_py())))
-            held += len(got[-1][0])
-            if held > 2 * PART_KEYS:
-                got = [_merge(got)]
-                held = len(got[0][0])
-    if got:
-        keys, counts = _merge(got)
-        ok = counts >= least
-        keys, counts = keys[ok], counts[ok]
-        for at in range(0, len(keys), STEP):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + STEP]), pa.array(counts[at : at + STEP])], names=["key", "n"])
+        for p, keys, counts, codes in zip(*(batch.column(k) for k in range(4))):
+            if p.as_py() != part:
+                raise RuntimeError(f"counts of part {p} in partition {part}")
+            got.append((np.cumsum(unpack(keys.as_py())), unpack(counts.as_py()), unpack(codes.as_py(), np.uint16)))
+    return _merge(got) if len(got) > 1 else got[0]
 
 
-def _arrow_rows(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray] | None:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    return [np.concatenate([np.asarray(b.column(b.schema.get_field_index(n))) for b in got]) for n in names]
+def _partition() -> int:
+    from pyspark import TaskContext
 
+    return TaskContext.get().partitionId()
 
-def _shards(df: DataFrame, size: int) -> DataFrame:
-    """Sorted by key, in range partitions of at most about SHARD_KEYS rows, and fewer where the cores would lie idle. Keys
-    are distinct, so none can be large."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-size // SHARD_KEYS), min(cores, -(-size // LEAST_KEYS)), 1)
-    return df.repartitionByRange(parts, "key").sortWithinPartitions("key")
 
+def _parts(spark, total: int) -> int:
+    """How many shards: of about SHARD_KEYS occurrences at most, and fewer where the cores would lie idle."""
+    return max(-(-total // SHARD_KEYS), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_KEYS)), 1)
 
-def _manifest(df: DataFrame) -> Sharded:
-    rows = df.where("path IS NOT NULL").orderBy("first").collect()  # one row a shard
-    return Sharded([(r["path"], r["first"], r["n"]) for r in rows])
 
+def _row(part: int, path: str, contexts: str | None, counts: np.ndarray, grain: int, most: int, *hot: np.ndarray) -> pa.RecordBatch:
+    """A shard's line in the manifest: where its nodes have reached each multiple of ``grain`` occurrences, the nodes of
+    more than ``most``, and its share of the contexts that several shards share."""
+    sums = np.cumsum(counts)
+    ends = np.flatnonzero(np.diff(sums // grain, append=-1))
+    large = np.flatnonzero(counts > most)
+    lists = [ends + 1, sums[ends], large, counts[large], *(hot or (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2)]
+    n, total = len(counts), int(sums[-1]) if len(sums) else 0
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([contexts], pa.string()), pa.array([n]), pa.array([total]), *(pa.array([x.tolist()], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in lists)], names=names)
 
-def _partition() -> int:
-    from pyspark import TaskContext
 
-    return TaskContext.get().partitionId()
+def _edges(rows: list, v: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least key of each part of the next level, contexts that are cut, their occurrences) from the manifest of this one.
+    Parts begin at contexts and hold about as many occurrences each; a context of more than SHARD_KEYS is cut by words."""
+    base = np.concatenate([[0], np.cumsum([r["n"] for r in rows])]).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum([r["total"] for r in rows])]).astype(np.int64)
+    joined = lambda name, offset: np.concatenate([np.zeros(0, np.int64), *(np.array(r[name], np.int64) + o for r, o in zip(rows, offset))])
+    ends, sums = joined("ends", base), joined("sums", before)
+    large, large_n = joined("large", base), joined("large_n", np.zeros(len(rows), np.int64))
+    cuts = ends[np.searchsorted(sums, before[-1] * np.arange(1, parts) // parts)] if len(ends) else ends
+    inside = [x * v + v * np.arange(k + 1) // k for x, k in zip(large, -(-large_n // SHARD_KEYS))]
+    edges = np.unique(np.concatenate([[0], cuts * v, *inside]).astype(np.int64))
+    return edges[(edges == 0) | (edges < base[-1] * v)], large, large_n
 
 
 def build_trie(docs: DataFrame, order: int = ORDER, name: str = "ngram") -> Trie:
     """Count all texts of ``docs`` and write the trie's levels to the shared folder."""
     if order not in (1, 2, 3):
         raise ValueError("order is 1, 2 or 3")
-    root = c.shared_path(docs.sparkSession, name)
-    texts = docs.select("text")
+    spark = docs.sparkSession
+    root, texts = c.shared_path(spark, name), docs.select("text")
+    grain, most = max(1, min(SHARD_KEYS, LEAST_KEYS) // 2), SHARD_KEYS
 
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def counted(trie: Trie | None, least: int) -> DataFrame:
-        # no level has more keys than there are tokens
-        parts = max(shuffles, -(-trie.total // PART_KEYS) if trie else 0)
-        n = texts.mapInArrow(lambda b: _count(b, trie, parts), PART).repartitionById(parts, F.col("part"))
-        return c.materialize(n.mapInArrow(lambda b: _sum_parts(b, least), "key bigint, n bigint"), f"{name}-counts")
-
-    words = counted(None, 1)
-    size, total = words.agg(F.count("*"), F.sum("n")).first()
+    def made(trie: Trie | None, edges: np.ndarray, shard) -> list:
+        counted = texts.mapInArrow(lambda b: _count(b, trie, edges), PART).repartitionById(len(edges), F.col("part"))
+        return sorted(counted.mapInArrow(shard, MANIFEST).collect(), key=lambda r: r["part"])  # one row a shard
 
     def vocabulary(batches):
-        rows = _arrow_rows(batches, "key", "n")
-        if rows is not None:
-            path = f"{root}/words-{_partition()}.ef"
-            ef = EliasFano.build(rows[0])
-            width = np.uint32 if rows[1].max() < 1 << 32 else np.uint64
-            write_arrays(path, {**{f"keys.{k}": v for k, v in ef.arrays().items()}, "sieve": sieve(rows[0]), "count": rows[1].astype(width)})
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(rows[0][0])]), pa.array([len(rows[0])])], names=["path", "first", "n"])
-
-    trie = Trie(_manifest(c.materialize(_shards(words, size).mapInArrow(vocabulary, "path string, first bigint, n bigint"), f"{name}-manifest")), int(total or 0), [])
-    c.release(words)
+        part = _partition()
+        if part < len(edges):
+            keys, counts, _ = _arrived(batches)
+            path = f"{root}/words-{part}.ef"
+            width = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+            write_arrays(path, {**{f"keys.{k}": x for k, x in EliasFano.build(keys).arrays().items()}, "count": counts.astype(width)})
+            yield _row(part, path, None, counts, grain, most)
+
+    size = texts.agg(F.sum(F.octet_length("text") / 4 + 1)).first()[0]  # words are no more than half of the bytes, and hashes spread them evenly
+    parts = _parts(spark, int(size or 0))
+    edges = np.array([(i << 63) // parts for i in range(parts)], np.int64)
+    rows = made(None, edges, vocabulary)
+    trie = Trie(Sharded([(r["path"], int(edges[r["part"]]), r["n"]) for r in rows]), sum(r["total"] for r in rows), [])
     for level in range(2, order + 1):
         lower = Trie(trie.words, trie.total, list(trie.levels))
-        grams = counted(lower, MIN_COUNT)
-        trie.levels.append(_level(grams, lower, level, root, name))
-        c.release(grams)
+        edges, large, large_n = _edges(rows, max(1, len(lower.words)), _parts(spark, trie.total))
+        ends = np.append(edges[1:], sum(r["n"] for r in rows) * max(1, len(lower.words)))
+        rows = made(lower, edges, _Shard(lower, level, root, edges, ends, large, large_n, grain, most))
+        trie.levels.append(_level(rows, edges, ends, max(1, len(lower.words))))
     return trie
 
 
-def _level(grams: DataFrame, lower: Trie, level: int, root: str, name: str) -> tuple[Sharded, Sharded]:
-    v = max(1, len(lower.words))
+class _Shard:
+    """The task of one key range: counts in, files of a level's n-grams and of their contexts out, one manifest row."""
 
-    def keys(batches):
-        rows = _arrow_rows(batches, "key", "n")
-        if rows is None:
-            return
-        key, n = rows
-        codes = np.empty(len(key), np.uint16)
-        names = ["path", "first", "n", "ctx", "spent", "below"]
-        for at in range(0, len(key), STEP):
-            some = n[at : at + STEP]
-            ctx, word = key[at : at + STEP] // v, key[at : at + STEP] % v
-            if level == 2:
-                (of,) = lower.words.take(ctx, "count")
-                below = 10 ** lower.unigram(word)[0]
-            else:
-                (of,) = lower.levels[-1][0].take(ctx, "n")
-                below = 10 ** _probability(lower, ctx, word)
-            p = (some - DISCOUNT) / of
-            codes[at : at + STEP] = code(np.log10(p))
-            # what each context has spent here; a context may go on in the next step or shard
-            starts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-            cut = lambda x: np.add.reduceat(x, starts)
-            k = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(cut(np.ones(len(ctx), np.int64))), pa.array(ctx[starts]), pa.array(cut(p)), pa.array(cut(below))], names=names)
-        path = f"{root}/level{level}-{_partition()}.ef"
-        ef = EliasFano.build(key)
-        extra = {"n": np.minimum(n, (1 << 32) - 1).astype(np.uint32)}
-        write_arrays(path, {**{f"keys.{k}": x for k, x in ef.arrays().items()}, "sieve": sieve(key), "p": codes, **extra})
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(key[0])]), pa.array([len(key)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())], names=names)
-
-    made = c.materialize(_shards(grams, grams.count()).mapInArrow(keys, "path string, first bigint, n bigint, ctx bigint, spent double, below double"), f"{name}-made")
-    kept = _manifest(made)
-    back = made.where("ctx IS NOT NULL").groupBy(F.col("ctx").alias("key")).agg(F.sum("n").alias("n"), F.sum("spent").alias("spent"), F.sum("below").alias("below"))
-    back = c.materialize(back, f"{name}-contexts")
-
-    def contexts(batches):
-        rows = _arrow_rows(batches, "key", "n", "spent", "below")
-        if rows is None:
+    def __init__(self, lower: Trie, level: int, root: str, edges: np.ndarray, ends: np.ndarray, large: np.ndarray, large_n: np.ndarray, grain: int, most: int):
+        self.lower, self.level, self.root, self.edges, self.ends, self.large, self.large_n, self.grain, self.most = lower, level, root, edges, ends, large, large_n, grain, most
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _partition()
+        if part >= len(self.edges):
             return
-        ctx, n, spent, below = rows
-        bow = np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - below, 1e-9))
-        path = f"{root}/contexts{level}-{_partition()}.ef"
-        ef, first = EliasFano.build(ctx), EliasFano.build(np.concatenate([kept.rank(ctx[i : i + STEP] * v) for i in range(0, len(ctx), STEP)]))
-        arrays = {**{f"keys.{k}": x for k, x in ef.arrays().items()}, **{f"first.{k}": x for k, x in first.arrays().items()}}
-        write_arrays(path, {**arrays, "sieve": sieve(ctx), "bow": code(np.minimum(bow, 6) - 6), "children": n.astype(np.uint32)})
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(ctx[0])]), pa.array([len(ctx)])], names=["path", "first", "n"])
-
-    named = _manifest(c.materialize(_shards(back, back.count()).mapInArrow(contexts, "path string, first bigint, n bigint"), f"{name}-manifest"))
-    c.release(made, back)
-    return kept, named
-
-
-def _probability(trie: Trie, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 p(word | last token of the bigram ``node``), for the third level."""
-    last = trie.levels[0][0].take(node, "keys.")[0] % len(trie.words)
-    bow, lo, hi = trie.context(2, last)
-    child = trie.child(2, last, word, lo, hi)
-    out = trie.unigram(word)[0] + bow
-    hit = child >= 0
-    out[hit] = decode(trie.levels[0][0].take(child[hit], "p")[0])
-    return out
+        v = max(1, len(self.lower.words))
+        begin, end = (-(-int(x[part]) // v) for x in (self.edges, self.ends))  # nodes whose children begin here
+        keys, counts, codes = _arrived(batches)
+        ctx = keys // v
+        below = 10 ** (self.lower.unigram(keys - ctx * v)[0] if self.level == 2 else decode(codes))
+        starts = np.flatnonzero(np.diff(ctx, prepend=-1))
+        node, children = ctx[starts], np.diff(np.append(starts, len(ctx)))
+        total = lambda x: np.add.reduceat(x, starts) if len(starts) else x
+        # every occurrence of a context but the end of a text has one word after it
+        of, shared = total(counts), np.isin(node, self.large)
+        of[shared] = self.large_n[np.searchsorted(self.large, node[shared])]
+        p = (counts - DISCOUNT) / np.repeat(of, children)
+        spent, below = total(p), total(below)
+        own = node >= begin
+        size, bow = np.zeros(end - begin, np.int64), np.zeros(end - begin, np.uint16)
+        size[node[own] - begin], bow[node[own] - begin] = children[own], back_off(spent[own], below[own])
+        first = np.concatenate([[0], np.cumsum(size)]) + children[~own].sum()
+        path, contexts = f"{self.root}/level{self.level}-{part}.ef", f"{self.root}/contexts{self.level}-{part}.ef"
+        write_arrays(path, {**{f"keys.{k}": x for k, x in EliasFano.build(keys).arrays().items()}, "p": code(np.log10(p))})
+        write_arrays(contexts, {**{f"first.{k}": x for k, x in EliasFano.build(first).arrays().items()}, "bow": bow})
+        yield _row(part, path, contexts, counts, self.grain, self.most, node[shared], children[shared], spent[shared], below[shared])
+
+
+def back_off(spent: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Codes of the back-off weights of contexts that have spent so much here and so much in the lower order."""
+    return code(np.minimum(np.log10(np.maximum(1 - spent, 1e-9) / np.maximum(1 - below, 1e-9)), 6) - 6)
+
+
+def _level(rows: list, edges: np.ndarray, ends: np.ndarray, v: int) -> Level:
+    keys = Sharded([(r["path"], int(edges[r["part"]]), r["n"]) for r in rows])
+    nodes = [(-(-int(edges[r["part"]]) // v), -(-int(ends[r["part"]]) // v)) for r in rows]
+    some = [i for i, (a, b) in enumerate(nodes) if a < b]
+    contexts = Sharded([(rows[i]["contexts"], nodes[i][0], nodes[i][1] - nodes[i][0]) for i in some])
+    of, children, spent, below = (np.concatenate([np.zeros(0, t), *(np.array(r[k], t) for r in rows)]) for k, t in (("hot", np.int64), ("children", np.int64), ("spent", float), ("below", float)))
+    hot, at = np.unique(of, return_inverse=True)
+    sums = lambda x: np.bincount(at, x, len(hot))
+    weights = decode(back_off(sums(spent), sums(below))) + 6
+    return Level(keys, contexts, keys.base[some], (hot, weights, sums(children).astype(np.int64)))
 
 
 def held_out(folds: int = 10):
@@ -607,7 +569,7 @@ def held_out(folds: int = 10):
 
 def _score(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, end, texts in c.text_groups(batch, size=4 << 20):
+        for begin, end, texts in c.text_groups(batch, size=GROUP):
             h, first = tokens(texts)
             count, base, p = trie.score(h, first)
             at = np.flatnonzero(first)

@@ -572,6 +572,27 @@ def test_language_model_scores_are_those_of_plain_dictionaries(spark, order, mon
         assert abs(trie.score(h, first)[2].sum() - plain(t)) < 0.002 * len(h) + 0.01, t
 
 
+def test_language_model_cuts_large_contexts_by_words(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_KEYS", 30)
+    monkeypatch.setattr(ngram_lm, "LEAST_KEYS", 7)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["x", "y"] + list(rng.choice(list("abcdefghxy"), size=rng.integers(0, 9)))) for _ in range(90)]
+    trie = ngram_lm.build_trie(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    assert all(len(level.hot[0]) for level in trie.levels) and max(m[2] for level in trie.levels for m in level.keys.manifest) < 60
+    plain = plain_model(texts, 3, ngram_lm.MIN_COUNT, ngram_lm.DISCOUNT)
+    for t in [*texts[:40], "x y z", "z x", "", "x y"]:
+        h, first = ngram_lm.tokens([t.encode()])
+        assert abs(trie.score(h, first)[2].sum() - plain(t)) < 0.002 * len(h) + 0.01, t
+
+
+def test_language_model_writes_no_table_of_ngrams(spark, tmp_path, monkeypatch):
+    """Beside the trie's own files nothing is written while it is built: counts and contexts once went through tables."""
+    written = []
+    monkeypatch.setattr(ngram_lm.c, "shared_path", lambda _, name: written.append(name) or f"file://{tmp_path}/{name}-{len(written)}")
+    ngram_lm.build_trie(spark.createDataFrame([("a b c a b",)] * 20, "text string"), 3)
+    assert written == ["ngram"] and {f.suffix for f in tmp_path.rglob("*") if f.is_file()} == {".ef"}
+
+
 def test_language_model_query_uses_trigrams(spark, tmp_path):
     # the end of "x b ..." is settled by the word two back alone
     texts = ["a b c"] * 20 + ["d b e"] * 20
