@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyworks.operators import similarity
 from tallyworks.plans import compile as plans
+from tallyworks.plans.dialect import Spark
+from tallyworks.plans.marts import PRODUCTION_CUT
+from tallyworks.plans.named import texts
 
 SCHEMA = "region int, cause string, id bigint, tag bigint, unit array<double>"
 
@@ -53,3 +56,15 @@ def test_a_vector_of_zeros_is_similar_to_nothing(spark, tmp_path):
     assert plans.run(spark, str(tmp_path), "q_threshold_curve").count() > 0
     assert plans.run(spark, str(tmp_path), "q_nearest_threshold").where("suspect_id = 10 OR target_id = 10").count() == 0
     assert plans.run(spark, str(tmp_path), "q_org_risk_one", org=10).count() == 1
+
+
+def test_order_is_by_the_unrounded_similarity(spark, tmp_path):
+    """Pairs that are the cut when rounded to six decimals come in the order of their distances before rounding."""
+    wide = [7e-8, 3e-7, 1e-8]
+    pairs = [(10 * k, 10 * k + 1, PRODUCTION_CUT + gap) for k, gap in enumerate(wide, 1)]
+    rows = spark.createDataFrame(pairs, "suspect_id bigint, target_id bigint, semantic_sim double")
+    got = spark.sql(texts(Spark)["q_nearest_threshold"], scored_pairs=rows).collect()
+    assert [r.suspect_id for r in got] == [30, 10, 20]
+    parts = ("semantic", "evasion", "geometry", "unaccounted", "receipts")
+    edits = spark.createDataFrame([(k, 50 + gap, *[0.0] * 5) for k, gap in enumerate(wide, 1)], "org_id bigint, risk_score double, " + ", ".join(f"comp_{x} double" for x in parts))
+    assert [r.org_id for r in spark.sql(texts(Spark)["q_edited_rows"], org_risk_now=edits).collect()] == [2, 1, 3]
