@@ -1,8 +1,8 @@
-"""The receipt queue as a stream: every entry is its own state machine, keyed by its number, with timers.
+"""The receipt queue as a stream: every entry is its own state machine, keyed by its bucket and number, with timers.
 
 Commands come in (enqueue, claim, minted, failed), events go out (one for each command that had an effect or was refused,
-and one for each timer). An entry's state lives with its key: claims of different entries never meet in a task, and two
-claims of one entry are worked one after the other, so that only one gets it. A claim that is not settled in time, and a
+and one for each timer). An entry's state lives with its number inside its bucket (BUCKETS): its claims meet in one task,
+and two of them are worked one after the other, so that only one gets it. A claim that is not settled in time, and a
 failure after its pause, return to PENDING by timer. Each claim has a number (``attempt``); a worker whose claim has been
 given to another one is refused. State and timers are in the checkpoint, events in a file sink with a log of its own:
 a restart repeats nothing and loses nothing.
@@ -25,70 +25,88 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 COMMAND = "queue_id string, kind string, worker string, attempt int, at timestamp, error string"
 EVENT = "queue_id string, status string, worker string, attempt int, at timestamp, note string"
+ID = "queue_id string"
 STATE = "status string, worker string, attempt int, due bigint"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ERROR_LENGTH = 900
 #: A command's place in its batch: an entry is there before it is claimed, and claimed before it is settled.
 ORDER = {"ENQUEUE": 0, "CLAIM": 1, "MINTED": 2, "FAILED": 2}
+#: Entries are keyed by their number inside buckets: a call to the state store costs more than a command, and the calls that
+#: Spark makes for every group (its key, the times) are then made once a bucket and batch. Fixed for a checkpoint's life.
+BUCKETS = 4096
+NEW = (None, None, 0, None)  # the state of an entry that is not there
+SAID = Row(*(c.split()[0] for c in EVENT.split(", ")))
 
 
 class Entry(StatefulProcessor):
-    """One queue entry."""
+    """The queue entries of one bucket, each with a state of its own."""
 
     def __init__(self, stranded_ms: int, retry_ms: int):
         self.stranded_ms, self.retry_ms = stranded_ms, retry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("entry", STATE)
+        self.state = handle.getMapState("entry", ID, STATE)
+        self.waiting = handle.getMapState("waiting", ID, "due bigint")
 
-    def _set(self, status: str, worker: str | None, attempt: int, old_due: int | None, due: int | None) -> None:
-        if old_due is not None:
-            self.handle.deleteTimer(old_due)
-        if due is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Entry by entry, the commands of one after the other; its state is read once before them and written once after
+        them."""
+        now, entries, timers = timerValues.getCurrentProcessingTimeInMs(), {}, set()
+        for r in rows:
+            entries.setdefault(r.queue_id, []).append(r)
+        for queue_id, commands in entries.items():
+            if len(commands) > 1:
+                commands.sort(key=lambda r: (ORDER.get(r.kind, 9), r.at is None, r.at and r.at.timestamp(), r.worker or "", str(r)))
+            old = state = NEW if queue_id is None else self.state.getValue((queue_id,)) or NEW
+            for r in commands:
+                state, event = self._one(state, queue_id, r, now)
+                yield event
+            if state == old:
+                continue
+            self.state.updateValue((queue_id,), state)
+            if state[3] is not None:
+                self.waiting.updateValue((queue_id,), (state[3],))
+                timers.add(state[3])
+            elif old[3] is not None:
+                self.waiting.removeKey((queue_id,))
+        for due in timers:
             self.handle.registerTimer(due)
-        self.state.update((status, worker, attempt, due))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        first = lambda r: (ORDER.get(r.kind, 9), r.at is None, r.at and r.at.timestamp(), r.worker or "", str(r))
-        for r in sorted(rows, key=first):
-            yield self._one(key[0], r, now)
+    def _one(self, state: tuple, queue_id: str | None, r: Row, now: int) -> tuple[tuple, Row]:
+        """The entry's state after a command, and the command's event."""
 
-    def _one(self, queue_id: str | None, r: Row, now: int) -> Row:
-        def say(status: str, note: str | None = None, attempt: int | None = r.attempt) -> Row:
-            return Row(queue_id=queue_id, status=status, worker=r.worker, attempt=attempt, at=r.at, note=note)
+        def say(status: str, note: str | None = None, attempt: int | None = r.attempt, then: tuple = state) -> tuple[tuple, Row]:
+            return then, SAID(queue_id, status, r.worker, attempt, r.at, note)
 
         if queue_id is None or r.kind not in ORDER or (r.kind != "ENQUEUE" and r.worker is None):
             return say("REFUSED", "not a command")
-        status, owner, attempt, due = self.state.get() if self.state.exists() else (None, None, 0, None)
+        status, owner, attempt, due = state
         if r.kind == "ENQUEUE":
             if status is not None:
                 return say("REFUSED", "already queued")
-            self._set("PENDING", None, 0, None, None)
-            return say("PENDING", attempt=0)
+            return say("PENDING", attempt=0, then=("PENDING", None, 0, None))
         if r.kind == "CLAIM":
             if status != "PENDING":
                 return say("REFUSED", f"is {status}" if status else "not queued")
-            self._set("CLAIMED", r.worker, attempt + 1, None, now + self.stranded_ms)
-            return say("CLAIMED", attempt=attempt + 1)
+            return say("CLAIMED", attempt=attempt + 1, then=("CLAIMED", r.worker, attempt + 1, now + self.stranded_ms))
         if status not in ("CLAIMED", "PENDING") or owner != r.worker or r.attempt not in (None, attempt):
             return say("REFUSED", "not this worker's claim")
         if r.kind == "MINTED":  # also after the timer, as long as no one else has claimed it: it was minted all the same
-            self._set("MINTED", r.worker, attempt, due, None)
-            return say("MINTED", attempt=attempt)
+            return say("MINTED", attempt=attempt, then=("MINTED", r.worker, attempt, None))
         if status == "PENDING":
             return say("REFUSED", "already returned")
-        self._set("FAILED", r.worker, attempt, due, now + self.retry_ms)
-        return say("FAILED", (r.error or "")[:ERROR_LENGTH] or None, attempt)
+        return say("FAILED", (r.error or "")[:ERROR_LENGTH] or None, attempt, ("FAILED", r.worker, attempt, now + self.retry_ms))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        status, owner, attempt, due = self.state.get()
-        if due is None or expiredTimerInfo.getExpiryTimeInMs() != due or status not in ("CLAIMED", "FAILED"):
-            return
-        self.state.update(("PENDING", owner, attempt, None))
-        at = datetime.fromtimestamp(timerValues.getCurrentProcessingTimeInMs() / 1000)
-        yield Row(queue_id=key[0], status="PENDING", worker=owner, attempt=attempt, at=at, note="claim stranded" if status == "CLAIMED" else "after failure")
+        """All entries of the bucket that wait no longer; one that was settled or claimed anew waits for nothing, or for
+        another timer."""
+        until, at = expiredTimerInfo.getExpiryTimeInMs(), datetime.fromtimestamp(timerValues.getCurrentProcessingTimeInMs() / 1000)
+        for queue_id in [k[0] for k, (due,) in self.waiting.iterator() if due <= until]:
+            status, owner, attempt, _ = self.state.getValue((queue_id,))
+            self.state.updateValue((queue_id,), ("PENDING", owner, attempt, None))
+            self.waiting.removeKey((queue_id,))
+            yield SAID(queue_id, "PENDING", owner, attempt, at, "claim stranded" if status == "CLAIMED" else "after failure")
 
 
 def read_commands(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -98,7 +116,8 @@ def read_commands(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 def events(commands: DataFrame, stranded_seconds: float = 300, retry_seconds: float = 0) -> DataFrame:
     """The queue's events. The session needs the RocksDB state store (``use_state_store``)."""
     step = Entry(round(stranded_seconds * 1000), round(retry_seconds * 1000))
-    return commands.groupBy("queue_id").transformWithState(statefulProcessor=step, outputStructType=EVENT, outputMode="Append", timeMode="ProcessingTime")
+    dealt = commands.withColumn("_bucket", F.pmod(F.xxhash64("queue_id"), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithState(statefulProcessor=step, outputStructType=EVENT, outputMode="Append", timeMode="ProcessingTime")
 
 
 def use_state_store(spark: SparkSession) -> None:

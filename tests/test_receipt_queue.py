@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 
 from tallyworks.streaming import receipt_queue as rq
 
@@ -71,3 +72,36 @@ def test_registered_query_matches_sql(spark):
     con.execute(f"create view orders as select * from '{SF}/orders.parquet'")
     got = sorted(map(tuple, rq.q_receipt_stream(spark, SF).select("status", "worker", "attempt", "entries").collect()), key=str)
     assert got and got == sorted(con.execute(rq.Q_RECEIPT_STREAM_SQL).fetchall(), key=str)
+
+
+def test_a_state_is_read_and_written_once_a_batch():
+    """Five commands of one entry cost one read and one write of its state, and no timer that the last of them ends."""
+    calls = []
+
+    class Handle(dict):
+        getMapState = lambda self, name, *_: Map(name)
+        registerTimer = lambda self, due: calls.append(("timer", due))
+
+    class Map(dict):
+        def __init__(self, name):
+            self.name = name
+
+        def getValue(self, key):
+            calls.append(("get", self.name))
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(("update", self.name))
+            self[key] = value
+
+    class Now:
+        getCurrentProcessingTimeInMs = lambda self: 5
+
+    command = lambda kind, worker, at: Row(queue_id="q", kind=kind, worker=worker, attempt=None, at=T0 + timedelta(seconds=at), error=None)
+    step = rq.Entry(1000, 1000)
+    step.init(Handle())
+    rows = [command("MINTED", "a", 9), command("MINTED", "b", 9), command("CLAIM", "b", 2), command("CLAIM", "a", 1), command("ENQUEUE", None, 0)]
+    assert [e.status for e in step.handleInputRows((1,), iter(rows), Now())] == ["PENDING", "CLAIMED", "REFUSED", "MINTED", "REFUSED"]
+    assert calls == [("get", "entry"), ("update", "entry")] and step.state[("q",)] == ("MINTED", "a", 1, None)
+    list(step.handleInputRows((1,), iter([command("FAILED", "a", 10)]), Now()))
+    assert len(calls) == 3
