@@ -326,3 +326,17 @@ def test_a_file_below_a_folder_changes_the_stamp(spark, tmp_path):
     assert first == shared.stamp(spark, str(tmp_path))
     spark.range(5).write.mode("append").parquet(f"{tmp_path}/orders.parquet/p=1")
     assert shared.stamp(spark, str(tmp_path)) != first
+
+
+def test_tables_that_grow_are_not_broadcast(spark, sf):
+    """Nothing that has a row an organisation, disbursement or pair is sent to the driver for a join, in marts or queries."""
+    plans.register_jaro_winkler(spark)
+    made, store = {}, plans.session_store(spark, sf)
+    for name in (*plans.WRITTEN, "org_risk_now", "confidence_rank"):
+        plans.resolve(spark, sf, name, made, store)
+    get = lambda ref, name: plans._joined(name, ref, plans.resolve(spark, sf, ref, made, store))
+    frames = [spark.sql(plans.MARTS[name](plans.Spark), **{r: get(r, name) for r in plans.references(plans.MARTS[name](plans.Spark))}) for name in ("org_vectors", "clone_pairs", "receipt_coverage", "delivery_geometry", "org_risk", "org_risk_now", "confidence_rank")]
+    frames += [plans.run(spark, sf, q) for q in ("q_by_cause", "q_edited_rows")]
+    for df in frames:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert plans.run(spark, sf, "q_trust_by_country")._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2  # countries and regions
