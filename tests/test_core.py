@@ -340,3 +340,16 @@ def test_tables_that_grow_are_not_broadcast(spark, sf):
     for df in frames:
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert plans.run(spark, sf, "q_trust_by_country")._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 2  # countries and regions
+
+
+def test_a_change_is_the_first_query_of_a_session(spark, tmp_path):
+    """No other query has registered a function or written a mart before it."""
+    import __spark_entry__
+
+    (tmp_path / "in").symlink_to(SF)  # marts of its own
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = __spark_entry__.queries()["q_apply_change"](spark.newSession(), str(tmp_path / "in"))
+    want = con.execute(__spark_entry__.oracle_sql()["q_apply_change"])
+    assert _rows(got.columns, got.collect()) == _rows([c[0] for c in want.description], want.fetchall())
